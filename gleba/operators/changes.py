@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gleba.session import checkpointed
+
 
 def latest(df: DataFrame, snapshot: Column, key: Column, value: Column, loaded: Column) -> DataFrame:
     """(snap, key, value): one row of each key in each snapshot. value must be orderable."""
@@ -22,13 +24,14 @@ def latest(df: DataFrame, snapshot: Column, key: Column, value: Column, loaded:
 def snapshot_changes(rows: DataFrame, fanout: int = 16, depth: int = 3) -> DataFrame:
     """(snap, key, change_kind) from (snap, key, value), one row a key and snapshot; snap is the later of two consecutive snapshots."""
     leaves = fanout**depth
-    rows = rows.withColumn("leaf", F.pmod(F.xxhash64("key"), F.lit(leaves))).withColumn("h", F.xxhash64("key", "value"))
-    order = rows.select("snap").distinct().select("snap", F.lead("snap").over(Window.orderBy("snap")).alias("next"))  # a handful of dates
+    # written down once: the digests, the comparison of each level and the final diff all read it, and each level's plan stays small
+    rows = checkpointed(rows.select("snap", "key", F.pmod(F.xxhash64("key"), F.lit(leaves)).alias("leaf"), F.xxhash64("key", "value").alias("h")))
+    order = rows.select("snap").distinct().coalesce(1).select("snap", F.lead("snap").over(Window.orderBy("snap")).alias("next"))  # a handful of dates
     digest = [F.sum("n").alias("n"), F.sum("s").alias("s"), F.bit_xor("x").alias("x")]
     # decimal sums can't overflow, so any number of rows has a digest
-    level = [rows.groupBy("snap", F.col("leaf").alias("node")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s"), F.bit_xor("h").alias("x"))]
+    level = [checkpointed(rows.groupBy("snap", F.col("leaf").alias("node")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s"), F.bit_xor("h").alias("x")))]
     for _ in range(depth):
-        level.append(level[-1].groupBy("snap", F.expr(f"node div {fanout}").alias("node")).agg(*digest))
+        level.append(checkpointed(level[-1].groupBy("snap", F.expr(f"node div {fanout}").alias("node")).agg(*digest)))
     differ = None  # (snap, next, node) of the nodes that differ on the level above
     for nodes in reversed(level):
         pairs = nodes.join(F.broadcast(order), "snap").where("next is not null").select("snap", "next", "node", "n", "s", "x", F.lit(0).alias("side"))
@@ -37,7 +40,7 @@ def snapshot_changes(rows: DataFrame, fanout: int = 16, depth: int = 3) -> DataF
         if differ is not None:
             both = both.withColumn("up", F.expr(f"node div {fanout}")).join(differ.withColumnRenamed("node", "up"), ["snap", "next", "up"], "left_semi").drop("up")
         differ = both.groupBy("snap", "next", "node").agg(F.count("*").alias("c"), *[F.min(k).alias(f"lo_{k}") for k in "nsx"], *[F.max(k).alias(f"hi_{k}") for k in "nsx"])
-        differ = differ.where("c = 1 or lo_n <> hi_n or lo_s <> hi_s or lo_x <> hi_x").select("snap", "next", "node")
+        differ = checkpointed(differ.where("c = 1 or lo_n <> hi_n or lo_s <> hi_s or lo_x <> hi_x").select("snap", "next", "node"))
     differ = differ.withColumnRenamed("node", "leaf")
     old = rows.join(differ, ["snap", "leaf"]).select("next", "key", "h", F.lit(0).alias("side"))
     new = rows.withColumnRenamed("snap", "next").join(differ, ["next", "leaf"]).select("next", "key", "h", F.lit(1).alias("side"))
