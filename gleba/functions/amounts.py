@@ -6,7 +6,7 @@ the unit it is in, the scale (1, 1,000 or 1,000,000), and whether it is per squa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Currencies by the marks that name them, in the order in which they are looked for ("Surinaamse dollar" holds "dollar").
 CURRENCY_MARKS = (("SRD", r"srd|sr\$|surinaam"), ("USD", r"usd|us\$|dollar|\$"), ("EUR", r"eur|€"))
@@ -22,8 +22,11 @@ THOUSAND, MILLION = r"\d ?k\b|duizend|mille|thousand", r"mln|miljoen|million|\bm
 PER_AREA = r"p(er)?\.? ?/? ?(m2|m²|vk\.? ?m|vierkante|square m|sqm)|/ ?(m2|m²|sqm|vk)|p/m"
 #: No plot is offered under or over these, in EUR and in m²; such an amount only fills its field.
 PRICE_RANGE, SIZE_RANGE = (1_000.0, 10_000_000.0), (10.0, 10_000_000.0)
-#: Numbers typed to get past a form: a run up from one, or one digit over and over.
-FILLER = r"^(12345678?9?|1234(56?7?)?|(\d)\3{4,})$"
+#: Numbers typed to get past a form: a run up from one, or one digit over and over. Beside a text that explains it, a short one may be meant.
+RUNS_UP = [float("123456789"[:n]) for n in range(1, 10)]
+REPEATS = [float(str(d) * n) for d in range(1, 10) for n in range(1, 10)]
+FILLERS = sorted({0.0, 0.1, *RUNS_UP, *REPEATS})
+LONG_FILLERS = sorted({*RUNS_UP[3:], *(r for r in REPEATS if r > 9999)})
 
 
 def squeezed(text: Column) -> Column:
@@ -40,7 +43,7 @@ def first_mark(text: Column, marks: tuple) -> Column:
 
 def currency_code(currency: Column) -> Column:
     """EUR, USD or SRD for any spelling; null for null, blank or unknown."""
-    return first_mark(squeezed(currency), CURRENCY_MARKS)
+    return F.when(currency.isin("EUR", "eur", "€"), "EUR").when(currency.isNotNull(), first_mark(squeezed(currency), CURRENCY_MARKS))
 
 
 def digits_in(text: Column) -> Column:
@@ -61,37 +64,41 @@ def to_number(raw: Column, decimals: Column) -> Column:
     return F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain.cast("double"))
 
 
-def price_text_reading(text: Column) -> Column:
-    """struct(amount, currency, scale, per_m2) of a price text; amount null where it names none."""
-    t = squeezed(text)
-    scale = F.when(t.rlike(MILLION), 1e6).when(t.rlike(THOUSAND), 1e3).otherwise(1.0)
-    per = t.rlike(PER_AREA)
+SIDE = r"(\d+(?:[.,]\d+)?)"
+SIDES = SIDE + r" ?(?:m(?:eter)?)? ?(?:breed|wide|lang|diep)? ?(?:x|×|\*|bij|by|en|and) ?" + SIDE
+
+
+def with_text_readings(df: DataFrame, price_text: str, size_text: str) -> DataFrame:
+    """Adds what the texts say: __p_amount (scaled), __p_currency, __p_per (per m²); __s_amount, __s_unit (m2 where two sides are given).
+
+    Done in steps, each a projection of its own: every pattern runs once a row, and only over texts that hold a digit.
+    """
+    has = lambda c: F.when(c.rlike(r"\d"), squeezed(c))
+    df = df.withColumns({"__pt": has(F.col(price_text)), "__st": has(F.col(size_text))})
+    p, s = F.col("__pt"), F.col("__st")
     # the digits of "m2" are no amount
-    number = to_number(digits_in(F.regexp_replace(t, r"m2", "m²")), scale > 1)
-    return F.when(text.isNotNull(), F.struct(number.alias("amount"), first_mark(t, CURRENCY_MARKS).alias("currency"), scale.alias("scale"), per.alias("per_m2")))
-
-
-def size_text_reading(text: Column) -> Column:
-    """struct(amount, unit, sides) of a size text. Two sides ("20 x 30 m") give their product in m2 and sides = true."""
-    t = squeezed(text)
-    side = r"(\d+(?:[.,]\d+)?)"
-    sides = side + r" ?(?:m(?:eter)?)? ?(?:breed|wide|lang|diep)? ?(?:x|×|\*|bij|by|en|and) ?" + side
-    as_number = lambda i: F.replace(F.regexp_extract(t, sides, i), F.lit(","), F.lit(".")).try_cast("double")
-    unit = first_mark(t, AREA_MARKS)
-    raw = digits_in(F.regexp_replace(t, r"m2|ft2", "m²"))
-    number = to_number(raw, unit.isin("ha", "acre", "are"))
-    return F.when(
-        text.isNotNull(),
-        F.when(t.rlike(sides), F.struct((as_number(1) * as_number(2)).alias("amount"), F.lit("m2").alias("unit"), F.lit(True).alias("sides"))).otherwise(
-            F.struct(number.alias("amount"), unit.alias("unit"), F.lit(False).alias("sides"))
-        ),
-    )
+    number_in = lambda c: F.when(c.isNotNull(), digits_in(F.replace(F.replace(c, F.lit("m2"), F.lit("m²")), F.lit("ft2"), F.lit("ft²"))))
+    df = df.withColumns(
+        {
+            "__pn": number_in(p), "__p_scale": F.when(p.rlike(MILLION), 1e6).when(p.rlike(THOUSAND), 1e3).otherwise(1.0), "__p_currency": F.when(p.isNotNull(), first_mark(p, CURRENCY_MARKS)), "__p_per": F.coalesce(p.rlike(PER_AREA), F.lit(False)),
+            "__sn": number_in(s), "__s_mark": F.when(s.isNotNull(), first_mark(s, AREA_MARKS)), "__s_a": F.when(s.isNotNull(), F.regexp_extract(s, SIDES, 1)), "__s_b": F.when(s.isNotNull(), F.regexp_extract(s, SIDES, 2)),
+        }
+    )
+    side = lambda c: F.replace(F.col(c), F.lit(","), F.lit(".")).try_cast("double")
+    sides = F.coalesce(F.col("__s_a") != "", F.lit(False))
+    return df.withColumns(
+        {
+            "__p_amount": F.when(F.col("__pn") != "", to_number(F.col("__pn"), F.col("__p_scale") > 1)) * F.col("__p_scale"),
+            "__s_amount": F.when(sides, side("__s_a") * side("__s_b")).when(F.col("__sn") != "", to_number(F.col("__sn"), F.col("__s_mark").isin("ha", "acre", "are"))),
+            "__s_unit": F.when(sides, F.lit("m2")).otherwise(F.col("__s_mark")),
+        }
+    ).drop("__pt", "__st", "__pn", "__p_scale", "__sn", "__s_mark", "__s_a", "__s_b")
 
 
 def real_price(eur: Column, raw: Column | None = None) -> Column:
     """Whether an amount in EUR may be meant. raw: the number as recorded, to spot fillers."""
     ok = eur.between(*PRICE_RANGE)
-    return ok if raw is None else ok & ~F.coalesce(F.format_string("%.0f", raw).rlike(FILLER), F.lit(False))
+    return ok if raw is None else ok & ~F.coalesce(raw.isin(LONG_FILLERS), F.lit(False))
 
 
 def real_size(m2: Column) -> Column:

@@ -15,7 +15,6 @@ any level to hold it against stays open (null); extra columns pass through untou
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
 from functools import reduce
 
 import numpy as np
@@ -23,10 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleba.functions import amounts as A
+from gleba.session import checkpointed
 
 OUTPUT = ("price_eur", "price_plain", "area_m2", "area_plain", "price_open", "area_open")
-#: A run up from one or a single digit over and over fills a form; a fraction of 0.1 does too.
-SHORT_FILLER = r"^(0|0\.1|1|12|123|(\d)\2*)$"
 OPEN_AREA_UNITS = ("ha", "are", "acre", "sqft")
 OPEN_SCALES = (1.0, 1e3, 1e6)
 
@@ -43,38 +41,32 @@ def _factor(code: Column, quantity: str, rates: dict) -> Column:
     return reduce(lambda out, kv: F.when(code == kv[0][1], kv[1]).otherwise(out), [(k, v) for k, v in sorted(rates.items()) if k[0] == quantity], F.lit(None).cast("double"))
 
 
-def _short(number: Column) -> Column:
-    """The shortest plain writing of a number, to spot fillers."""
-    return F.regexp_replace(F.format_string("%.2f", number), r"\.?0+$", "")
-
-
 def readings(df: DataFrame, rates: dict) -> DataFrame:
     """Adds, row by row: price_eur and area_m2 (null: no amount, or an open unit), *_plain (the number column already holds that amount in EUR or m²) and *_open."""
-    df = df.drop(*OUTPUT, "__p", "__s", "__pc", "__praw", "__pcur")
-    df = df.withColumns({"__p": A.price_text_reading(F.col("price_text")), "__s": A.size_text_reading(F.col("size_text")), "__pc": A.currency_code(F.col("currency"))})
-    number, text = F.nanvl(F.col("size_m2"), F.lit(None).cast("double")), F.col("__s.amount") * F.when(F.col("__s.sides"), 1.0).otherwise(_factor(F.col("__s.unit"), "size", rates))
+    df = A.with_text_readings(df.drop(*OUTPUT), "price_text", "size_text").withColumn("__pc", A.currency_code(F.col("currency")))
+    df = df.withColumns({"__s2": F.col("__s_amount") * _factor(F.col("__s_unit"), "size", rates), "__size": F.nanvl("size_m2", F.lit(None).cast("double")), "__price": F.nanvl("price", F.lit(None).cast("double"))})
+    number, text = F.col("__size"), F.col("__s2")
     plain = A.real_size(number) & (text.isNull() | (F.abs(number - text) <= 0.01 * text))
-    from_column = F.when(A.real_size(number), number)
-    area = F.when(plain, number).when(A.real_size(text), text).otherwise(F.when(text.isNull(), from_column))
+    told = F.col("__p_amount").isNotNull()
     df = df.withColumns(
         {
-            "area_m2": area,
+            "area_m2": F.when(plain, number).when(A.real_size(text), text).when(text.isNull() & A.real_size(number), number),
             "area_plain": F.coalesce(plain, F.lit(False)),
-            "area_open": F.coalesce((number > 0) & (number < A.SIZE_RANGE[0]) & text.isNull() & ~_short(number).rlike(SHORT_FILLER), F.lit(False)),
+            "area_open": F.coalesce((number > 0) & (number < A.SIZE_RANGE[0]) & F.col("__s_amount").isNull() & ~number.isin(A.FILLERS), F.lit(False)),
+            "__raw": F.when(told, F.col("__p_amount")).otherwise(F.col("__price")),
+            "__code": F.when(told, F.coalesce("__p_currency", "__pc", F.lit("EUR"))).otherwise(F.col("__pc")),
+            "__filler": F.coalesce(~told & F.col("__price").isin([x for x in A.FILLERS if x < 1000 or x in A.LONG_FILLERS]), F.lit(False)),
+            "__told": told,
         }
     )
-    number = F.nanvl(F.col("price"), F.lit(None).cast("double"))
-    told = F.col("__p.amount").isNotNull()
-    raw = F.when(told, F.col("__p.amount") * F.col("__p.scale")).otherwise(number)
-    code = F.when(told, F.coalesce(F.col("__p.currency"), F.col("__pc"), F.lit("EUR"))).otherwise(F.col("__pc"))
-    per = F.coalesce(F.col("__p.per_m2"), F.lit(False))
-    df = df.withColumns({"__praw": raw, "__pcur": code})
-    eur = F.col("__praw") * _factor(F.col("__pcur"), "price", rates) * F.when(per, F.col("area_m2")).otherwise(1.0)
-    filler = ~told & F.col("__praw").isNotNull() & (_short(F.col("__praw")).rlike(SHORT_FILLER) | F.format_string("%.0f", F.col("__praw")).rlike(A.FILLER))
-    eur = F.when(A.real_price(eur) & ~filler, eur)
-    plain = (F.col("__pc") == "EUR") & (F.abs(number - eur) <= 0.005 * F.greatest(F.lit(1.0), eur / 1000)) & ~per
-    open_ = ~told & ~filler & (number > 1) & (F.col("__pcur").isNull() | (number * _factor(F.col("__pcur"), "price", rates) < A.PRICE_RANGE[0])) & ~per
-    return df.withColumns({"price_eur": eur, "price_plain": F.coalesce(plain & eur.isNotNull(), F.lit(False)), "price_open": F.coalesce(open_, F.lit(False))}).drop("__p", "__s", "__pc", "__praw", "__pcur")
+    df = df.withColumn("__eur", F.col("__raw") * _factor(F.col("__code"), "price", rates))
+    whole = F.col("__eur") * F.when(F.col("__p_per"), F.col("area_m2")).otherwise(1.0)
+    df = df.withColumn("price_eur", F.when(A.real_price(whole) & ~F.col("__filler"), whole))
+    eur = F.col("price_eur")
+    plain = (F.col("__pc") == "EUR") & (F.abs(F.col("__price") - eur) <= 0.005 * F.greatest(F.lit(1.0), eur / 1000)) & ~F.col("__p_per")
+    open_ = ~F.col("__told") & ~F.col("__filler") & (F.col("__price") > 1) & (F.col("__code").isNull() | (F.col("__eur") < A.PRICE_RANGE[0])) & ~F.col("__p_per")
+    df = df.withColumns({"price_plain": F.coalesce(plain, F.lit(False)), "price_open": F.coalesce(open_, F.lit(False))})
+    return df.drop("__p_amount", "__p_currency", "__p_per", "__s_amount", "__s_unit", "__pc", "__s2", "__size", "__price", "__raw", "__code", "__filler", "__told", "__eur")
 
 
 def _viterbi(levels: np.ndarray, states: list[list[float]], switch: float, sigma: float, none: float) -> list[int]:
@@ -151,12 +143,13 @@ def common_amounts(df: DataFrame, rates: dict, row_id: str = "record_id", device
     """(row_id, field, common_amount): every amount that isn't already the plain number of EUR in price or of m² in size_m2, rounded to a whole number."""
     keep = df.select(row_id, time, (item_number(F.col("url")) if device is None else device).alias("__device"), "price", "currency", "price_text", "size_m2", "size_text")
     read = readings(keep, rates)
-    certain = read.select(
-        row_id,
-        F.explode(F.array(
-            F.struct(F.lit("price").alias("field"), F.when(~F.col("price_plain"), F.col("price_eur")).alias("value")),
-            F.struct(F.lit("size_m2").alias("field"), F.when(~F.col("area_plain"), F.col("area_m2")).alias("value")),
-        )).alias("x"),
-    ).select(row_id, "x.*")
-    found = certain.unionByName(decode(read, rates, "__device", time, row_id)).where("value is not null")
-    return found.select(row_id, "field", F.rint("value").cast("long").alias("common_amount"))
+    price, area = F.when(~F.col("price_plain"), F.col("price_eur")), F.when(~F.col("area_plain"), F.col("area_m2"))
+    # one pass over the texts; only rows with something to say are written down
+    each = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value"), F.col(o).alias("open")) for f, v, o in (("price", price, "price_open"), ("size_m2", area, "area_open"))])
+    # the filter stands behind a generator: before it, Catalyst would copy every pattern into the filter
+    told = checkpointed(read.select(row_id, "__device", F.explode(each).alias("x")).select(row_id, "__device", "x.*").where("value is not null or open"))
+    certain = told.select(row_id, "field", "value")
+    doubt = told.where("open").select("__device").distinct()
+    if not doubt.isEmpty():
+        certain = certain.unionByName(decode(readings(keep.join(doubt, "__device", "left_semi"), rates), rates, "__device", time, row_id))
+    return certain.where("value is not null").select(row_id, "field", F.rint("value").cast("long").alias("common_amount"))
