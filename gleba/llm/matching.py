@@ -36,7 +36,9 @@ def attributes(df: DataFrame, streets: DataFrame, rates: dict, row_id: str) -> D
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(kind))
     read = readings(df.where(f"{row_id} is not null").select(row_id, "street", "resort", "district", "price", "currency", "price_text", "size_m2", "size_text"), rates)
-    return with_street(read, streets, [row_id, "price_eur", "area_m2", "given"] if "given" in df.columns else [row_id, "price_eur", "area_m2"]).where("street_id >= 0").withColumnsRenamed({"price_eur": "eur", "area_m2": "m2"})
+    # filtered behind the look-up: before it, Catalyst would copy every pattern of the readings into the filter
+    found = with_street(read, streets, [row_id, "price_eur", "area_m2"]).where("street_id >= 0 and (price_eur is not null or area_m2 is not null)")
+    return found.select(row_id, F.col("price_eur").alias("eur"), F.col("area_m2").alias("m2"), "street_id", "cost")
 
 
 def step(value: Column, width: float) -> Column:
@@ -75,8 +77,8 @@ def matched(a: DataFrame, b: DataFrame, streets: DataFrame, rates: dict, a_key:
     names = streets.where("street_id is not null and name is not null").select(
         F.col("street_id").cast("long").alias("street_id"), F.xxhash64(F.lower("name")).alias("name_id"), F.when(F.col("ressort").isNotNull(), F.xxhash64("ressort", "district")).alias("place_id")
     )
-    left = checkpointed(attributes(a, streets, rates, a_key).withColumnRenamed(a_key, "a_id").where("eur is not null or m2 is not null"))
-    right = checkpointed(attributes(b, streets, rates, b_key).withColumnRenamed(b_key, "b_id").where("eur is not null or m2 is not null"))
+    left = checkpointed(attributes(a, streets, rates, a_key).withColumnRenamed(a_key, "a_id"))
+    right = checkpointed(attributes(b, streets, rates, b_key).withColumnRenamed(b_key, "b_id"))
     pairs = candidates(left, right, names)
     got = pairs.groupBy(*VOTES).agg(F.count("*").alias("n")).collect()  # at most 3 ** 5 rows
     patterns, counts = np.array([[r[v] for v in VOTES] for r in got], dtype=int).reshape(len(got), len(VOTES)), np.array([r.n for r in got], dtype=float)
