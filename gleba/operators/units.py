@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gleba.functions import amounts as A
 from gleba.session import checkpointed
 
-OUTPUT = ("price_eur", "price_plain", "area_m2", "area_plain", "price_open", "area_open")
-OPEN_AREA_UNITS = ("ha", "are", "acre", "sqft")
+OUTPUT = ("price_eur", "price_plain", "area_m2", "area_plain", "price_open", "area_open", "price_unit", "area_unit")
+OPEN_AREA_UNITS = ("m2", "ha", "are", "acre", "sqft")
 OPEN_SCALES = (1.0, 1e3, 1e6)
 
 
@@ -42,7 +42,7 @@ def _factor(code: Column, quantity: str, rates: dict) -> Column:
 
 
 def readings(df: DataFrame, rates: dict) -> DataFrame:
-    """Adds, row by row: price_eur and area_m2 (null: no amount, or an open unit), *_plain (the number column already holds that amount in EUR or m²) and *_open."""
+    """Adds, row by row: price_eur and area_m2 (null: no amount, or an open unit), *_plain (the number column already holds that amount in EUR or m²), *_open and *_unit."""
     df = A.with_text_readings(df.drop(*OUTPUT), "price_text", "size_text").withColumn("__pc", A.currency_code(F.col("currency")))
     df = df.withColumns({"__s2": F.col("__s_amount") * _factor(F.col("__s_unit"), "size", rates), "__size": F.nanvl("size_m2", F.lit(None).cast("double")), "__price": F.nanvl("price", F.lit(None).cast("double"))})
     number, text = F.col("__size"), F.col("__s2")
@@ -53,40 +53,43 @@ def readings(df: DataFrame, rates: dict) -> DataFrame:
             "area_m2": F.when(plain, number).when(A.real_size(text), text).when(text.isNull() & A.real_size(number), number),
             "area_plain": F.coalesce(plain, F.lit(False)),
             "area_open": F.coalesce((number > 0) & (number < A.SIZE_RANGE[0]) & F.col("__s_amount").isNull() & ~number.isin(A.FILLERS), F.lit(False)),
+            "area_unit": F.when(text.isNotNull() & ~F.coalesce(plain, F.lit(False)), F.col("__s_unit")).otherwise(F.lit("m2")),
             "__raw": F.when(told, F.col("__p_amount")).otherwise(F.col("__price")),
-            "__code": F.when(told, F.coalesce("__p_currency", "__pc", F.lit("EUR"))).otherwise(F.col("__pc")),
+            "price_unit": F.when(told, F.coalesce("__p_currency", "__pc", F.lit("EUR"))).otherwise(F.col("__pc")),
             "__filler": F.coalesce(~told & F.col("__price").isin([x for x in A.FILLERS if x < 1000 or x in A.LONG_FILLERS]), F.lit(False)),
             "__told": told,
         }
     )
-    df = df.withColumn("__eur", F.col("__raw") * _factor(F.col("__code"), "price", rates))
+    df = df.withColumn("__eur", F.col("__raw") * _factor(F.col("price_unit"), "price", rates))
     whole = F.col("__eur") * F.when(F.col("__p_per"), F.col("area_m2")).otherwise(1.0)
     df = df.withColumn("price_eur", F.when(A.real_price(whole) & ~F.col("__filler"), whole))
     eur = F.col("price_eur")
     plain = (F.col("__pc") == "EUR") & (F.abs(F.col("__price") - eur) <= 0.005 * F.greatest(F.lit(1.0), eur / 1000)) & ~F.col("__p_per")
-    open_ = ~F.col("__told") & ~F.col("__filler") & (F.col("__price") > 1) & (F.col("__code").isNull() | (F.col("__eur") < A.PRICE_RANGE[0])) & ~F.col("__p_per")
+    open_ = ~F.col("__told") & ~F.col("__filler") & (F.col("__price") > 1) & (F.col("price_unit").isNull() | (F.col("__eur") < A.PRICE_RANGE[0])) & ~F.col("__p_per")
     df = df.withColumns({"price_plain": F.coalesce(plain, F.lit(False)), "price_open": F.coalesce(open_, F.lit(False))})
-    return df.drop("__p_amount", "__p_currency", "__p_per", "__s_amount", "__s_unit", "__pc", "__s2", "__size", "__price", "__raw", "__code", "__filler", "__told", "__eur")
-
-
-def _viterbi(levels: np.ndarray, states: list[list[float]], switch: float, sigma: float, none: float) -> list[int]:
-    """For each capture the index of its state (a converted log value), -1 for none. levels: the smooth level at each capture (nan: unknown)."""
-    cost, back = {}, []
-    for level, values in zip(levels, states):
-        emit = {-1: none if len(values) != 1 else 1e9}
-        if not np.isnan(level):
-            emit |= {k: ((v - level) / sigma) ** 2 / 2 for k, v in enumerate(values) if not np.isnan(v)}
-        if len(values) == 1:
-            emit = {0: 0.0}
+    return df.drop("__p_amount", "__p_currency", "__p_per", "__s_amount", "__s_unit", "__pc", "__s2", "__size", "__price", "__raw", "__filler", "__told", "__eur")
+
+
+def _viterbi(levels: np.ndarray, states: list[list[float]], certain: list[bool], switch: float, sigma: float, none: float) -> list[int]:
+    """For each capture the index of its unit, -1 for none. states: the log value in each unit (nan: impossible); levels: the smooth level (nan: unknown)."""
+    cost: dict[int, float] = {}
+    back: list[dict[int, int | None]] = []
+    for level, values, sure in zip(levels, states, certain):
+        if sure:
+            emit = {k: 0.0 for k, v in enumerate(values) if not np.isnan(v)}
+        else:
+            emit = {-1: none}
+            if not np.isnan(level):
+                emit |= {k: ((v - level) / sigma) ** 2 / 2 for k, v in enumerate(values) if not np.isnan(v)}
         best, now = {}, {}
         for k, e in emit.items():
-            if cost:
-                j = min(cost, key=lambda j: (cost[j] + switch * (j != k and -1 not in (j, k)), j))
-                now[k], best[k] = e + cost[j] + switch * (j != k and -1 not in (j, k)), j
-            else:
-                now[k], best[k] = e, None
-        cost, _ = now, back.append(best)
-    path, k = [], min(cost, key=lambda j: (cost[j], j)) if cost else None
+            # an amount that means nothing leaves the unit as it was, so it costs no switch
+            j = min(cost, key=lambda j: (cost[j] + switch * (j != k and -1 not in (j, k)), j), default=None)
+            now[k] = e if j is None else e + cost[j] + switch * (j != k and -1 not in (j, k))
+            best[k] = j
+        cost = now
+        back.append(best)
+    path, k = [], min(cost, key=lambda j: (cost[j], j), default=None)
     for best in reversed(back):
         path.append(k)
         k = best[k]
@@ -99,20 +102,23 @@ def decode(df: DataFrame, rates: dict, device: str, time: str, row_id: str, chai
     price_states = F.array(*[F.when(A.real_price(F.col("price") * rates["price", c] * s) & (F.col("__c").isNull() | (F.col("__c") == c)), F.log(F.col("price") * rates["price", c] * s)).otherwise(F.lit(float("nan"))) for c, s in units])
     area_states = F.array(*[F.when(A.real_size(F.col("size_m2") * rates["size", u]), F.log(F.col("size_m2") * rates["size", u])).otherwise(F.lit(float("nan"))) for u in OPEN_AREA_UNITS if ("size", u) in rates])
     one = df.select(
-        F.col(device).alias("__d"), F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(0)).alias("__t"), F.col(row_id).alias("__r"), "price", A.currency_code(F.col("currency")).alias("__c"), "size_m2", "price_eur", "price_open", "area_m2", "area_open"
+        F.col(device).alias("__d"), F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(0)).alias("__t"), F.col(row_id).alias("__r"), "price", A.currency_code(F.col("currency")).alias("__c"), "size_m2", "price_eur", "price_open", "price_unit", "area_m2", "area_open", "area_unit"
     ).where("__d is not null")
+    nan = F.lit(float("nan"))
+    sure_price = F.array(*[F.when((F.col("price_unit") == c) & F.lit(s == 1.0), F.log("price_eur")).otherwise(nan) for c, s in units])
+    sure_area = F.array(*[F.when(F.col("area_unit") == u, F.log("area_m2")).otherwise(nan) for u in OPEN_AREA_UNITS if ("size", u) in rates])
     long = one.select(
         "__d", "__t", "__r",
         F.explode(F.array(
-            F.struct(F.lit("price").alias("field"), F.when(F.col("price_open"), price_states).when(F.col("price_eur").isNotNull(), F.array(F.log("price_eur"))).alias("states"), F.col("price_open").alias("open")),
-            F.struct(F.lit("size_m2").alias("field"), F.when(F.col("area_open"), area_states).when(F.col("area_m2").isNotNull(), F.array(F.log("area_m2"))).alias("states"), F.col("area_open").alias("open")),
+            F.struct(F.lit("price").alias("field"), F.when(F.col("price_open"), price_states).when(F.col("price_eur").isNotNull(), sure_price).alias("states"), F.col("price_open").alias("open")),
+            F.struct(F.lit("size_m2").alias("field"), F.when(F.col("area_open"), area_states).when(F.col("area_m2").isNotNull(), sure_area).alias("states"), F.col("area_open").alias("open")),
         )).alias("x"),
     ).select("__d", "__t", "__r", "x.*").where("states is not null")
     doubt = long.where("open").select("__d", "field").distinct()
     long = long.join(doubt, ["__d", "field"], "left_semi").withColumn("__h", F.expr("__t div 3600000000"))
     before = long.groupBy("__d", "field", "__h").agg(F.count("*").alias("n"))
     before = before.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("__d", "field").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    whole = long.where("not open").groupBy("__d", "field").agg(F.avg(F.col("states")[0]).alias("whole"))
+    whole = long.where("not open").groupBy("__d", "field").agg(F.avg(F.array_max(F.filter("states", lambda v: ~F.isnan(v)))).alias("whole"))
     placed = (
         long.join(before, ["__d", "field", "__h"])
         .withColumn("block", F.expr(f"(start + row_number() over (partition by __d, field, __h order by __t, __r) - 1) div {chain}"))
@@ -121,11 +127,11 @@ def decode(df: DataFrame, rates: dict, device: str, time: str, row_id: str, chai
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__t", "__r"], kind="stable")
-        certain = pd.Series([np.nan if o else s[0] for s, o in zip(pdf["states"], pdf["open"])])
+        states = [list(s) for s in pdf["states"]]
+        certain = pd.Series([np.nan if o else np.nanmax(s) for s, o in zip(states, pdf["open"])])
         smooth = certain.rolling(7, min_periods=1, center=True).median().interpolate(limit_direction="both")
         level = smooth.fillna(pdf["whole"].reset_index(drop=True)).to_numpy(float)
-        states = [list(s) for s in pdf["states"]]
-        path = _viterbi(level, states, switch, sigma, none)
+        path = _viterbi(level, states, [not o for o in pdf["open"]], switch, sigma, none)
         value = [np.exp(s[k]) if k >= 0 else None for s, k in zip(states, path)]
         out = pd.DataFrame({"row_id": pdf["__r"].to_numpy(), "field": pdf["field"].to_numpy(), "value": pd.Series(value, dtype="float64")})
         return out[pdf["open"].to_numpy()]
