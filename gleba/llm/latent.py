@@ -13,12 +13,16 @@ import numpy as np
 
 
 class TwoClasses:
-    """P(match | pattern). cliques: groups of positions that are modelled jointly, because they depend on each other within a class."""
+    """P(match | pattern). cliques: groups of positions that are modelled jointly, because they depend on each other within a class.
 
-    def __init__(self, levels: list[int], cliques: list[tuple[int, ...]] | None = None, smooth: float = 0.5):
-        self.levels, self.smooth = levels, smooth
+    belief: for each position the share of each level among non-matches and among matches that is believed beforehand; it weighs ``weight`` times as much as
+    the pairs of the class. Without it the two classes are whatever parts the candidates best, which need not be matches and the rest.
+    """
+
+    def __init__(self, levels: list[int], cliques: list[tuple[int, ...]] | None = None, smooth: float = 0.5, belief: list | None = None, weight: float = 3.0):
+        self.levels, self.smooth, self.belief, self.weight = levels, smooth, belief, weight
         self.cliques = cliques or [(i,) for i in range(len(levels))]
-        self.prior, self.tables = 0.5, []
+        self.prior, self.tables, self.likelihood = 0.5, [], 0.0
 
     def _cell(self, patterns: np.ndarray, clique: tuple[int, ...]) -> np.ndarray:
         cell = np.zeros(len(patterns), dtype=int)
@@ -26,22 +30,32 @@ class TwoClasses:
             cell = cell * self.levels[i] + patterns[:, i]
         return cell
 
+    def _believed(self, clique: tuple[int, ...]) -> np.ndarray:
+        if self.belief is None:
+            return np.zeros((2, 1))
+        out = np.ones((2, 1))
+        for i in clique:
+            out = (out[:, :, None] * np.asarray(self.belief[i], dtype=float)[:, None, :]).reshape(2, -1)
+        return out
+
     def fit(self, patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 200, tolerance: float = 1e-7) -> TwoClasses:
         """start: a first guess of P(match) for each pattern; it also says which class is the matches."""
         p, total = start.astype(float), counts.sum()
         cells = [(self._cell(patterns, c), math.prod(self.levels[i] for i in c)) for c in self.cliques]
+        believed = [self._believed(c) * self.weight for c in self.cliques]
         last = -np.inf
         for _ in range(rounds):
             self.prior = float(np.clip((p * counts).sum() / max(total, 1e-9), 1e-6, 1 - 1e-6))
             self.tables = []
-            for cell, n in cells:
-                both = np.stack([np.bincount(cell, weights=w * counts, minlength=n) + self.smooth for w in (1 - p, p)])
+            sizes = np.array([[((1 - p) * counts).sum()], [(p * counts).sum()]])
+            for (cell, n), base in zip(cells, believed):
+                both = np.stack([np.bincount(cell, weights=w * counts, minlength=n) + self.smooth for w in (1 - p, p)]) + base * sizes
                 self.tables.append(both / both.sum(axis=1, keepdims=True))
             logs = np.log([1 - self.prior, self.prior])[:, None] + sum(np.log(t[:, cell]) for t, (cell, _) in zip(self.tables, cells))
             top = logs.max(axis=0)
             likely = top + np.log(np.exp(logs - top).sum(axis=0))
             p = np.exp(logs[1] - likely)
-            now = float((likely * counts).sum())
+            self.likelihood = now = float((likely * counts).sum())
             if abs(now - last) <= tolerance * max(1.0, abs(now)):
                 break
             last = now
@@ -58,31 +72,24 @@ class TwoClasses:
         return [np.log2(t[1] / t[0]) for t in self.tables]
 
 
-def dependence(model: TwoClasses, patterns: np.ndarray, counts: np.ndarray) -> dict[tuple[int, int], float]:
-    """Mutual information of each two positions within the classes, in bits: what an independent model misses."""
-    p, out = model.posterior(patterns), {}
-    for i, j in combinations(range(len(model.levels)), 2):
-        bits = 0.0
-        for w in (1 - p, p):
-            joint = np.zeros((model.levels[i], model.levels[j]))
-            np.add.at(joint, (patterns[:, i], patterns[:, j]), w * counts)
-            if joint.sum() > 0:
-                share = joint.sum() / counts.sum()
-                q = joint / joint.sum()
-                apart = q.sum(axis=1, keepdims=True) * q.sum(axis=0, keepdims=True)
-                bits += share * float((q[q > 0] * np.log2(q[q > 0] / apart[q > 0])).sum())
-        out[i, j] = bits
-    return out
-
-
-def label_model(patterns: np.ndarray, counts: np.ndarray, levels: list[int], start: np.ndarray, bits: float = 0.02, largest: int = 3) -> TwoClasses:
-    """Votes' accuracies by EM, first as if they were independent; then votes that depend on each other within a class are joined and all is fitted anew."""
-    first = TwoClasses(levels).fit(patterns, counts, start)
-    groups = {i: {i} for i in range(len(levels))}
-    for (i, j), x in sorted(dependence(first, patterns, counts).items(), key=lambda kv: -kv[1]):
-        if x >= bits and groups[i] is not groups[j] and len(groups[i]) + len(groups[j]) <= largest:
-            merged = groups[i] | groups[j]
-            for k in merged:
-                groups[k] = merged
-    cliques = sorted({tuple(sorted(g)) for g in groups.values()})
-    return TwoClasses(levels, cliques).fit(patterns, counts, first.posterior(patterns))
+    def criterion(self, total: float) -> float:
+        """Log likelihood less half the parameters times the logarithm of the number of pairs (Bayesian information)."""
+        free = 1 + 2 * sum(math.prod(self.levels[i] for i in c) - 1 for c in self.cliques)
+        return self.likelihood - 0.5 * free * math.log(max(total, 2.0))
+
+
+def label_model(patterns: np.ndarray, counts: np.ndarray, levels: list[int], start: np.ndarray, largest: int = 2, belief: list | None = None) -> TwoClasses:
+    """Votes' accuracies and correlations: votes start as independent within a class; as long as the data say so, two groups of votes are joined and modelled jointly."""
+    best = TwoClasses(levels, belief=belief).fit(patterns, counts, start)
+    total = float(counts.sum())
+    while True:
+        found = None
+        for a, b in combinations(best.cliques, 2):
+            if len(a) + len(b) <= largest and total:
+                cliques = sorted([*(c for c in best.cliques if c not in (a, b)), tuple(sorted(a + b))])
+                model = TwoClasses(levels, cliques, belief=belief).fit(patterns, counts, start)
+                if model.criterion(total) > (found or best).criterion(total):
+                    found = model
+        if found is None:
+            return best
+        best = found

@@ -28,6 +28,8 @@ from gleba.session import checkpointed
 SIZE_STEP, PRICE_STEP = -math.log(0.99), -math.log(0.97)
 VOTES = ["v_street", "v_place", "v_size", "v_price", "v_rate"]
 FOR, AGAINST, NONE = 0, 1, 2
+#: Believed shares of votes (for, against, none) among non-matches and among matches: what a vote function is written to say.
+BELIEF = [[[0.4, 0.4, 0.2], [0.8, 0.02, 0.18]], [[0.5, 0.3, 0.2], [0.8, 0.02, 0.18]], [[0.3, 0.5, 0.2], [0.78, 0.02, 0.2]], [[0.2, 0.6, 0.2], [0.78, 0.02, 0.2]], [[0.2, 0.6, 0.2], [0.68, 0.02, 0.3]]]
 
 
 def attributes(df: DataFrame, streets: DataFrame, rates: dict, row_id: str) -> DataFrame:
@@ -84,7 +86,7 @@ def matched(a: DataFrame, b: DataFrame, streets: DataFrame, rates: dict, a_key:
     patterns, counts = np.array([[r[v] for v in VOTES] for r in got], dtype=int).reshape(len(got), len(VOTES)), np.array([r.n for r in got], dtype=float)
     # first guess: more votes for than against, none of them against in street or size
     start = np.array([0.9 if AGAINST not in p and FOR in p[2:] else 0.05 for p in patterns.tolist()])
-    model = label_model(patterns, counts, [3] * len(VOTES), start)
+    model = label_model(patterns, counts, [3] * len(VOTES), start, belief=BELIEF)
     scored = [(*map(int, p), float(x)) for p, x in zip(patterns, model.posterior(patterns))]
     table = a.sparkSession.createDataFrame(scored, ", ".join(f"{v} int" for v in VOTES) + ", confidence double")
     return pairs.join(F.broadcast(table), VOTES).where(F.col("confidence") >= threshold).drop(*VOTES).withColumnsRenamed({"a_id": a_key, "b_id": b_key})
