@@ -1,8 +1,8 @@
 """Matching records of two tables without a shared key: heuristic votes on candidates, weighed by a generative label model.
 
 Both tables are read into comparable attributes: the register street (``streets.with_street``), EUR and m² (``operators.units``), resort and district.
-Candidates never come from a cross join. Two records are candidates if they mean a street of the same name and either their sizes fall into the same or
-neighbouring steps of a 1 % scale, or, where a size is missing, their prices into those of a 3 % scale. Each candidate gets five votes (for, against, or
+Candidates never come from a cross join. Two records are candidates if they mean a street of the same name and fall into the same or neighbouring steps of
+a 1 % scale of sizes and of a 3 % scale of prices, as far as both have them (one of the two at least). Each candidate gets five votes (for, against, or
 none): street, resort, size, price, price per m². Only the counts of the vote patterns (at most 243) go to the driver. There the label model learns the
 votes' accuracies by EM, finds votes that depend on each other within a class, models those jointly, and gives each pattern a posterior confidence.
 
@@ -59,12 +59,23 @@ def candidates(a: DataFrame, b: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs with their votes. a and b: attributes with ids a_id and b_id; names: (street_id, name_id, place_id) of the register."""
     a = a.join(names, "street_id").select("a_id", F.col("street_id").alias("sa"), "name_id", F.col("place_id").alias("pa"), F.col("eur").alias("ea"), F.col("m2").alias("ma"), F.col("cost").alias("ca"))
     b = b.join(names, "street_id").select("b_id", F.col("street_id").alias("sb"), "name_id", F.col("place_id").alias("pb"), F.col("eur").alias("eb"), F.col("m2").alias("mb"), F.col("cost").alias("cb"))
-    around = lambda c, w: F.explode(F.array(*[step(F.col(c), w) + F.lit(i).cast("long") for i in (-1, 0, 1)]))
-    by_size = a.where("ma is not null").withColumn("k", step(F.col("ma"), SIZE_STEP)).join(b.where("mb is not null").withColumn("k", around("mb", SIZE_STEP)), ["name_id", "k"])
-    priced_a, priced_b = a.where("ea is not null").withColumn("k", step(F.col("ea"), PRICE_STEP)), b.where("eb is not null").withColumn("k", around("eb", PRICE_STEP))
-    # pairs in which a size is missing, without those that have both: (a without, b any) and (a with, b without)
-    by_price = priced_a.where("ma is null").join(priced_b, ["name_id", "k"]).unionByName(priced_a.where("ma is not null").join(priced_b.where("mb is null"), ["name_id", "k"]))
-    pairs = by_size.unionByName(by_price)
+    at, around = lambda c, w: step(F.col(c), w), lambda c, w: F.array(*[step(F.col(c), w) + F.lit(i).cast("long") for i in (-1, 0, 1)])
+    a = a.withColumns({"ks": at("ma", SIZE_STEP), "kp": at("ea", PRICE_STEP)})
+    b = b.withColumns({"ns": around("mb", SIZE_STEP), "np": around("eb", PRICE_STEP)})
+    sized, priced = lambda d, m: d.where(f"{m} is not null"), lambda d, e: d.where(f"{e} is not null")
+    lacks = lambda d, c: d.where(f"{c} is null")
+    by_s, by_p = lambda d: d.withColumn("ks", F.explode("ns")), lambda d: d.withColumn("kp", F.explode("np"))
+    keys_s, keys_p = ["name_id", "ks"], ["name_id", "kp"]
+    full_a, full_b = priced(sized(a, "ma"), "ea"), priced(sized(b, "mb"), "eb")
+    cut = lambda d: d.drop("ks", "kp", "ns", "np")
+    # what both sides have decides which steps they must share; each pair comes up in one of the five joins only
+    pairs = (
+        cut(full_a.join(by_p(by_s(full_b)), ["name_id", "ks", "kp"]))
+        .unionByName(cut(lacks(sized(a, "ma"), "ea").join(by_s(sized(b, "mb")), keys_s)))
+        .unionByName(cut(full_a.join(by_s(lacks(sized(b, "mb"), "eb")), keys_s)))
+        .unionByName(cut(lacks(priced(a, "ea"), "ma").join(by_p(priced(b, "eb")), keys_p)))
+        .unionByName(cut(full_a.join(by_p(lacks(priced(b, "eb"), "mb")), keys_p)))
+    )
     pairs = pairs.withColumns({"ra": F.col("ea") / F.col("ma"), "rb": F.col("eb") / F.col("mb")})
     return pairs.select(
         "a_id", "b_id", "sa", "sb", "ea", "eb", "ma", "mb",
