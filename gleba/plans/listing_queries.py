@@ -89,9 +89,11 @@ def verified_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geocode_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cascade over all listings: checked addresses (every tenth street), register streets, areas, none."""
+    """The cascade over all listings: checked addresses (those of names that several resorts have), register streets, areas, none."""
     streets = table(spark, sf_dir, "streets")
-    checked = streets.where("street_id % 10 = 0").select(T.address_key(F.col("name"), F.lit(""), F.col("ressort"), F.col("district")).alias("key"), "lat", "lon", F.lit("street").alias("confidence")).dropDuplicates(["key"])
+    shared = streets.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    keyed = streets.join(shared, "name", "left_semi").select(T.address_key(F.col("name"), F.lit(""), F.col("ressort"), F.col("district")).alias("key"), "lat", "lon", "street_id")
+    checked = runs.first_wins(keyed, "key", F.col("street_id")).select("key", "lat", "lon", F.lit("street").alias("confidence"))
     rows = _listings(spark, sf_dir).select("listing_id", "street", "title", "resort", "district", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
     return places.cascade(rows, streets, checked, "listing_id")
 
@@ -162,7 +164,9 @@ def run_gone(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active, new and gone adverts of the second delivery, in one row."""
     merged, lost = run_merge(spark, sf_dir), run_gone(spark, sf_dir)
-    return merged.agg(F.count("*").alias("active"), F.count_if("is_new").alias("new_this_run")).join(lost.agg(F.count("*").alias("gone_since_last_run")), how="cross")
+    one = lambda df, active, new, gone: df.select(F.lit(active).alias("a"), new.cast("int").alias("n"), F.lit(gone).alias("g"))
+    both = one(merged, 1, F.col("is_new"), 0).unionByName(one(lost, 0, F.lit(False), 1))
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(k) for c, k in (("a", "active"), ("n", "new_this_run"), ("g", "gone_since_last_run"))])
 
 
 def price_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,10 +191,10 @@ def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of checks into a store of checks: only keys that it lacks."""
-    rows = table(spark, sf_dir, "streets").select(F.col("name").alias("key"), "lat", "lon", F.col("street_id").alias("arrival"))
-    store = runs.first_wins(rows.where("arrival <= 500"), "key", F.col("arrival")).drop("arrival")
-    return runs.insert_absent(store, rows.where("arrival > 300"))
+    """A batch of checks (the whole register) into a store of checks (the districts of the first half of the alphabet): only keys that it lacks."""
+    rows = table(spark, sf_dir, "streets").select(F.col("name").alias("key"), "lat", "lon", F.col("street_id").alias("arrival"), "district")
+    store = runs.first_wins(rows.where("district < 'N'").drop("district"), "key", F.col("arrival")).drop("arrival")
+    return runs.insert_absent(store, rows.drop("district"))
 
 
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +301,23 @@ _MERGED = f"SELECT n.key, round(n.price, 2) AS price, CASE WHEN o.key IS NULL TH
 _FIRST = "arg_min({0}, record_id) FILTER (WHERE {1})"
 _NO_NEWS = " AND ".join(f"coalesce(lower(url), '') NOT LIKE '%{x}%'" for x in T.NO_LISTING)
 
+_CASCADE = f"""
+WITH k AS ({_KEYED.replace("{0}", "SELECT listing_id, CASE WHEN street IS NOT NULL AND street <> '' THEN street ELSE title END AS s, resort AS r, district AS d, street, title, resort, district FROM site_listings")}),
+v AS (SELECT key, arg_min(lat, street_id) AS v_lat, arg_min(lon, street_id) AS v_lon FROM ({_STREET_KEYS}) WHERE s IN (SELECT name FROM streets GROUP BY 1 HAVING count(*) > 1) GROUP BY 1),
+n AS (SELECT *, {TQ._NORM} AS normal FROM (SELECT listing_id, resort, district, {TQ._CLEAN.format('coalesce(street, title)')} AS t FROM site_listings)),
+l AS ({_FOLDED.format('normal', 'n')}), s AS ({_FOLDED.format('name', 'streets')}),
+h AS (SELECT listing_id, s.lat AS s_lat, s.lon AS s_lon FROM (SELECT *, CASE WHEN coalesce(l.resort, '') <> '' AND contains(lower(s.ressort), lower(l.resort)) THEN 0 WHEN coalesce(l.district, '') <> '' AND lower(s.district) = lower(l.district) THEN 1 WHEN coalesce(l.district, '') = '' THEN 2 END AS pref
+  FROM l JOIN s ON l.fold = s.fold AND l.fold <> '') s WHERE pref IS NOT NULL QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY pref, street_id) = 1),
+b AS (SELECT district AS bd, min(lat) AS a1, max(lat) AS a2, min(lon) AS o1, max(lon) AS o2 FROM streets GROUP BY 1),
+a AS (SELECT ressort AS ar, district AS ad, round_even(avg(lat), 6) AS a_lat, round_even(avg(lon), 6) AS a_lon FROM streets GROUP BY 1, 2),
+j AS (SELECT *, s_lat IS NOT NULL AND (bd IS NULL OR (s_lat BETWEEN a1 - 0.02::DOUBLE AND a2 + 0.02::DOUBLE AND s_lon BETWEEN o1 - 0.02::DOUBLE AND o2 + 0.02::DOUBLE)) AS on_street
+  FROM k LEFT JOIN v USING (key) LEFT JOIN h USING (listing_id) LEFT JOIN b ON district = bd LEFT JOIN a ON resort = ar AND district = ad)
+SELECT listing_id, CASE WHEN v_lat IS NOT NULL THEN 'checked' WHEN on_street THEN 'street' WHEN a_lat IS NOT NULL THEN 'area' ELSE 'none' END AS geocode_quality,
+  CASE WHEN v_lat IS NOT NULL THEN v_lat WHEN on_street THEN s_lat ELSE a_lat END AS lat, CASE WHEN v_lat IS NOT NULL THEN v_lon WHEN on_street THEN s_lon ELSE a_lon END AS lon FROM j"""
+
 SQL = {
+    "geocode_cascade": _CASCADE,
+    "placement_counts": f"SELECT geocode_quality, count(*) AS n FROM ({_CASCADE}) GROUP BY 1",
     "listing_filter": f"SELECT doc_id, doc_type FROM documents WHERE {_NO_NEWS} AND (coalesce(agent, '') <> '' OR coalesce(posted, '') <> '')",
     "viewer_filter": "SELECT record_id, price, size_m2 FROM feed_items WHERE lower(concat_ws(' ', title, street, description)) LIKE '%kavel%' AND price BETWEEN 10000 AND 200000 AND size_m2 BETWEEN 200 AND 5000 AND len(images) > 0",
     "slider_stops": "SELECT CAST(i AS INTEGER) AS stop, p[i + 1] AS price FROM (SELECT quantile_cont(price, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS p FROM site_listings WHERE currency = 'EUR' AND price IS NOT NULL AND NOT isnan(price)), range(11) t(i)",
@@ -324,7 +344,7 @@ SELECT listing_id, street_id, name FROM p WHERE pref IS NOT NULL QUALIFY row_num
     "price_change": f"SELECT source_id, record_id, price, previous AS previous_price FROM (SELECT source_id, record_id, price, lag(price) OVER (PARTITION BY source_id ORDER BY seen_at NULLS FIRST, record_id) AS previous FROM (SELECT *, {_ITEM} AS source_id FROM feed_items) WHERE price IS NOT NULL AND NOT isnan(price) AND source_id <> '') WHERE previous <> price",
     "queue_first": f"SELECT key, min(check_id) AS check_id, arg_min(tier, check_id) AS tier FROM ({_KEYED.replace('{0}', 'SELECT check_id, tier, CASE WHEN street <> ' + chr(39) * 2 + ' THEN street ELSE ' + chr(39) * 2 + ' END AS s, resort AS r, district AS d FROM needs_check')}) WHERE trim(key, '|') <> '' AND key NOT IN (SELECT key FROM ({_STREET_KEYS})) GROUP BY 1",
     "tier_counts": "SELECT CAST(t AS INTEGER) AS tier, count(check_id) AS n FROM range(1, 5) r(t) LEFT JOIN needs_check ON tier = t GROUP BY 1",
-    "store_insert": "WITH a AS (SELECT name AS key, arg_min(lat, street_id) AS lat, arg_min(lon, street_id) AS lon FROM streets WHERE street_id <= 500 GROUP BY 1), b AS (SELECT name AS key, arg_min(lat, street_id) AS lat, arg_min(lon, street_id) AS lon FROM streets WHERE street_id > 300 GROUP BY 1) SELECT * FROM a UNION ALL SELECT * FROM b WHERE key NOT IN (SELECT key FROM a)",
+    "store_insert": "WITH a AS (SELECT name AS key, arg_min(lat, street_id) AS lat, arg_min(lon, street_id) AS lon FROM streets WHERE district < 'N' GROUP BY 1), b AS (SELECT name AS key, arg_min(lat, street_id) AS lat, arg_min(lon, street_id) AS lon FROM streets GROUP BY 1) SELECT * FROM a UNION ALL SELECT * FROM b WHERE key NOT IN (SELECT key FROM a)",
     "source_counts": "SELECT source, count(*) AS n FROM documents GROUP BY 1",
     "source_list": "SELECT string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM site_listings",
     "match_rate": f"SELECT source, count(*) AS tried, count(hit) AS found FROM ({_FOLDED.format('coalesce(street, ' + chr(39) * 2 + ')', 'site_listings')}) l LEFT JOIN (SELECT DISTINCT fold AS hit FROM ({_FOLDED.format('name', 'streets')})) s ON l.fold = s.hit GROUP BY 1",
