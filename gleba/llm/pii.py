@@ -41,12 +41,13 @@ _NO_PHONE = re.compile(r"(?:object|dossier|kaart|\bref|kkf|glis|referentie|perce
 _DATE_LIKE = re.compile(r"\d{1,2}[-./ ]\d{1,2}[-./ ]\d{4}$")
 _BIRTH = re.compile(r"\b(?:geb(?:oren)?(?:\.|datum)?|born|birth\w*)\W{1,4}(?:op\s)?(\d{1,2})[-./](\d{1,2})[-./](\d{4})\b", re.I)
 
-_END = r"straat|strt|str|st|street|weg|wg|w|road|rd|laan|ln|la|lane|pad|pd|path|dreef|drf|dr|drive|plein|kade|gracht|steeg|singel|hof|kanaal|boulevard"
+#: Short endings that a full stop marks as such; "st." and "w." end other words too.
+_SHORT = r"strt|str|wg|ln|pd|drf|dr"
 _FULL = r"straat|street|weg|road|laan|lane|pad|path|dreef|drive|plein|kade|gracht|steeg|singel|kanaal|boulevard"
 _NR = r"(?:(?:huis)?(?:nr|no|nummer|num)\.?\s?|#\s?)"
 _HOUSE = rf"{_NR}?\d{{1,4}}(?:[A-Za-z](?![A-Za-z])| ?-?[A-Za-z](?=[.,;)]|\s*$))?(?![\w]|[.,/-]\d|\s?(?:m2|m²|m\b|x\s?\d|min\b|meter|ha\b|km|euro|t/m|op de kaart))"
 _CUED = re.compile(rf"(?:adres(?:\s+is|:)?|woon(?:t|achtig)?\s+(?:op|aan|in)(?:\s+de)?|aan huis,?|ophalen:|langskomen:?|wonend(?:e)?\s+(?:op|aan)|live at|address(?:\s+is|:)?)\s+(?:de\s+)?((?:[^\W\d_][\w'.-]*\s+){{1,4}}?{_HOUSE}(?:\s{_NR}\d{{1,4}}[A-Za-z]?\b)?)", re.I)
-_OPEN = re.compile(rf"\b((?:[A-Z][\w'-]*\s)?(?!zijstraat|hoofdweg|toegangsweg)[^\W\d_][\w'-]{{2,}}(?:[ -](?:{_FULL})|(?:{_FULL}))\s{_HOUSE}(?:\s{_NR}\d{{1,4}}[A-Za-z]?\b)?|[^\W\d_][\w'-]{{3,}}(?:{_END})\.\s{_HOUSE})", re.I)
+_OPEN = re.compile(rf"\b((?:[A-Z][\w'-]*\s)?(?!zijstraat|hoofdweg|toegangsweg)[^\W\d_][\w'-]{{2,}}(?:[ -](?:{_FULL})|(?:{_FULL}))\s{_HOUSE}(?:\s{_NR}\d{{1,4}}[A-Za-z]?\b)?|[^\W\d_][\w'-]{{3,}}(?:{_SHORT})\.\s{_HOUSE})", re.I)
 
 _W = r"[^\W\d_]+(?:['’][^\W\d_]+)?"
 _LAST = rf"{_W}(?:-{_W})?"
@@ -68,15 +69,20 @@ _FIRM = re.compile(r"makelaar|vastgoed|real\b|estate|percelen|kavel|grond|huis\b
 _STARTERS = frozenset(
     "aan aangeboden achter afgebakend afmeting afspraak alle app appartement ask bel beschikbaar betaling betegelde bezichtiging bij binnen bouwkavel bouwrijp busroute call centrum contact contactpersoon de deze dit door e een eigenaar eigendom er eventueel geen gelegen geschikt glis goed groetjes grond grondhuur grootte het heel hier hoek hoekkavel id ideaal identiteitskaart ik in inclusief info is kadasterkaart kavel kavels kijk kkf kom koop ligging mail maat met mijn mooi mooie mogelijk naast nabij neem nette nu objectnr objectnummer of omgeving omheind onder ons ook op oppervlakte papieren perceel perceelkaart plot prijs project quiet ref reageer rechthoekig rustig rustige ruilen scholen see serieuze sleutel stroom stuur te tegen tel tevens tweede u uitzicht unieke van vanaf veilig verkoop via volgens volmacht voor vraag vraagprijs vruchtbare vrij wat water we whatsapp wij woon zeer zie zonder".split()
 )
-_TRIGGER = r"(?i)\d[\d\s./()-]{4,}\d|@|\bat[)\]}]|mevr|dhr|heer|namens|\boom\b|tante|neef|nicht|broer|\bzus|vader|moeder|buurman|ask for|groet|mvg|afspraak maken|(vraag|vragen) naar|naam|name is|ik ben|contact|heeft de sleutel|has the key|graag te woord|helpt u|eigenaar|verkoper|adres|woon|wonend|live at|aan huis|ophalen|langskom|bezichtiging\s\S+\s|(straat|str\.|weg|wg\.|laan|ln\.|pad|pd\.|dreef|drf?\.|st\.|\bw\.|plein|kade|la\.)\s+(nr|no|#|\d)"
+#: What a text must hold to go to Python at all: a run of digits, a house number, or a cue. Plain searches in lower case, so they cost little.
+_DIGIT_RUN, _HOUSE_AT = r"\d[\d ./()-]{4,}\d", r"(?:straat|street|weg|road|laan|lane|pad|path|dreef|drive|plein|kade|gracht|steeg|singel|kanaal|boulevard|[a-z]\.)\s(?:huis|nr|no|num|#|\d)"
+_TOLD = ("@", "at)", "at]", "at}", "aartje", "mevr", "dhr", "heer", "meneer", "mw", "mr", "namens", " oom ", "tante", "neef", "nicht", "broer", " zus ", "vader", "moeder", " man ", "vrouw", "buurman", "ask for", "groet", "mvg", "afspraak maken", "vraag naar", "vragen naar", "mijn naam", "ik ben", "my name", "contact", "naam:", "naam :", "eigenaar", "verkoper", "heeft de sleutel", "has the key", "staat u graag", "helpt u graag", "adres", "woon", "wonend", "aan huis", "ophalen", "langskom", "live at", "address")
 
 #: Cheap tests before the patterns: one of these stands in every text in which the pattern can match.
 _ADDRESS_CUES = ("adres", "woon", "wonend", "aan huis", "ophalen", "langskomen", "live at", "address")
 _NAME_CUES = ("mevr", "dhr", "heer", "meneer", "mw", "mr", "namens", "oom", "tante", "neef", "nicht", "broer", "zus", "vader", "moeder", "man", "vrouw", "buurman", "ask for", "groet", "mvg", "afspraak maken", "vraag naar", "vragen naar", "mijn naam", "ik ben", "my name")
+_ID_CUES = ("id", "legitim", "paspoort")
+_CALL_CUES = ("bel ", "call ", "app ", "contact", "bezichtiging ")
+_OPEN_CUES = ("contact", "naam", "eigenaar", "verkoper")
 _AFTER_CUES = ("heeft de sleutel", "staat u graag", "helpt u graag", "is de eigenaar", "has the key")
 _WORD_NUMBER = re.compile(rf"([^\W\d_][\w'-]*\.?)\s{_NR}?\d")
 _SIX = re.compile(r"\b\d{3}[-. ]?\d{3}\b")
-_FULL_ENDS, _ENDS = tuple(_FULL.split("|")), tuple(_END.split("|"))
+_FULL_ENDS, _ENDS = tuple(_FULL.split("|")), tuple(_SHORT.split("|"))
 
 
 def _ends_as_street(word: str) -> bool:
@@ -113,7 +119,7 @@ def find_personal(text: str, phones_too: bool = True) -> list[tuple[int, int, st
     low = text.lower()
     digits = re.search(r"\d", text)
     if digits:
-        for m in _ID.finditer(text):
+        for m in _ID.finditer(text) if any(cue in low for cue in _ID_CUES) else ():
             if _ID_CUE.search(text[max(0, m.start() - 40) : m.start()]):
                 take(*m.span(), "id", (m.group(1) + m.group(2) + m.group(3)).upper())
         if any(cue in low for cue in _ADDRESS_CUES):
@@ -122,21 +128,21 @@ def find_personal(text: str, phones_too: bool = True) -> list[tuple[int, int, st
         if any(_ends_as_street(m.group(1)) for m in _WORD_NUMBER.finditer(low)):
             for m in _OPEN.finditer(text):
                 take(*m.span(1), "address", m.group(1))
-        for m in _BIRTH.finditer(text):
+        for m in _BIRTH.finditer(text) if "geb" in low or "born" in low or "birth" in low else ():
             take(*m.span(), "birth", f"{int(m.group(3)):04}-{int(m.group(2)):02}-{int(m.group(1)):02}")
         if phones_too:
             for m in _PHONE.finditer(text):
                 number = re.sub(r"\D", "", m.group(1))
                 if number.strip("0") and not _DATE_LIKE.match(m.group(1)) and not _NO_PHONE.search(text[max(0, m.start() - 30) : m.start()]):
                     take(*m.span(), "phone", number)
-            for m in _ABROAD.finditer(text):
+            for m in _ABROAD.finditer(text) if "+" in text or "00" in text else ():
                 take(*m.span(), "phone", re.sub(r"\D", "", m.group(2)))
             for m in _SHORT_PHONE.finditer(text) if _SIX.search(text) else ():
                 take(*m.span(1), "phone", re.sub(r"\D", "", m.group(1)))
     for m in _NAME_BEFORE.finditer(text) if any(cue in low for cue in _NAME_CUES) else ():
         if _is_name(m.group(1)):
             take(*m.span(1), "name", m.group(1))
-    for m in _NAME_CALL.finditer(text) if digits else ():
+    for m in _NAME_CALL.finditer(text) if digits and any(cue in low for cue in _CALL_CUES) else ():
         k = 1 if m.group(1) else 2
         if _is_name(m.group(k)):
             take(*m.span(k), "name", m.group(k))
@@ -152,7 +158,7 @@ def find_personal(text: str, phones_too: bool = True) -> list[tuple[int, int, st
                     pass
             if _is_name(name):
                 take(a, a + len(name), "name", name)
-    for m in _NAME_OPEN.finditer(text):
+    for m in _NAME_OPEN.finditer(text) if any(cue in low for cue in _OPEN_CUES) else ():
         first, second, gap, after = m.group(1), m.group(2), m.group(3), m.group(4)
         end = m.end(1)
         if second and not ("." in first and " " in first) and "." not in first:
@@ -261,7 +267,9 @@ def redact(text: str | None, key: bytes, phones: bool = False) -> str | None:
 def personal_finds(df: DataFrame, row_id: str = "record_id") -> DataFrame:
     """(row_id, field, kind, found): one row per distinct find in description and phones."""
     kind = df.schema[row_id].dataType.simpleString()
-    told = F.when(F.col("description").rlike(_TRIGGER), F.col("description")).alias("d")
+    low = F.lower("description")
+    holds = low.rlike(_DIGIT_RUN) | low.rlike(_HOUSE_AT) | F.exists(F.array(*map(F.lit, _TOLD)), lambda cue: low.contains(cue))
+    told = F.when(holds, F.col("description")).alias("d")
     listed = F.filter("phones", lambda p: p.rlike(r"\p{L}|@") & ~p.isin("zie tekst", "-", ""))
     rows = df.select(F.col(row_id).alias("i"), told, F.when(F.size(listed) > 0, listed).alias("p")).where("d is not null or p is not null")
 
