@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def bytes_estimate(df: DataFrame) -> int:
     """Spark's estimate of the size of df, from its plan."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes sure that Python workers can import this package: sends it along once a context, unless they share this process's paths."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    near = context.master.startswith("local[") and (os.getcwd() == root or root in os.environ.get("PYTHONPATH", "").split(os.pathsep))
+    if near or getattr(context, "_gleba_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="gleba-")
+    path = os.path.join(folder, "gleba.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(os.path.join(root, "gleba")):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), root))
+    context.addPyFile(path)
+    context._gleba_shipped = True
