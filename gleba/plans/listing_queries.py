@@ -262,6 +262,27 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "url", T.find_price(T.clean(F.col("text")))["amount"].alias("price"))
 
 
+def rest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings as REST documents with taxonomies of ids, read back: terms looked up, prices and sizes found in the text."""
+    df = _listings(spark, sf_dir).where("price is not null and not isnan(price)").withColumn("m2", F.bround(F.nanvl("size_m2", F.lit(None).cast("double")), 0).cast("long"))
+    terms = lambda c, by: df.where(f"{c} is not null").select(c).distinct().select(F.abs(F.xxhash64(c)).alias("id"), F.col(c).alias("name"))  # noqa: E731, ARG005
+    body = F.concat(F.lit("<p>Kavel &amp; huis. Perceelgrootte: "), F.coalesce("m2", F.lit(0)).cast("string"), F.lit(" m2. Vraagprijs: "), F.col("currency"), F.lit(" "), F.bround("price", 0).cast("long").cast("string"), F.lit(",00; tel 854-3210</p>"))
+    ids = lambda c: F.array_compact(F.array(F.abs(F.xxhash64(c)) * F.when(F.col(c).isNotNull(), 1)))
+    row = F.to_json(F.struct(F.col("listing_id").alias("id"), F.col("url").alias("link"), F.concat("first_seen", F.lit("T08:00:00")).alias("date"), F.struct(F.col("title").alias("rendered")).alias("title"), F.struct(body.alias("rendered")).alias("content"), ids("district").alias("location"), ids("resort").alias("neighborhoods"), ids("title_type").alias("purpose")))
+    rows = df.select(row.alias("j")).select(F.from_json("j", feeds.REST_SCHEMA).alias("x")).select("x.*")
+    got = feeds.rest_listings(rows, terms("district", 0), terms("resort", 0), terms("title_type", 0), ["no such district"])
+    return got.select(F.col("source_id").alias("listing_id"), "url", "resort", "district", "title_type", "size_m2", "posted", F.element_at("phones", -1).alias("phones"))
+
+
+def detail_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing cards with the sizes and texts of their detail pages."""
+    df = _listings(spark, sf_dir)
+    cards = df.select("listing_id", "url", F.lit(None).cast("double").alias("size_m2"), F.array().cast("array<string>").alias("images"))
+    whole = F.bround(F.nanvl("size_m2", F.lit(None).cast("double")), 0).cast("long").cast("string")
+    details = df.where("size_m2 is not null and not isnan(size_m2)").select("url", F.concat(F.lit("<p>Terrein: "), whole, F.lit(" m2</p>")).alias("body"), F.array(F.lit("data:x"), F.concat(F.lit("//img.example/"), F.col("listing_id"))).alias("gallery"))
+    return feeds.with_details(cards, details).select("listing_id", "size_m2", F.array_join("images", " ").alias("images"))
+
+
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of both kinds of source under one schema, a source that fails left out."""
     sources = {
@@ -276,7 +297,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         listing_filter, viewer_filter, slider_stops, date_join, place_lookup, street_exact, street_fuzzy, street_containing, district_boxes, box_join, verified_apply, geocode_cascade, placement_counts, resort_areas, quality_score, buckets, fingerprints, dedup_source_id, dedup_greedy,
-        merged_listings, image_union, run_merge, run_gone, run_counts, price_change, queue_first, tier_counts, store_insert, source_counts, source_list, match_rate, nearest_names, final_rank, json_round_trip, street_dimension, html_cards, html_blocks, source_union,
+        merged_listings, image_union, run_merge, run_gone, run_counts, price_change, queue_first, tier_counts, store_insert, source_counts, source_list, match_rate, nearest_names, final_rank, json_round_trip, street_dimension, html_cards, html_blocks, rest_rows, detail_join, source_union,
     )
 }
 
@@ -353,5 +374,7 @@ SELECT listing_id, street_id, name FROM p WHERE pref IS NOT NULL QUALIFY row_num
     "json_round_trip": "SELECT url, title, street, CASE WHEN isnan(price) THEN NULL ELSE price END AS price, coalesce(CAST(len(images) AS INTEGER), 0) AS n_images FROM feed_items",
     "street_dimension": "SELECT trim(name) AS name, trim(ressort) AS ressort, round_even(lat, 6) AS lat, round_even(lon, 6) AS lon FROM streets WHERE name <> ''",
     "html_cards": "SELECT url, regexp_replace(trim(title), '\\s+', ' ', 'g') AS title, round_even(price, 0) AS price, CASE WHEN round_even(size_m2, 0) > 0 THEN round_even(size_m2, 0) END AS size_m2 FROM site_listings WHERE url IS NOT NULL AND price IS NOT NULL AND NOT isnan(price)",
+    "rest_rows": "SELECT listing_id, url, resort, district, title_type, CASE WHEN round_even(size_m2, 0) > 0 THEN round_even(size_m2, 0) END AS size_m2, first_seen AS posted, '+5978543210' AS phones FROM site_listings WHERE price IS NOT NULL AND NOT isnan(price)",
+    "detail_join": "SELECT listing_id, CASE WHEN isnan(size_m2) OR round_even(size_m2, 0) <= 0 THEN NULL ELSE round_even(size_m2, 0) END AS size_m2, CASE WHEN size_m2 IS NULL OR isnan(size_m2) THEN '' ELSE 'https://img.example/' || listing_id END AS images FROM site_listings",
     "source_union": "SELECT 'sites' AS source, count(*) AS n, count(url) AS with_url FROM site_listings UNION ALL SELECT 'feed', count(*), count(url) FROM feed_items",
 }

@@ -178,7 +178,18 @@ _NORM = _fmt(_NORMAL.replace("{{0}}", "{0}"), "t")
 _PART = "trim(lower(" + _CLEAN + "), ' ,.;:-')"
 _DISTRICT = "(SELECT min(district) FROM (SELECT DISTINCT district FROM streets WHERE district <> '') d WHERE regexp_matches({0}, '(?i)\\b' || d.district || '\\b'))"
 
+_PRICE_OF = _PRICE.strip()
+_FALLBACK = f"""
+WITH src AS (SELECT record_id, lower({_CLEAN.format('price_text')}) AS t FROM feed_items),
+p AS (SELECT record_id, amount_ AS amount, CASE WHEN amount_ IS NOT NULL THEN coalesce(code_, 'EUR') ELSE code_ END AS cur FROM ({_PRICE_OF})),
+z AS (WITH src AS (SELECT record_id, {_CLEAN.format('size_text')} AS t FROM feed_items) SELECT record_id, size_ FROM ({_SIZE.strip()})),
+d AS (SELECT record_id, len({_PHONES}) AS n FROM (SELECT record_id, {_CLEAN.format('description')} AS t FROM feed_items)),
+j AS (SELECT f.record_id, CASE WHEN isnan(price) THEN NULL ELSE price END AS own, amount, cur, currency, phones, CASE WHEN isnan(size_m2) THEN NULL ELSE size_m2 END AS s, size_, d.n AS found FROM feed_items f JOIN p USING (record_id) JOIN z USING (record_id) JOIN d USING (record_id)),
+e AS (SELECT coalesce(own, amount) AS price, CASE WHEN coalesce(own, amount) <> 0 THEN coalesce(nullif(CASE WHEN own IS NOT NULL THEN currency ELSE cur END, ''), 'SRD') END AS currency, coalesce(s, size_) AS size, CASE WHEN len(phones) > 0 THEN len(phones) ELSE found END AS n_phones FROM j)
+SELECT currency, count(*) AS n, count(price) AS priced, count(size) AS sized, count(*) FILTER (WHERE n_phones > 0) AS with_phone FROM e GROUP BY 1"""
+
 SQL = {
+    "feed_fallbacks": _FALLBACK,
     "clean_markup": f"SELECT doc_id, md5({_CLEAN.format('text')}) AS cleaned FROM documents WHERE text IS NOT NULL",
     "slug_key": "SELECT listing_id, trim(regexp_replace(lower(strip_accents(coalesce(title, ''))), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM site_listings",
     "street_key": rf"""

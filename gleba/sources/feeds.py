@@ -108,3 +108,20 @@ def union_of(sources: dict, only: list[str] | None = None) -> DataFrame:
     for df in got[1:]:
         schema = schema.unionByName(df, allowMissingColumns=True)
     return schema
+
+
+def with_details(cards: DataFrame, details: DataFrame) -> DataFrame:
+    """Cards (url, size_m2, images, ...) with what their detail pages (url, body, gallery) add: the size where it is missing, the text, the pictures if there are any."""
+    pages = details.select("url", T.clean(F.col("body")).alias("__body"), T.clean_image_urls(F.filter("gallery", lambda u: ~u.startswith("data:")), 8).alias("__gallery"))
+    joined = cards.drop("__body", "__gallery").join(pages, "url", "left")
+    out = {
+        "size_m2": F.when(T.truthy(F.col("size_m2"), "number"), F.col("size_m2")).otherwise(T.detail_size(F.col("__body"))),
+        "description": F.coalesce(F.nullif(F.substring("__body", 1, 900), F.lit("")), F.col("description") if "description" in cards.columns else F.lit(None)),
+        "images": F.when(T.truthy(F.col("__gallery"), "array"), F.col("__gallery")).otherwise(F.col("images")),
+    }
+    return joined.withColumns(out).drop("__body", "__gallery")
+
+
+def with_page_phones(cards: DataFrame, page_texts: DataFrame, most: int = 2) -> DataFrame:
+    """Cards (page_id, ...) with the phones of their whole page (page_id, text)."""
+    return cards.join(page_texts.select("page_id", T.parse_phones(T.clean(F.col("text")), most).alias("phones")), "page_id", "left")
