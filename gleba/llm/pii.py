@@ -52,7 +52,8 @@ _OPEN = re.compile(rf"\b((?:[A-Z][\w'-]*\s)?(?!zijstraat|hoofdweg|toegangsweg)[^
 _W = r"[^\W\d_]+(?:['’][^\W\d_]+)?"
 _LAST = rf"{_W}(?:-{_W})?"
 _TUSSEN = r"(?:(?:van|de|der|den|ten|ter|el|la)\s){0,2}"
-_NAME = rf"(?:(?:[A-Za-z]\.){{1,4}}\s?{_TUSSEN}{_LAST}|{_LAST}(?:\s{_TUSSEN}{_LAST})?)"
+_NO_LAST = r"(?!(?:bereiken|bellen|mailen|appen|op|heeft|staat|voor|en|of|via)\b)"
+_NAME = rf"(?:(?:[A-Za-z]\.){{1,4}}\s?{_TUSSEN}{_LAST}|{_LAST}(?:\s{_TUSSEN}{_NO_LAST}{_LAST})?)"
 _TITLE = r"(?:(?:mevr(?:ouw)?|dhr|heer|de heer|meneer|mw|mr|mrs|ms|drs|ing|ir|dr)\b\.?\s+)?"
 #: Cue, name, and what ends the name.
 _NAME_BEFORE = re.compile(
@@ -146,30 +147,27 @@ def find_personal(text: str, phones_too: bool = True) -> list[tuple[int, int, st
         k = 1 if m.group(1) else 2
         if _is_name(m.group(k)):
             take(*m.span(k), "name", m.group(k))
-    for pattern, cues in ((_NAME_AFTER, _AFTER_CUES), (_NAME_PHONE, ("(geen", "( geen", "(no"))):
-        for m in pattern.finditer(text) if any(cue in low for cue in cues) else ():
-            a, name = m.start(1), m.group(1)
-            words = name.split()
-            if len(words) == 2 and "." not in words[0]:
-                before = text[:a].rstrip()
-                if not _alike(*words) or words[0].lower() in _STARTERS or _overlaps(taken, a, a + len(words[0])):
-                    a, name = m.end(1) - len(words[1]), words[1]
-                elif before and before[-1] not in ".!?,;…)>" and before[-1].isalpha() and words[0][0].islower() and before.split()[-1][0].islower():
-                    pass
-            if _is_name(name):
-                take(a, a + len(name), "name", name)
     for m in _NAME_OPEN.finditer(text) if any(cue in low for cue in _OPEN_CUES) else ():
         first, second, gap, after = m.group(1), m.group(2), m.group(3), m.group(4)
         end = m.end(1)
         if second and not ("." in first and " " in first) and "." not in first:
             ended = bool(re.match(r"\s*[.,;!?)…]", text[m.end(2) :])) or m.end(2) == len(text.rstrip())
-            surname = second.lower() not in _STARTERS and _alike(first, second)
+            surname = second.lower().split("-")[0] not in _STARTERS and _alike(first, second)
             if surname and (ended or not first.istitle() or not after[:1].islower() or after.lower().rstrip(":") in ("whatsapp", "mail", "identiteitskaart", "tel", "app")):
                 end = m.end(2)
             elif surname and first.istitle() and after[:1].islower() and re.match(r"^\S+\s", text[m.end(2) :].lstrip()) and _starts_lower(text, m.end(2)):
                 end = m.end(2)
         if _is_name(text[m.start(1) : end]):
             take(m.start(1), end, "name", text[m.start(1) : end])
+    for pattern, cues in ((_NAME_AFTER, _AFTER_CUES), (_NAME_PHONE, ("(geen", "( geen", "(no"))):
+        for m in pattern.finditer(text) if any(cue in low for cue in cues) else ():
+            a, name = m.start(1), m.group(1)
+            words = name.split()
+            if len(words) == 2 and "." not in words[0]:
+                if not _alike(*words) or words[0].lower() in _STARTERS or "-" in words[0] or _overlaps(taken, a, a + len(words[0])):
+                    a, name = m.end(1) - len(words[1]), words[1]
+            if _is_name(name):
+                take(a, a + len(name), "name", name)
     return sorted(out)
 
 

@@ -18,7 +18,7 @@ def found(text):
         ("Mail: <Asha.Rima@firma.example> graag", [("email", "asha.rima@firma.example")]), ("aan ruwan-grond [at] firma punt example met", [("email", "ruwan-grond@firma.example")]), ("k_lo(at)garal.example voor", [("email", "k_lo@garal.example")]), ("mail feroz.ju @ tato.example met", [("email", "feroz.ju@tato.example")]), ("mailto:X@Y.EXAMPLE.", [("email", "x@y.example")]),
         ("Volmacht op ID HT 297 492.", [("id", "HT297492")]), ("ID-nr. fl-573213 is op naam", [("id", "FL573213")]), ("partij AB 123456 hout", []),
         ("Mijn adres is Wanplosenmaboestr. 167b. Bezichtiging", [("address", "Wanplosenmaboestr. 167b")]), ("Ik woon op Renveroedasoeln 102, kom", [("address", "Renveroedasoeln 102")]), ("Sleutel ophalen: X-weg no. 18A.", [("address", "X-weg no. 18A")]), ("Kantoor: Grote Kerkstraat 12, Noord", [("address", "Grote Kerkstraat 12")]), ("Tweede zijstraat links vanaf de Kerkweg. 423 m² groot. Op 12 min van de Kerkweg.", []),
-        ("Vraag naar RAVINDRA NARAL.", [("name", "RAVINDRA NARAL")]), ("Eigenaar is dhr. M.A. Jusol.", [("name", "M.A. Jusol")]), ("U kunt mevr. sunita laka bereiken.", [("name", "sunita laka")]), ("Contactpersoon: Soeraya Ruilen met een auto", [("name", "Soeraya")]), ("Contactpersoon: Soeraya Lakan-Tona Hoekkavel met", [("name", "Soeraya Lakan-Tona")]), ("hoek. Glenda Rita heeft de sleutel", [("name", "Glenda Rita")]),
+        ("Vraag naar RAVINDRA NARAL.", [("name", "RAVINDRA NARAL")]), ("Eigenaar is dhr. M.A. Jusol.", [("name", "M.A. Jusol")]), ("U kunt mevr. sunita laka bereiken.", [("name", "sunita laka")]), ("U kunt mevr. Roslien bereiken.", [("name", "Roslien")]), ("Contactpersoon: Asha E-mail x", [("name", "Asha")]), ("Contactpersoon: Soeraya Ruilen met een auto", [("name", "Soeraya")]), ("Contactpersoon: Soeraya Lakan-Tona Hoekkavel met", [("name", "Soeraya Lakan-Tona")]), ("hoek. Glenda Rita heeft de sleutel", [("name", "Glenda Rita")]),
         ("Bel Asha Rita op 918-6367.", [("phone", "9186367"), ("name", "Asha Rita")]), ("Ruwan, 980/3667 (geen sms)", [("phone", "9803667"), ("name", "Ruwan")]), ("Aangeboden door Noord Vastgoed. Verkoop namens Makelaardij Baral. Zie www.firma.example", []), ("Bezichtiging alleen (lees meer)", []), ("", []), ("geb. 1-2-1980", [("birth", "1980-02-01")]),
     ],
 )
