@@ -23,37 +23,32 @@ from pyspark.sql import DataFrame, functions as F
 from gleba.llm.tokens import VOCABULARY, Encoder, encoder, may_exceed
 
 LIMIT, OVERLAP, LEAST = 2048, 64, 0.5
-_SECTION = re.compile(r"(?:^|\n)[ \t]*(?=(?:#{1,6}\s|={3,}|-{3,}|\*{3,}|(?:hoofdstuk|artikel|paragraaf|chapter|section|deel)\s+\w+|\d+(?:\.\d+)*\.?\s+[A-Z][^\n]{0,80}\n|[A-Z][A-Z \d'&-]{5,80}\n)|<(?:h[1-6]|section|article|hr)\b)", re.I)
+_SECTION = re.compile(r"(?:^|\n)[ \t]*(?=#{1,6}\s|={3,}|-{3,}|\*{3,}|(?:hoofdstuk|artikel|paragraaf|chapter|section|deel)\s+\w+|\d+(?:\.\d+)*\.?\s+[^\n]{1,80}\n|<(?:h[1-6]|section|article|hr)\b)", re.I)
 _HEADING_CAPS = re.compile(r"\n[ \t]*(?=[A-Z][A-Z \d'&-]{5,80}\r?\n)")
 
 
 def strengths(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
     """The strength of the gap before each pretoken, and of the end of the text."""
     out = np.zeros(len(spans) + 1, dtype=np.int8)
-    sections = {m.end() for m in re.finditer(r"(?:^|\n)[ \t]*(?=#{1,6}\s|={3,}|-{3,}|\*{3,}|(?:hoofdstuk|artikel|paragraaf|chapter|section|deel)\s+\w+|\d+(?:\.\d+)*\.?\s+[^\n]{1,80}\n|<(?:h[1-6]|section|article|hr)\b)", text, re.I)} | {m.end() for m in _HEADING_CAPS.finditer(text)}
-    tail, at = "", 0  # the last characters before the gap
-    for i, (a, b, _) in enumerate(spans):
-        if i:
-            before = text[max(0, a - 6) : a]
-            here = text[a : a + 1]
-            run = before[len(before.rstrip()) :]
-            stem = before.rstrip()[-1:]
-            breaks = run.replace("\r\n", "\n").replace("\r", "\n").count("\n")
-            if here.isspace() and here != " ":
-                s = 0  # never inside a run of white space
-            elif a in sections or (here == " " and a + 1 in sections):
-                s = 5
-            elif breaks >= 2 or text[max(0, a - 4) : a].lower().endswith(("</p>", "/li>", "div>")):
-                s = 4
-            elif breaks == 1:
-                s = 3
-            elif (run or here == " ") and stem and stem in ".!?…:;\"”)" and stem in ".!?…":
-                s = 2
-            elif (run or here == " ") and stem and stem in ",;:":
-                s = 1
-            else:
-                s = 0
-            out[i] = s
+    sections = {m.end() for pattern in (_SECTION, _HEADING_CAPS) for m in pattern.finditer(text)}
+    marks = {a - 1 for a in sections} | sections  # a pretoken may carry the blank before it
+    for i, (a, _, _) in enumerate(spans):
+        if not i or (text[a - 1].isalnum() and a not in marks):
+            continue  # inside a word, or between two words: no boundary
+        here, before = text[a], text[max(0, a - 6) : a]
+        word = before.rstrip()
+        run, stem = before[len(word) :], word[-1:]
+        breaks = run.replace("\r\n", "\n").replace("\r", "\n").count("\n")
+        if here.isspace() and here != " ":
+            continue  # never inside a run of white space
+        if a in sections or (here == " " and a + 1 in sections):
+            out[i] = 5
+        elif breaks >= 2 or before[-4:].lower() in ("</p>", "/li>", "div>"):
+            out[i] = 4
+        elif breaks == 1:
+            out[i] = 3
+        elif run or here == " ":
+            out[i] = 2 if stem and stem in ".!?…" else 1 if stem and stem in ",;:" else 0
     out[0] = out[-1] = 6
     return out
 
@@ -98,15 +93,25 @@ def split(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, least: f
     if not text:
         return []
     enc = enc or encoder()
-    spans = enc.pretokens(text)
-    total = sum(n for _, _, n in spans)
+    total = enc.count(text)
     if total <= limit:
         return [(0, len(text), total)]
-    spans = _fine(text, spans, limit, enc)
+    whole = enc.pretokens(text)
+    spans = _fine(text, whole, limit, enc)
     ends = np.cumsum([0] + [n for _, _, n in spans])  # tokens before each gap
     top = RangeMaximum(strengths(text, spans), limit + 1)
     at = lambda i: spans[i][0] if i < len(spans) else len(text)
     out, start, last = [], 0, len(spans)
+
+    def size(end: int) -> int:
+        """Tokens of the piece start .. end, encoded alone: only white space at its end may encode otherwise than in the text."""
+        if len(spans) != len(whole):
+            return enc.count(text[at(start) : at(end)])
+        k = end
+        while k > start and text[at(k - 1) : at(k)].isspace():
+            k -= 1
+        return int(ends[k] - ends[start]) + enc.count(text[at(k) : at(end)])
+
     while True:
         hi = int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1
         if hi >= last:
@@ -114,10 +119,10 @@ def split(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, least: f
         else:
             lo = int(np.searchsorted(ends, ends[start] + int(limit * least), side="left"))
             end = top.top(max(start + 1, min(lo, hi)), max(hi, start + 1))
-        n = enc.count(text[at(start) : at(end)])
+        n = size(end)
         while n > limit and end > start + 1:  # a cut may leave white space that encodes otherwise
             end -= 1
-            n = enc.count(text[at(start) : at(end)])
+            n = size(end)
         out.append((at(start), at(end), n))
         if end >= last:
             return out

@@ -34,7 +34,6 @@ class Encoder:
             self.ranks = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.words = {i: w for w, i in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.spans = regex.compile(pattern).finditer
         self.automaton = ahocorasick.Automaton()
         for w in self.ranks:
             self.automaton.add_word(w, len(w))
@@ -119,10 +118,16 @@ class Encoder:
 
     def pretokens(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, number of tokens) of each pretoken of a text, in characters."""
-        return [(*m.span(), len(self._ids(m.group()))) for m in self.spans(text)]
+        get, ids, out, at = self.known.get, self._ids, [], 0
+        for piece in self.split(text):  # the pretokens cover the text without gaps
+            end = at + len(piece)
+            out.append((at, end, len(get(piece) or ids(piece))))
+            at = end
+        return out
 
     def count(self, text: str | None) -> int:
-        return sum(len(self._ids(p)) for p in self.split(text)) if text else 0
+        get, ids = self.known.get, self._ids
+        return sum(len(get(p) or ids(p)) for p in self.split(text)) if text else 0
 
 
 _ENCODERS: dict[str, Encoder] = {}
