@@ -36,7 +36,7 @@ def viewer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slider_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prices at 0, 10, ... 100 % of the adverts, for a slider that follows the spread."""
     p = F.percentile("price", F.array(*[F.lit(i / 10) for i in range(11)]))
-    return _listings(spark, sf_dir).where("currency = 'EUR' and price is not null and not isnan(price)").agg(p.alias("p")).select(F.posexplode("p").alias("stop", "price"))
+    return _listings(spark, sf_dir).where("currency = 'EUR' and price is not null and not isnan(price)").agg(p.alias("p")).select(F.posexplode("p").alias("stop", "x")).select("stop", F.round("x", 2).alias("price"))
 
 
 def date_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +341,7 @@ SQL = {
     "placement_counts": f"SELECT geocode_quality, count(*) AS n FROM ({_CASCADE}) GROUP BY 1",
     "listing_filter": f"SELECT doc_id, doc_type FROM documents WHERE {_NO_NEWS} AND (coalesce(agent, '') <> '' OR coalesce(posted, '') <> '')",
     "viewer_filter": "SELECT record_id, price, size_m2 FROM feed_items WHERE lower(concat_ws(' ', title, street, description)) LIKE '%kavel%' AND price BETWEEN 10000 AND 200000 AND size_m2 BETWEEN 200 AND 5000 AND len(images) > 0",
-    "slider_stops": "SELECT CAST(i AS INTEGER) AS stop, p[i + 1] AS price FROM (SELECT quantile_cont(price, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS p FROM site_listings WHERE currency = 'EUR' AND price IS NOT NULL AND NOT isnan(price)), range(11) t(i)",
+    "slider_stops": "SELECT CAST(i AS INTEGER) AS stop, round(p[i + 1], 2) AS price FROM (SELECT quantile_cont(price, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS p FROM site_listings WHERE currency = 'EUR' AND price IS NOT NULL AND NOT isnan(price)), range(11) t(i)",
     "date_join": "SELECT listing_id, CASE WHEN posted <> '' THEN posted ELSE arg_max(first_seen, listing_id) OVER (PARTITION BY lower(url)) END AS posted FROM site_listings",
     "place_lookup": "SELECT listing_id, coalesce(d, '') AS district FROM site_listings LEFT JOIN (SELECT lower(ressort) AS r, min(district) AS d FROM streets GROUP BY 1) ON lower(resort) = r",
     "street_exact": f"""
