@@ -188,7 +188,26 @@ j AS (SELECT f.record_id, CASE WHEN isnan(price) THEN NULL ELSE price END AS own
 e AS (SELECT coalesce(own, amount) AS price, CASE WHEN coalesce(own, amount) <> 0 THEN coalesce(nullif(CASE WHEN own IS NOT NULL THEN currency ELSE cur END, ''), 'SRD') END AS currency, coalesce(s, size_) AS size, CASE WHEN len(phones) > 0 THEN len(phones) ELSE found END AS n_phones FROM j)
 SELECT currency, count(*) AS n, count(price) AS priced, count(size) AS sized, count(*) FILTER (WHERE n_phones > 0) AS with_phone FROM e GROUP BY 1"""
 
+_FIND = f"""
+WITH base AS (SELECT doc_id, {_CLEAN.format('text')} AS c FROM documents WHERE text IS NOT NULL),
+cand AS (SELECT doc_id, 0 AS pos, regexp_extract(c, '{T.PRICE_LABEL}', 1) AS m FROM base
+  UNION ALL SELECT doc_id, unnest(generate_series(1, len(l))), unnest(l) FROM (SELECT doc_id, regexp_extract_all(c, '{T.PRICE_NEAR}', 1) AS l FROM base)),
+src AS (SELECT doc_id, pos, m, lower(m) AS t FROM cand), p AS ({_PRICE_OF})
+SELECT doc_id, amount_ AS amount, coalesce(code_, 'EUR') AS currency, per AS per_m2 FROM p
+WHERE amount_ BETWEEN 1000 AND 3000000 AND (amount_ < 1000000 OR regexp_matches(m, '[.,]'))
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos > 0, amount_ DESC, pos) = 1"""
+_LABELS = ", ".join(f"({i}, '{label}')" for i, label in enumerate(T.DETAIL_LABELS))
+_LABELLED = f"""
+WITH base AS (SELECT record_id, {_CLEAN.format('description')} AS c FROM feed_items WHERE description IS NOT NULL),
+src AS (SELECT record_id, 'a' AS kind, 0 AS pos, regexp_extract(c, '{T.SIZE_LABEL}', 1) AS t FROM base
+  UNION ALL SELECT record_id, 'b', i, substring(c, instr(lower(c), l), 90) FROM base, (VALUES {_LABELS}) x(i, l) WHERE contains(lower(c), l)
+  UNION ALL SELECT record_id, k, 99, c FROM base, (VALUES ('a'), ('b')) y(k)),
+z AS ({_SIZE.strip()})
+SELECT record_id, arg_min(size_, pos) FILTER (WHERE kind = 'a' AND size_ IS NOT NULL) AS size_m2, arg_min(size_, pos) FILTER (WHERE kind = 'b' AND size_ IS NOT NULL) AS detail_m2 FROM z GROUP BY 1"""
+
 SQL = {
+    "find_price": _FIND,
+    "labelled_size": _LABELLED,
     "feed_fallbacks": _FALLBACK,
     "clean_markup": f"SELECT doc_id, md5({_CLEAN.format('text')}) AS cleaned FROM documents WHERE text IS NOT NULL",
     "slug_key": "SELECT listing_id, trim(regexp_replace(lower(strip_accents(coalesce(title, ''))), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM site_listings",
