@@ -41,6 +41,11 @@ def truthy(c: Column, kind: str = "string") -> Column:
     return F.coalesce({"string": c != "", "number": (c != 0) & ~F.isnan(c.cast("double")), "array": F.size(c) > 0}[kind], F.lit(False))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
 
@@ -116,13 +121,18 @@ def currency_token(t: Column) -> Column:
 
 def parse_price(cleaned: Column) -> Column:
     """struct(amount, currency, per_m2) of a cleaned text: its first number."""
-    t = F.lower(cleaned)
-    none = (t == "") | F.reduce(F.array(*[t.contains(w) for w in ON_REQUEST]), F.lit(False), lambda a, b: a | b)
-    raw = F.regexp_replace(F.regexp_extract(t, PRICE_NUMBER, 1), r"\s", "")
-    value = _decimal(raw, "2")
-    amount = F.when(~none & (value > 0), value)
-    code = F.when(~none, currency_token(t))
-    return F.struct(amount.alias("amount"), F.when(amount.isNotNull(), F.coalesce(code, F.lit("EUR"))).otherwise(code).alias("currency"), (~none & t.rlike(PER_M2)).alias("per_m2"))
+
+    def read(t: Column) -> Column:
+        none = (t == "") | F.reduce(F.array(*[t.contains(w) for w in ON_REQUEST]), F.lit(False), lambda a, b: a | b)
+        raw = F.regexp_replace(F.regexp_extract(t, PRICE_NUMBER, 1), r"\s", "")
+        return let(F.struct(none.alias("none"), let(raw, lambda r: _decimal(r, "2")).alias("value"), currency_token(t).alias("code"), t.rlike(PER_M2).alias("per")), told)
+
+    def told(x: Column) -> Column:
+        amount = F.when(~x["none"] & (x["value"] > 0), x["value"])
+        code = F.when(~x["none"], x["code"])
+        return F.struct(amount.alias("amount"), F.when(amount.isNotNull(), F.coalesce(code, F.lit("EUR"))).otherwise(code).alias("currency"), (~x["none"] & x["per"]).alias("per_m2"))
+
+    return let(F.lower(cleaned), read)
 
 
 def price_eur(amount: Column, currency: Column) -> Column:
@@ -132,22 +142,28 @@ def price_eur(amount: Column, currency: Column) -> Column:
 
 def parse_size(cleaned: Column) -> Column:
     """Square metres of the first area in a cleaned text. Only "ha" itself counts as hectares: the unit "hectare" starts with it."""
-    raw, unit = F.regexp_extract(cleaned, SIZE_NUMBER, 1), F.lower(F.regexp_extract(cleaned, SIZE_NUMBER, 2))
-    value = _decimal(raw, "0,2")
-    value = F.when(unit.startswith("ha"), value * HECTARE).when(unit.startswith("acre"), value * ACRE).otherwise(value)
-    return F.when(value > 0, F.bround(value, 1))
+    raw, unit = let(F.regexp_extract(cleaned, SIZE_NUMBER, 1), lambda r: _decimal(r, "0,2")), F.lower(F.regexp_extract(cleaned, SIZE_NUMBER, 2))
+
+    def metres(x: Column) -> Column:
+        value = F.when(x["unit"].startswith("ha"), x["value"] * HECTARE).when(x["unit"].startswith("acre"), x["value"] * ACRE).otherwise(x["value"])
+        return F.when(value > 0, F.bround(value, 1))
+
+    return let(F.struct(raw.alias("value"), unit.alias("unit")), metres)
 
 
 def labelled_size(cleaned: Column) -> Column:
     """The area after a size label, else the first one of the text."""
-    return F.coalesce(parse_size(F.regexp_extract(cleaned, SIZE_LABEL, 1)), parse_size(cleaned))
+    return let(cleaned, lambda c: F.coalesce(parse_size(F.regexp_extract(c, SIZE_LABEL, 1)), parse_size(c)))
 
 
 def detail_size(cleaned: Column) -> Column:
     """The area in the 90 characters from the first label that has one, else the first one of the text."""
-    low = F.lower(cleaned)
-    at = lambda label: F.when(low.contains(label), parse_size(F.substring(cleaned, F.instr(low, label), F.lit(90))))
-    return F.coalesce(*[at(label) for label in DETAIL_LABELS], parse_size(cleaned))
+
+    def read(x: Column) -> Column:
+        at = lambda label: F.when(x["low"].contains(label), parse_size(F.substring(x["c"], F.instr(x["low"], label), F.lit(90))))
+        return F.coalesce(*[at(label) for label in DETAIL_LABELS], parse_size(x["c"]))
+
+    return let(let(cleaned, lambda c: F.struct(c.alias("c"), F.lower(c).alias("low"))), read)
 
 
 def parse_phones(cleaned: Column, most: int = 4) -> Column:
@@ -169,12 +185,15 @@ def sane_price(amount: Column, written: Column) -> Column:
 
 def find_price(cleaned: Column) -> Column:
     """struct(amount, currency, per_m2) of an advert: behind the first price label, else the largest sane amount beside a currency (the first of equals)."""
-    label = F.regexp_extract(cleaned, PRICE_LABEL, 1)
-    named = parse_price(label)
+    return let(cleaned, _find_price)
+
+
+def _find_price(cleaned: Column) -> Column:
     near = F.transform(F.regexp_extract_all(cleaned, F.lit(PRICE_NEAR), 1), lambda m: F.struct(parse_price(m).alias("p"), m.alias("m")))
     sane = F.filter(near, lambda x: sane_price(x["p"]["amount"], x["m"]))
     best = F.aggregate(sane, F.lit(None).cast("struct<amount:double,currency:string,per_m2:boolean>"), lambda acc, x: F.when(acc.isNull() | (x["p"]["amount"] > acc["amount"]), x["p"]).otherwise(acc))
-    return F.when(sane_price(named["amount"], label), named).otherwise(best)
+    named = let(F.regexp_extract(cleaned, PRICE_LABEL, 1), lambda label: F.struct(parse_price(label).alias("p"), label.alias("m")))
+    return let(named, lambda n: F.when(sane_price(n["p"]["amount"], n["m"]), n["p"]).otherwise(best))
 
 
 def first_of(names: list[str], text: Column) -> Column:
