@@ -123,3 +123,22 @@ def test_streaming(spark, sf, tmp_path):
     assert spark.table("distinct_captures").count() == keyed.select("source_id", "seen_at").distinct().count()
     assert spark.table("weeks").agg(F.sum("captures")).first()[0] == feed.count()
     assert spark.table("states").select("source_id").distinct().count() == keyed.select("source_id").distinct().count()
+
+
+def test_details_and_page_phones(spark):
+    cards = spark.createDataFrame([(1, "u1", 0.0, ["a"]), (1, "u2", 300.0, ["b"]), (2, None, None, None)], "page_id int, url string, size_m2 double, images array<string>")
+    details = spark.createDataFrame([("u1", "<p>Oppervlakte 450 m2</p>", ["data:x", "//c"]), ("u2", None, None)], "url string, body string, gallery array<string>")
+    got = {r.url: (r.size_m2, r.images) for r in feeds.with_details(cards, details).collect()}
+    assert got == {"u1": (450.0, ["https://c"]), "u2": (300.0, ["b"]), None: (None, None)}
+    pages = spark.createDataFrame([(1, "bel 854-3210 of 854-3211 of 854-3212")], "page_id int, text string")
+    assert {r.url: r.phones for r in feeds.with_page_phones(cards, pages).collect()} == {"u1": ["+5978543210", "+5978543211"], "u2": ["+5978543210", "+5978543211"], None: None}
+
+
+def test_location_parts(spark):
+    df = spark.createDataFrame([("Kerkweg 1, Noord, Wanica", "Wanica - Noord - Oost"), ("Noord", "ergens in Para"), (None, None)], "p string, q string")
+    names = ["Para", "Wanica"]
+    get = lambda c, mode: [tuple(r.x) for r in df.select(feeds.split_location(F.col(c), mode, names).alias("x")).collect()]
+    assert get("p", "street_first") == [("Kerkweg 1", "Noord", "Wanica"), ("Noord", None, None), (None, None, None)]
+    assert get("p", "ends") == [(None, "Kerkweg 1", "Wanica"), (None, None, None), (None, None, None)]
+    assert get("p", "resort_first") == [(None, "Kerkweg 1", "Wanica"), (None, "Noord", None), (None, None, None)]
+    assert get("q", "dash") == [(None, "Noord - Oost", "Wanica"), (None, None, "Para"), (None, None, None)]
