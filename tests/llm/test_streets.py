@@ -1,5 +1,4 @@
 import random
-import string
 
 import pytest
 from gleba.llm import addresses as A, matching as M, streets as S
@@ -139,4 +138,3 @@ def test_latent_classes_recover_a_planted_model():
     assert (2, 3) in model.cliques and abs(model.prior - 0.3) < 0.02
     assert ((model.posterior(patterns)[inverse] > 0.5) == truth).mean() > 0.95
     assert len(TwoClasses([2, 2]).fit(np.zeros((0, 2), int), np.zeros(0), np.zeros(0)).posterior(np.zeros((0, 2), int))) == 0
-    assert string
