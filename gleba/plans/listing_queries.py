@@ -214,7 +214,7 @@ def match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five register names nearest to each other name of their first letter, by edit distance, ties by name."""
-    names = table(spark, sf_dir, "streets").select("name").distinct().withColumn("letter", F.substring("name", 1, 4))
+    names = table(spark, sf_dir, "streets").select("name").distinct().withColumn("letter", F.substring("name", 1, 1))
     pairs = names.join(names.withColumnRenamed("name", "other"), "letter").where("name <> other").withColumn("d", F.levenshtein("name", "other"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("d", F.desc("other")))).where("rank <= 5").select("name", "other", "rank")
 

@@ -142,3 +142,12 @@ def test_location_parts(spark):
     assert get("p", "ends") == [(None, "Kerkweg 1", "Wanica"), (None, None, None), (None, None, None)]
     assert get("p", "resort_first") == [(None, "Kerkweg 1", "Wanica"), (None, "Noord", None), (None, None, None)]
     assert get("q", "dash") == [(None, "Noord - Oost", "Wanica"), (None, None, "Para"), (None, None, None)]
+
+
+def test_nearest_names_are_those_of_the_first_letter(spark, sf):
+    import duckdb
+    from gleba.plans.listing_queries import nearest_names
+
+    near = f"SELECT a.name, b.name AS other, row_number() OVER (PARTITION BY a.name ORDER BY levenshtein(a.name, b.name), b.name DESC) AS rank FROM n a, n b WHERE left(a.name, 1) = left(b.name, 1) AND a.name <> b.name QUALIFY rank <= 5"
+    want = duckdb.sql(f"WITH n AS (SELECT DISTINCT name FROM '{sf}/streets.parquet') {near}").fetchall()
+    assert sorted(tuple(r) for r in nearest_names(spark, sf).collect()) == sorted(want)
