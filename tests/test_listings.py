@@ -151,3 +151,71 @@ def test_nearest_names_are_those_of_the_first_letter(spark, sf):
     near = f"SELECT a.name, b.name AS other, row_number() OVER (PARTITION BY a.name ORDER BY levenshtein(a.name, b.name), b.name DESC) AS rank FROM n a, n b WHERE left(a.name, 1) = left(b.name, 1) AND a.name <> b.name QUALIFY rank <= 5"
     want = duckdb.sql(f"WITH n AS (SELECT DISTINCT name FROM '{sf}/streets.parquet') {near}").fetchall()
     assert sorted(tuple(r) for r in nearest_names(spark, sf).collect()) == sorted(want)
+
+
+def place_of(street, title, normal, rest, resort, district, register):
+    """The cascade for one advert without own or checked coordinates, over plain lists. register: (name, ressort, district, lat, lon) in order."""
+    import difflib
+
+    by_key = {}
+    for r in register:
+        by_key.setdefault(places._fold(r[0]), []).append(r)
+    low = lambda v: (v or "").lower()
+
+    def pick(rows):
+        for r in rows:
+            if resort and low(resort) in low(r[1]):
+                return r
+        if district:
+            here = [r for r in rows if low(r[2]) == low(district)]
+            return here[0] if here else None if any(r[2] for r in rows) else rows[0]
+        return rows[0]
+
+    def find(name, fuzzy):
+        k = places._fold(name)
+        if k in by_key:
+            return pick(by_key[k])
+        if not (k and fuzzy):
+            return None
+        pool = [x for x, rows in by_key.items() if not district or any(low(r[2]) == low(district) for r in rows)] or list(by_key)
+        digits = lambda v: "".join(c for c in v if c.isdigit())
+        for x in difflib.get_close_matches(k, [x for x in pool if x[:1] == k[:1]], n=5, cutoff=0.88):
+            name_there = by_key[x][0][0]
+            if digits(name_there) == digits(name) and places.gestalt(places._stem(name_there), places._stem(name)) >= 0.87 and pick(by_key[x]):
+                return pick(by_key[x])
+        return None
+
+    resort, district = resort or (rest if rest and 3 < len(rest) < 30 else None), district or None
+    tried = [(c, fuzzy) for text in (street or title, normal) for fuzzy in (False, True) for c in places.candidates(text)]
+    hit = next((h for c, fuzzy in tried if (h := find(c, fuzzy))), None) or (find(normal, False) if places._fold(normal) else None)
+    mean = lambda rows: (sum(r[3] for r in rows) / len(rows), sum(r[4] for r in rows) / len(rows))
+    box = [r for r in register if r[2] == district and district]
+    if hit and (not box or all(min(r[i] for r in box) - 0.02 <= hit[i] <= max(r[i] for r in box) + 0.02 for i in (3, 4))):
+        return ("street", *hit[3:])
+    areas = sorted({(low(r[1]) != low(resort), r[1], r[2]) for r in register if resort and r[1] and low(resort) in low(r[1]) and (not district or low(r[2]) == low(district))})
+    rows = [r for r in register if areas and (r[1], r[2]) == areas[0][1:]] or [r for r in register if district and low(r[2]) == low(district)]
+    return ("area", *mean(rows)) if rows else ("none", None, None)
+
+
+def test_cascade_reads_headlines_misspelt_names_and_districts(spark, sf):
+    from gleba.functions import text as T
+
+    streets = spark.read.parquet(f"{sf}/streets.parquet")
+    a, b = next((x, y) for x in streets.where("name rlike '^[A-Za-z]{6,}straat$'").orderBy("street_id").collect() for y in [streets.where(F.col("district") != x.district).first()])
+    slip = a.name[:3] + a.name[4:]
+    planted = [(-1, f"hk {a.name} 12 te koop", None, a.ressort, a.district), (-2, f"perceel {a.name} nr. 78", None, None, a.district), (-3, slip, None, None, a.district), (-4, None, f"Bouwkavel {a.name} {a.ressort}", None, None),
+               (-5, "zomaar iets", None, None, a.district), (-6, "zomaar iets", None, "Nergens", a.district), (-7, "zomaar iets", None, a.ressort, None), (-8, a.name, None, None, b.district), (-9, "", None, None, None), (-10, slip, "x", "Nergens", "Nergens")]
+    rows = spark.createDataFrame(planted, "listing_id long, street string, title string, resort string, district string")
+    rows = rows.unionByName(spark.read.parquet(f"{sf}/site_listings.parquet").select(*rows.columns))
+    none = F.lit(None).cast("double")
+    checked = spark.createDataFrame([], "key string, lat double, lon double, confidence string")
+    got = {r.listing_id: r for r in places.cascade(rows.withColumns({"lat": none, "lon": none}), streets, checked, "listing_id").collect()}
+    head = T.clean(F.when(T.truthy(F.col("street")), F.col("street")).otherwise(F.col("title")))
+    asked = rows.withColumns({"normal": T.normalise_street(head), "rest": T.extract_street(head)["rest"], "resort": T.clean(F.col("resort")), "district": T.clean(F.col("district"))}).collect()
+    register = [(r.name, r.ressort, r.district, r.lat, r.lon) for r in streets.orderBy("street_id").collect()]
+    assert len(got) == len(asked)
+    for r in asked:
+        want, found = place_of(r.street, r.title, r.normal, r.rest, r.resort, r.district, register), got[r.listing_id]
+        assert found.geocode_quality == want[0], r
+        assert want[1] is None or max(abs(found.lat - want[1]), abs(found.lon - want[2])) < 2e-6, r
+    assert [got[i].geocode_quality for i in (-1, -2, -3, -4, -5, -6, -7)] == ["street"] * 4 + ["area"] * 3
