@@ -146,27 +146,31 @@ def image_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.ordered_union(df, "source_id", "record_id", "images", 10).select("source_id", F.array_join("images", " ").alias("images"))
 
 
-def _run(spark, sf_dir, date):
-    df = table(spark, sf_dir, "feed_snapshots").where(F.col("snapshot_date").cast("string") == date).withColumn("key", item_number(F.col("url"))).where("key is not null")
-    return runs.last_wins(df.select("key", F.nanvl("price", F.lit(None).cast("double")).alias("price"), "loaded_at"), "key", F.struct("loaded_at", "price")).drop("loaded_at")
+def _runs(spark, sf_dir):
+    """(rows, dates): the last capture of each advert in each delivery, and the deliveries."""
+    df = table(spark, sf_dir, "feed_snapshots").withColumn("run_date", F.col("snapshot_date").cast("string"))
+    rows = df.withColumn("key", item_number(F.col("url"))).where("key is not null and run_date is not null").select("run_date", "key", F.nanvl("price", F.lit(None).cast("double")).alias("price"), "loaded_at")
+    last = rows.groupBy("run_date", "key").agg(F.max_by("price", F.struct("loaded_at", "price")).alias("price"))
+    return last, runs.deliveries(df)
 
 
 def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second delivery onto the first: new or not, first seen, the price before."""
-    old = _run(spark, sf_dir, "2025-11-02").withColumn("first_seen", F.lit("2025-11-02"))
-    return runs.merge_run(old, _run(spark, sf_dir, "2025-11-09"), "2025-11-09").select("key", F.round("price", 2).alias("price"), "first_seen", "last_seen", "is_new", F.round("previous_price", 2).alias("previous_price"))
+    """Each delivery but the first onto the one before: new or not, first seen, the price before."""
+    merged = runs.merge_runs(*_runs(spark, sf_dir)).where("n > 1")
+    return merged.select("run_date", "key", F.round("price", 2).alias("price"), "first_seen", "last_seen", "is_new", F.round("previous_price", 2).alias("previous_price"))
 
 
 def run_gone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.gone(_run(spark, sf_dir, "2025-11-02"), _run(spark, sf_dir, "2025-11-09")).select("key", "still_listed")
+    return runs.gone_runs(*_runs(spark, sf_dir))
 
 
 def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active, new and gone adverts of the second delivery, in one row."""
-    merged, lost = run_merge(spark, sf_dir), run_gone(spark, sf_dir)
-    one = lambda df, active, new, gone: df.select(F.lit(active).alias("a"), new.cast("int").alias("n"), F.lit(gone).alias("g"))
-    both = one(merged, 1, F.col("is_new"), 0).unionByName(one(lost, 0, F.lit(False), 1))
-    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(k) for c, k in (("a", "active"), ("n", "new_this_run"), ("g", "gone_since_last_run"))])
+    """Active, new and gone adverts of each delivery but the first, a row each."""
+    rows, dates = _runs(spark, sf_dir)
+    one = lambda df, active, new, gone: df.select("run_date", F.lit(active).alias("a"), new.cast("int").alias("n"), F.lit(gone).alias("g"))
+    merged, lost = runs.merge_runs(rows, dates).where("n > 1"), runs.gone_runs(rows, dates)
+    all_ = one(merged, 1, F.col("is_new"), 0).unionByName(one(lost, 0, F.lit(False), 1)).unionByName(one(dates.where("n > 1"), 0, F.lit(False), 0))
+    return all_.groupBy("run_date").agg(*[F.sum(c).alias(k) for c, k in (("a", "active"), ("n", "new_this_run"), ("g", "gone_since_last_run"))])
 
 
 def price_change(spark: SparkSession, sf_dir: str) -> DataFrame:

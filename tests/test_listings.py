@@ -219,3 +219,43 @@ def test_cascade_reads_headlines_misspelt_names_and_districts(spark, sf):
         assert found.geocode_quality == want[0], r
         assert want[1] is None or max(abs(found.lat - want[1]), abs(found.lon - want[2])) < 2e-6, r
     assert [got[i].geocode_quality for i in (-1, -2, -3, -4, -5, -6, -7)] == ["street"] * 4 + ["area"] * 3
+
+
+def test_run_queries_take_every_delivery(spark, sf):
+    import duckdb
+    from gleba.plans import listing_queries as Q
+
+    rows = spark.read.parquet(f"{sf}/feed_snapshots.parquet").withColumn("key", item_number(F.col("url"))).select(F.col("snapshot_date").cast("string").alias("day"), "key", F.nanvl("price", F.lit(None).cast("double")).alias("price"), "loaded_at").collect()
+    days, last = sorted({r.day for r in rows}), {}
+    for r in rows:
+        at = (r.loaded_at, r.price is not None, r.price or 0.0)
+        if r.key is not None and at >= last.get((r.day, r.key), (at,))[0]:
+            last[r.day, r.key] = (at, r.price)
+    seen, merged, lost, counts = {}, {}, set(), {}
+    for i, day in enumerate(days):
+        fresh = {k: p for (d, k), (_, p) in last.items() if d == day}
+        state = {k: (p, seen[k][1] if k in seen else day) for k, p in fresh.items()}
+        if i:
+            out = {(day, k): (p, f, k not in seen, seen[k][0] if k in seen and seen[k][0] and p and seen[k][0] != p else None) for k, (p, f) in state.items()}
+            away = {(day, k) for k in seen if k not in fresh}
+            merged, lost, counts[day] = merged | out, lost | away, (len(out), sum(x[2] for x in out.values()), len(away))
+        seen = state
+    two = lambda v: v if v is None else round(v, 2)
+    got = Q.run_merge(spark, sf).collect()
+    assert {(r.run_date, r.key): (r.price, r.first_seen, r.is_new, r.previous_price) for r in got} == {k: (two(p), f, n, two(b)) for k, (p, f, n, b) in merged.items()} and len(got) == len(merged)
+    assert all(r.last_seen == r.run_date for r in got) and len({r.run_date for r in got}) == len(days) - 1
+    away = Q.run_gone(spark, sf).collect()
+    assert {(r.run_date, r.key) for r in away} == lost and len(away) == len(lost) and not any(r.still_listed for r in away)
+    assert {r.run_date: (r.active, r.new_this_run, r.gone_since_last_run) for r in Q.run_counts(spark, sf).collect()} == counts
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW feed_snapshots AS SELECT * FROM '{sf}/feed_snapshots.parquet'")
+    step = con.execute(f"SELECT key, first_seen, is_new FROM ({Q.SQL['run_merge']})").fetchall()
+    assert sorted(step) == sorted((r.key, r.first_seen, r.is_new) for r in got if r.run_date == "2025-11-09")
+
+
+def test_an_advert_that_comes_back_is_new(spark):
+    rows = spark.createDataFrame([("1", "a", 1.0), ("2", "a", 2.0), ("4", "a", 3.0), ("1", "b", 1.0), ("3", "b", 5.0), ("4", "b", 6.0)], "run_date string, key string, price double")
+    dates = runs.deliveries(spark.createDataFrame([(d,) for d in "12344"] + [(None,)], "run_date string"))
+    got = {(r.run_date, r.key): (r.first_seen, r.is_new, r.previous_price) for r in runs.merge_runs(rows, dates).collect()}
+    assert got == {("1", "a"): ("1", True, None), ("2", "a"): ("1", False, 1.0), ("4", "a"): ("4", True, None), ("1", "b"): ("1", True, None), ("3", "b"): ("3", True, None), ("4", "b"): ("3", False, 5.0)}
+    assert {(r.run_date, r.key) for r in runs.gone_runs(rows, dates).collect()} == {("3", "a"), ("2", "b")}
