@@ -9,6 +9,8 @@ each other, not the size of a group. The result is the sequential one.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleba.functions import text as T
@@ -57,15 +59,21 @@ def ordered_union(df: DataFrame, key: str, order: str, array: str, most: int) ->
     return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda s: s["x"]).alias(array))
 
 
-def greedy(items: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(id, ord, fate, into) from items (id, ord unique and increasing, source, url, fps). fate: kept, merged or dropped; into: the id merged into."""
+def greedy(items: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(id, ord, fate, into) from items (id, ord unique and increasing, source, url, fps). fate: kept, merged or dropped; into: the id merged into.
+
+    Goes on until every advert is decided: the first open one by ord waits for none, so each round decides one at least. With most_rounds it raises an error
+    if more are needed.
+    """
     base = checkpointed(items.select("id", "ord", "source", "url", "fps"))
     fps = checkpointed(base.select("id", "ord", F.posexplode("fps").alias("k", "fp")))
     decided = checkpointed(base.where(F.size("fps") == 0).select("id", "ord", F.lit("kept").alias("fate"), F.lit(None).cast(base.schema["id"].dataType).alias("into")))
-    for _ in range(most_rounds):
+    for done in itertools.count():
         open_ = base.join(decided.select("id"), "id", "left_anti").where(F.size("fps") > 0)
         if open_.isEmpty():
             break
+        if done == most_rounds:
+            raise RuntimeError(f"adverts are undecided after {most_rounds} rounds")
         kept = fps.join(decided.where("fate = 'kept'").select("id"), "id", "left_semi")
         owner = kept.groupBy("fp").agg(F.min(F.struct("ord", "id")).alias("o"))
         waiting = fps.join(open_.select("id"), "id", "left_semi")

@@ -259,3 +259,12 @@ def test_an_advert_that_comes_back_is_new(spark):
     got = {(r.run_date, r.key): (r.first_seen, r.is_new, r.previous_price) for r in runs.merge_runs(rows, dates).collect()}
     assert got == {("1", "a"): ("1", True, None), ("2", "a"): ("1", False, 1.0), ("4", "a"): ("4", True, None), ("1", "b"): ("1", True, None), ("3", "b"): ("3", True, None), ("4", "b"): ("3", False, 5.0)}
     assert {(r.run_date, r.key) for r in runs.gone_runs(rows, dates).collect()} == {("3", "a"), ("2", "b")}
+
+
+def test_greedy_leaves_no_advert_undecided(spark):
+    import pytest
+
+    chain = spark.createDataFrame([(i, i, "s", f"u{i}", [f"f{i}", f"f{i + 1}"]) for i in range(6)], "id long, ord long, source string, url string, fps array<string>")
+    assert dedup.greedy(chain).count() == 6
+    with pytest.raises(RuntimeError):
+        dedup.greedy(chain, 2)
