@@ -138,3 +138,17 @@ def test_latent_classes_recover_a_planted_model():
     assert (2, 3) in model.cliques and abs(model.prior - 0.3) < 0.02
     assert ((model.posterior(patterns)[inverse] > 0.5) == truth).mean() > 0.95
     assert len(TwoClasses([2, 2]).fit(np.zeros((0, 2), int), np.zeros(0), np.zeros(0)).posterior(np.zeros((0, 2), int))) == 0
+
+
+def test_no_closer_street_is_missed_by_stopping_early():
+    class All(S.Register):
+        SURE = (-1.0, -1.0, 99.0)
+
+    rng = random.Random(5)
+    stems = sorted({"".join(rng.choice("bpdtgh") + rng.choice("aou") for _ in range(3)) for _ in range(400)})
+    rows = [(i, stem.capitalize() + "weg", f"R{i % 5}x", ("Alfa", "Beta")[i % 2]) for i, stem in enumerate(stems)]
+    few, every = S.Register(rows), All(rows)
+    for _ in range(300):
+        _, name, _, district = rng.choice(rows)
+        typed = "".join({"b": "p", "d": "t", "a": "o"}.get(c, c) if rng.random() < 0.3 else c for c in name[:-3].lower()) + "weg"
+        assert few.resolve(typed, None, district)[:2] == every.resolve(typed, None, district)[:2], (typed, district)
