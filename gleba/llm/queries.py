@@ -13,7 +13,7 @@ from gleba.llm.pieces import pieces
 from gleba.llm.pii import personal_finds, pseudonymised
 from gleba.llm.streets import mapped_streets
 from gleba.llm.tokens import VOCABULARY, encoded
-from gleba.llm.truth import best_rows, survivors
+from gleba.llm.truth import best_rows, planted as planted_truths, survivors
 from gleba.operators.units import rate_map
 from gleba.session import table
 
@@ -29,6 +29,10 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(table(spark, sf_dir, "feed_items")).withColumn("phones", F.array_join("phones", ", "))
 
 
+def p1_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted_truths(table(spark, sf_dir, "feed_items"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed, listings = table(spark, sf_dir, "feed_items"), table(spark, sf_dir, "site_listings")
     return same_plots(feed, listings, table(spark, sf_dir, "streets"), rate_map(table(spark, sf_dir, "unit_rates"))).select("record_id", "listing_id")
@@ -72,7 +76,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "documents"), path=VOCABULARY, oversized=False)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p3_found, p3_pairs, p5_found, p5_redacted, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p1_planted, p3_found, p3_pairs, p5_found, p5_redacted, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_pieces)}
 
 SQL: dict[str, str] = {
     "p1_found": r"""
