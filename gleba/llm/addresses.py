@@ -12,14 +12,11 @@ repeated rows are pairs like any other; an id that occurs twice isn't paired wit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gleba.llm.latent import TwoClasses
-from gleba.llm.streets import plain, register_of, shared, sound_key, with_street
+from gleba.llm.streets import with_street
 from gleba.session import checkpointed
 
 COMPONENTS = ["sound", "number", "letter", "resort", "district", "street_id", "exact"]
@@ -29,37 +26,10 @@ LEVELS = [2, 3, 3, 3]
 BELIEF = [[[0.5, 0.5], [0.6, 0.4]], [[0.3, 0.4, 0.3], [0.97, 0.015, 0.015]], [[0.3, 0.4, 0.3], [0.68, 0.02, 0.3]], [[0.3, 0.4, 0.3], [0.68, 0.02, 0.3]]]
 
 
-def components(df: DataFrame, streets: DataFrame, row_id: str) -> DataFrame:
-    """row_id + COMPONENTS. number is empty where the address has none, street_id -1 where the register lacks the street."""
-    register = register_of(streets)
-    kind = df.schema[row_id].dataType.simpleString()
-    rows = df.where(f"{row_id} is not null").select(F.col(row_id), "street", "resort", "district")
-    if register is None:  # a register too large to broadcast: the join form, with the register's own spelling of the places
-        own = streets.select("street_id", "name", F.lower("ressort").alias("resort"), F.lower("district").alias("district"))
-        found = with_street(rows, streets, [row_id]).join(own, "street_id", "left")
-        key = F.soundex("name")
-        return found.where("street_id is not null").select(row_id, F.coalesce(key, F.lit("")).alias("sound"), F.col("house_number").alias("number"), F.col("house_letter").alias("letter"), F.coalesce("resort", F.lit("")).alias("resort"), F.coalesce("district", F.lit("")).alias("district"), "street_id", (F.col("cost") <= 0.35).alias("exact"))
-    sent = shared(df, register)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = sent.value
-        by_id = {i: (sound_key(plain(n)), plain(a), plain(b)) for i, n, a, b in r.rows}
-        for pdf in batches:
-            out = []
-            for i, s, a, b in zip(pdf[row_id], pdf["street"], pdf["resort"], pdf["district"]):
-                sid, cost, number, letter = r.resolve(s, a, b)
-                if sid is None:
-                    continue
-                _, inner_r, inner_d, _, _ = r.named(s, 0)  # the places in a street don't depend on how far the name is looked up
-                (r1, d1, _), (r2, d2, _) = r.place_of(a), r.place_of(b)
-                resorts, districts = inner_r | r1 | r2, inner_d | d1 | d2
-                sound, own_r, own_d = by_id.get(sid, (sound_key(plain(s)), "", ""))
-                # a shortened place may mean several: it agrees with the street's own if that is among them
-                pick = lambda given, own: "" if not given else own if own in given else min(given)
-                out.append((i, sound, number, letter, pick(resorts, own_r), pick(districts, own_d), sid, cost <= 0.35))
-            yield pd.DataFrame(out, columns=[row_id, *COMPONENTS])
-
-    return rows.mapInPandas(read, f"`{row_id}` {kind}, sound string, number string, letter string, resort string, district string, street_id long, exact boolean")
+def components(df: DataFrame, streets: DataFrame, row_id: str, most: int = 100_000) -> DataFrame:
+    """row_id + COMPONENTS. number is empty where the address has none, street_id -1 where the register lacks the street. most: as in ``with_street``."""
+    found = with_street(df.where(f"{row_id} is not null").select(row_id, "street", "resort", "district"), streets, [row_id], most=most, read=True)
+    return found.where("street_id is not null").select(row_id, "sound", F.col("house_number").alias("number"), F.col("house_letter").alias("letter"), F.col("resort_read").alias("resort"), F.col("district_read").alias("district"), "street_id", (F.col("cost") <= 0.35).alias("exact"))
 
 
 def _level(a: str, b: str) -> F.Column:
@@ -89,23 +59,61 @@ def link_weights(pairs: DataFrame) -> tuple[TwoClasses, np.ndarray, np.ndarray]:
     return TwoClasses(LEVELS, belief=BELIEF).fit(patterns, counts, start), patterns, counts
 
 
-def same_addresses(df: DataFrame, streets: DataFrame, row_id: str = "check_id", threshold: float = 0.5, spread: int = 1000) -> DataFrame:
-    """(row_id_a, row_id_b, probability), a < b."""
-    spark: SparkSession = df.sparkSession
-    records = checkpointed(components(df, streets, row_id).where("number <> '' and street_id >= 0"))
-    keys = [c for c in COMPONENTS]
-    classes = checkpointed(records.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("cls", F.xxhash64(*keys)))
-    pairs = class_pairs(classes)
+def linked(df: DataFrame, streets: DataFrame, row_id: str, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(members, class pairs): (id, cls) of each record that can be linked; the pairs of classes of a block with their probability."""
+    records = checkpointed(components(df, streets, row_id, most).where("number <> '' and street_id >= 0"))
+    classes = checkpointed(records.groupBy(*COMPONENTS).agg(F.count("*").alias("n")).withColumn("cls", F.xxhash64(*COMPONENTS)))
+    pairs = checkpointed(class_pairs(classes))
     model, patterns, _ = link_weights(pairs)
     scored = [(*map(int, p), float(x)) for p, x in zip(patterns, model.posterior(patterns))]
-    table = spark.createDataFrame(scored, "l0 int, l1 int, l2 int, l3 int, probability double")
-    matched = pairs.join(F.broadcast(table), ["l0", "l1", "l2", "l3"]).where(F.col("probability") >= threshold)  # at most 54 rows are broadcast
-    exact = matched.where("street_id_a = street_id_b and letter_a = letter_b")
-    members = records.select(F.col(row_id).alias("id"), F.xxhash64(*keys).alias("cls"))
-    parts = F.ceil(F.col("n_a") / spread).cast("int")
-    exact = exact.select("cls_a", "cls_b", "probability", parts.alias("parts"))
-    left = exact.join(members.select(F.col("id").alias("a"), F.col("cls").alias("cls_a")), "cls_a").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")))
+    table = df.sparkSession.createDataFrame(scored, "l0 int, l1 int, l2 int, l3 int, probability double")
+    return records.select(F.col(row_id).alias("id"), F.xxhash64(*COMPONENTS).alias("cls")), pairs.join(F.broadcast(table), ["l0", "l1", "l2", "l3"])  # at most 54 rows are broadcast
+
+
+def expanded(members: DataFrame, pairs: DataFrame, spread: int = 1000) -> DataFrame:
+    """(a, b, probability), a < b: the pairs of records behind pairs of classes; a class of many records is spread over tasks by a salt."""
+    pairs = pairs.select("cls_a", "cls_b", "probability", F.ceil(F.col("n_a") / spread).cast("int").alias("parts"))
+    left = pairs.join(members.select(F.col("id").alias("a"), F.col("cls").alias("cls_a")), "cls_a").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")))
     right = members.select(F.col("id").alias("b"), F.col("cls").alias("cls_b"))
-    right = right.join(exact.groupBy("cls_b").agg(F.max("parts").alias("most")), "cls_b").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most").cast("long") - 1))).drop("most")
+    right = right.join(pairs.groupBy("cls_b").agg(F.max("parts").alias("most")), "cls_b").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most").cast("long") - 1))).drop("most")
     both = left.join(right, ["cls_b", "salt"]).where("a <> b and (cls_a <> cls_b or a < b)")
-    return both.select(F.least("a", "b").alias(f"{row_id}_a"), F.greatest("a", "b").alias(f"{row_id}_b"), "probability").distinct()
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "probability").distinct()
+
+
+def same_addresses(df: DataFrame, streets: DataFrame, row_id: str = "check_id", threshold: float = 0.5, spread: int = 1000, most: int = 100_000) -> DataFrame:
+    """(row_id_a, row_id_b, probability), a < b."""
+    members, pairs = linked(df, streets, row_id, most)
+    exact = pairs.where((F.col("probability") >= threshold) & F.expr("street_id_a = street_id_b and letter_a = letter_b"))
+    return expanded(members, exact, spread).withColumnsRenamed({"a": f"{row_id}_a", "b": f"{row_id}_b"})
+
+
+def planted(df: DataFrame, streets: DataFrame, row_id: str = "check_id", threshold: float = 0.5) -> DataFrame:
+    """(method, pairs, right, true_pairs): pairs found of made-up records of known addresses, one a row of df, about three an address, by the weights and without.
+
+    A record may misspell its street, and lack or confuse its resort, its district and its letter. Ways of finding pairs: the whole block; the exact check of
+    p6_found; the weights fitted by EM; the exact check behind the weights.
+    """
+    ids = df.where(f"{row_id} is not null").select(F.col(row_id).alias("id")).distinct()
+    n = ids.count()
+    register = streets.where("street_id is not null and trim(name) <> ''").select("name", "ressort", "district", F.row_number().over(Window.orderBy("street_id")).alias("k"))
+    of = F.lit(max(1, register.count()))
+    chance = lambda *c: F.pmod(F.xxhash64(*c), F.lit(10_000)) / 10_000.0
+    dice = lambda name: chance("id", F.lit(name))
+    rows = ids.withColumn("at", F.pmod(F.xxhash64("id", F.lit("address")), F.lit(max(1, n // 3))))
+    rows = rows.withColumns({"k": F.pmod(F.xxhash64("at", F.lit("street")), of) + 1, "number": 1 + F.pmod(F.xxhash64("at", F.lit("number")), F.lit(40)), "letter": F.when(chance("at", F.lit("letter")) < 0.3, F.element_at(F.array(*map(F.lit, "ab")), (1 + F.pmod("at", F.lit(2))).cast("int"))).otherwise("")}).join(register, "k")
+    slip = F.floor(F.length("name") * dice("slip")).cast("int")
+    name = F.when(dice("misspelt") < 0.25, F.concat(F.col("name").substr(F.lit(1), slip), F.col("name").substr(slip + 2, F.lit(100)))).otherwise(F.col("name"))
+    letter = F.when(dice("letter") < 0.08, "").otherwise(F.col("letter"))
+    made = checkpointed(rows.select("id", F.xxhash64("k", "number", "letter").alias("at"), F.concat(name, F.lit(" "), "number", letter).alias("street"), F.when(dice("resort") < 0.5, F.col("ressort")).alias("resort"), F.when(dice("district") < 0.6, F.col("district")).alias("district")))
+    members, pairs = linked(made, streets, "id")
+    pairs = pairs.where("probability is not null")
+    at = made.select("id", "at")
+    exact = F.expr("street_id_a = street_id_b and letter_a = letter_b")
+    ways = {"whole block": F.lit(True), "exact check": exact, "weights": F.col("probability") >= threshold, "weights, then exact check": exact & (F.col("probability") >= threshold)}
+    true = at.groupBy("at").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("true_pairs"))
+    out = None
+    for method, way in ways.items():
+        got = expanded(members, pairs.where(way)).join(at.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
+        one = got.agg(F.count("*").alias("pairs"), F.count_if(F.col("at_a") == F.col("at_b")).alias("right")).select(F.lit(method).alias("method"), "pairs", "right")
+        out = one if out is None else out.unionByName(one)
+    return out.crossJoin(true)  # four rows and one

@@ -38,8 +38,8 @@ class TwoClasses:
             out = (out[:, :, None] * np.asarray(self.belief[i], dtype=float)[:, None, :]).reshape(2, -1)
         return out
 
-    def fit(self, patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 200, tolerance: float = 1e-7) -> TwoClasses:
-        """start: a first guess of P(match) for each pattern; it also says which class is the matches."""
+    def fit(self, patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 20_000, tolerance: float = 1e-7) -> TwoClasses:
+        """start: a first guess of P(match) for each pattern; it also says which class is the matches. An error is raised if the rounds don't converge."""
         p, total = start.astype(float), counts.sum()
         cells = [(self._cell(patterns, c), math.prod(self.levels[i] for i in c)) for c in self.cliques]
         believed = [self._believed(c) * self.weight for c in self.cliques]
@@ -57,9 +57,9 @@ class TwoClasses:
             p = np.exp(logs[1] - likely)
             self.likelihood = now = float((likely * counts).sum())
             if abs(now - last) <= tolerance * max(1.0, abs(now)):
-                break
+                return self
             last = now
-        return self
+        raise RuntimeError(f"the likelihood still moves after {rounds} rounds")
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         if not len(patterns):
@@ -71,7 +71,6 @@ class TwoClasses:
         """log2(m / u) of each level of each clique."""
         return [np.log2(t[1] / t[0]) for t in self.tables]
 
-
     def criterion(self, total: float) -> float:
         """Log likelihood less half the parameters times the logarithm of the number of pairs (Bayesian information)."""
         free = 1 + 2 * sum(math.prod(self.levels[i] for i in c) - 1 for c in self.cliques)

@@ -2,7 +2,8 @@
 
 Both tables are read into comparable attributes: the register street (``streets.with_street``), EUR and m² (``operators.units``), resort and district.
 Candidates never come from a cross join. Two records are candidates if they mean a street of the same name and fall into the same or neighbouring steps of
-a 1 % scale of sizes and of a 3 % scale of prices, as far as both have them (one of the two at least). Each candidate gets five votes (for, against, or
+a 1 % scale of sizes and of a 3 % scale of prices, as far as both have them (one of the two at least). p3_found loses nothing by asking for both steps, as
+its exact check asks for both; for noisier matches ``either`` makes one of the two steps enough. The candidates are written down once. Each gets five votes (for, against, or
 none): street, resort, size, price, price per m². Only the counts of the vote patterns (at most 243) go to the driver. There the label model learns the
 votes' accuracies by EM, finds votes that depend on each other within a class, models those jointly, and gives each pattern a posterior confidence.
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleba.llm.latent import label_model
 from gleba.llm.streets import with_street
@@ -55,8 +56,8 @@ def _vote(a: str, b: str, share: float) -> Column:
     return F.when(F.col(a).isNull() | F.col(b).isNull(), NONE).when(_near(a, b, share), FOR).otherwise(AGAINST)
 
 
-def candidates(a: DataFrame, b: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs with their votes. a and b: attributes with ids a_id and b_id; names: (street_id, name_id, place_id) of the register."""
+def candidates(a: DataFrame, b: DataFrame, names: DataFrame, either: bool = False) -> DataFrame:
+    """Pairs with their votes. a and b: attributes with ids a_id and b_id; names: (street_id, name_id, place_id) of the register. either: one shared step will do."""
     a = a.join(names, "street_id").select("a_id", F.col("street_id").alias("sa"), "name_id", F.col("place_id").alias("pa"), F.col("eur").alias("ea"), F.col("m2").alias("ma"), F.col("cost").alias("ca"))
     b = b.join(names, "street_id").select("b_id", F.col("street_id").alias("sb"), "name_id", F.col("place_id").alias("pb"), F.col("eur").alias("eb"), F.col("m2").alias("mb"), F.col("cost").alias("cb"))
     at, around = lambda c, w: step(F.col(c), w), lambda c, w: F.array(*[step(F.col(c), w) + F.lit(i).cast("long") for i in (-1, 0, 1)])
@@ -69,8 +70,12 @@ def candidates(a: DataFrame, b: DataFrame, names: DataFrame) -> DataFrame:
     full_a, full_b = priced(sized(a, "ma"), "ea"), priced(sized(b, "mb"), "eb")
     cut = lambda d: d.drop("ks", "kp", "ns", "np")
     # what both sides have decides which steps they must share; each pair comes up in one of the five joins only
+    both_full = cut(full_a.join(by_p(by_s(full_b)), ["name_id", "ks", "kp"]))
+    if either:  # the same size step, or the same price step and no size step
+        by_price = full_a.withColumnRenamed("ks", "own").join(by_p(full_b), keys_p).where(~F.array_contains("ns", F.col("own"))).drop("own")
+        both_full = cut(full_a.join(by_s(full_b), keys_s)).unionByName(cut(by_price))
     pairs = (
-        cut(full_a.join(by_p(by_s(full_b)), ["name_id", "ks", "kp"]))
+        both_full
         .unionByName(cut(lacks(sized(a, "ma"), "ea").join(by_s(sized(b, "mb")), keys_s)))
         .unionByName(cut(full_a.join(by_s(lacks(sized(b, "mb"), "eb")), keys_s)))
         .unionByName(cut(lacks(priced(a, "ea"), "ma").join(by_p(priced(b, "eb")), keys_p)))
@@ -85,14 +90,14 @@ def candidates(a: DataFrame, b: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def matched(a: DataFrame, b: DataFrame, streets: DataFrame, rates: dict, a_key: str, b_key: str, threshold: float = 0.5) -> DataFrame:
-    """(a_key, b_key, confidence, sa, sb, ea, eb, ma, mb): pairs whose posterior is at least threshold."""
+def matched(a: DataFrame, b: DataFrame, streets: DataFrame, rates: dict, a_key: str, b_key: str, threshold: float = 0.5, either: bool = False) -> DataFrame:
+    """(a_key, b_key, confidence, sa, sb, ea, eb, ma, mb): candidates whose posterior is at least threshold."""
     names = streets.where("street_id is not null and name is not null").select(
         F.col("street_id").cast("long").alias("street_id"), F.xxhash64(F.lower("name")).alias("name_id"), F.when(F.col("ressort").isNotNull(), F.xxhash64("ressort", "district")).alias("place_id")
     )
     left = checkpointed(attributes(a, streets, rates, a_key).withColumnRenamed(a_key, "a_id"))
     right = checkpointed(attributes(b, streets, rates, b_key).withColumnRenamed(b_key, "b_id"))
-    pairs = candidates(left, right, names)
+    pairs = checkpointed(candidates(left, right, names, either))
     got = pairs.groupBy(*VOTES).agg(F.count("*").alias("n")).collect()  # at most 3 ** 5 rows
     patterns, counts = np.array([[r[v] for v in VOTES] for r in got], dtype=int).reshape(len(got), len(VOTES)), np.array([r.n for r in got], dtype=float)
     # first guess: more votes for than against, none of them against in street or size
@@ -109,3 +114,32 @@ def same_plots(feed: DataFrame, listings: DataFrame, streets: DataFrame, rates:
     ok = lambda a, b, share: F.coalesce(_near(a, b, share), F.lit(True))
     compared = (F.col("ma").isNotNull() & F.col("mb").isNotNull()) | (F.col("ea").isNotNull() & F.col("eb").isNotNull())
     return pairs.where((F.col("sa") == F.col("sb")) & ok("ma", "mb", 0.01) & ok("ea", "eb", 0.03) & compared).select("record_id", "listing_id", "confidence")
+
+
+def planted(listings: DataFrame, streets: DataFrame, rates: dict, threshold: float = 0.5) -> DataFrame:
+    """(method, pairs, right, true_pairs): pairs found of two noisy descriptions of one made-up plot a listing, by the label model and without it.
+
+    A plot has a register street, one of forty sizes and a price that follows the size. The first description is exact. The second may lack its places, misspell
+    its street, and lack, round or miss its size and its price. Ways of finding pairs: every candidate; the exact check of p3_found; the label model's posterior.
+    """
+    chance = lambda *c: F.pmod(F.xxhash64(*c), F.lit(10_000)) / 10_000.0
+    n = streets.where("street_id is not null and name is not null").select("name", "ressort", "district", F.row_number().over(Window.orderBy("street_id")).alias("k"))
+    of = F.lit(max(1, n.count()))
+    plots = listings.where("listing_id is not null").select(F.col("listing_id").alias("id")).distinct().withColumn("k", F.pmod(F.xxhash64("id", F.lit("street")), of) + 1).join(n, "k")
+    plots = plots.withColumn("m2", F.round(150 * F.pow(F.lit(1.1), F.floor(40 * chance("id", F.lit("size"))))))
+    plots = plots.withColumn("eur", F.round(F.col("m2") * (20 + 25 * chance("id", F.lit("price"))), -2))
+    none = F.lit(None).cast("string")
+    shape = lambda street, place, size, price, key: plots.select(F.col("id").alias(key), street.alias("street"), F.when(place, F.col("ressort")).alias("resort"), F.when(place, F.col("district")).alias("district"), size.alias("size_m2"), none.alias("size_text"), price.alias("price"), F.lit("EUR").alias("currency"), none.alias("price_text"))
+    dice = lambda name: chance("id", F.lit(name))
+    slip = F.floor(F.length("name") * dice("slip")).cast("int")
+    street = F.when(dice("misspelt") < 0.25, F.concat(F.col("name").substr(F.lit(1), slip), F.col("name").substr(slip + 2, F.lit(100)))).otherwise(F.col("name"))
+    size = F.when(dice("s") < 0.1, None).when(dice("s") < 0.25, F.col("m2") * (1.01 + 0.1 * dice("s2"))).otherwise(F.col("m2") * (1 + 0.008 * dice("s2")))
+    price = F.when(dice("p") < 0.1, None).when(dice("p") < 0.35, F.col("eur") * (1.03 + 0.15 * dice("p2"))).otherwise(F.col("eur") * (1 + 0.02 * dice("p2")))
+    a, b = shape(F.col("name"), F.lit(True), F.col("m2"), F.col("eur"), "a"), shape(street, dice("places") > 0.3, size, price, "b")
+    got = checkpointed(matched(a, b, streets, rates, "a", "b", -1.0, either=True))
+    ok = lambda x, y, share: F.coalesce(_near(x, y, share), F.lit(True))
+    ways = {"every candidate": F.lit(True), "exact check": (F.col("sa") == F.col("sb")) & ok("ma", "mb", 0.01) & ok("ea", "eb", 0.03), "label model": F.col("confidence") >= threshold}
+    counts = got.agg(*[x for i, way in enumerate(ways.values()) for x in (F.count_if(way).alias(f"pairs{i}"), F.count_if(way & (F.col("a") == F.col("b"))).alias(f"right{i}"))])
+    true = plots.agg(F.count("*").alias("true_pairs"))
+    rows = F.array(*[F.struct(F.lit(name).alias("method"), F.col(f"pairs{i}").alias("pairs"), F.col(f"right{i}").alias("right")) for i, name in enumerate(ways)])
+    return counts.crossJoin(true).select("true_pairs", F.inline(rows)).select("method", "pairs", "right", "true_pairs")  # one row each

@@ -6,9 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleba.llm.addresses import same_addresses
+from gleba.llm.addresses import planted as planted_addresses, same_addresses
 from gleba.llm.leakage import leaks
-from gleba.llm.matching import same_plots
+from gleba.llm.matching import planted as planted_plots, same_plots
 from gleba.llm.pieces import pieces
 from gleba.llm.pii import personal_finds, pseudonymised
 from gleba.llm.streets import mapped_streets
@@ -44,6 +44,10 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("confidence", F.round("confidence", 4))
 
 
+def p3_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted_plots(table(spark, sf_dir, "site_listings"), table(spark, sf_dir, "streets"), rate_map(table(spark, sf_dir, "unit_rates")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_finds(table(spark, sf_dir, "feed_items"))
 
@@ -56,6 +60,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_addresses(table(spark, sf_dir, "needs_check"), table(spark, sf_dir, "streets")).select("check_id_a", "check_id_b")
 
 
+def p6_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted_addresses(table(spark, sf_dir, "needs_check"), table(spark, sf_dir, "streets"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped_streets(table(spark, sf_dir, "feed_items"), table(spark, sf_dir, "streets"))
 
@@ -76,7 +84,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "documents"), path=VOCABULARY, oversized=False)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p1_planted, p3_found, p3_pairs, p5_found, p5_redacted, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p1_planted, p3_found, p3_pairs, p3_planted, p5_found, p5_redacted, p6_found, p6_planted, p7_found, p8_ids, p9_found, p10_found, p10_pieces)}
 
 SQL: dict[str, str] = {
     "p1_found": r"""

@@ -5,9 +5,11 @@ arises by deleting up to ``distance`` letters of its first ``prefix`` ones. A ty
 distance share at least one. Candidates are ranked by the weighted edit distance of the unfolded spelling, by how well the resort and district agree,
 by how often the register has the name (a commoner name first), then by the lowest street_id. What stays beyond the bound is a miss, -1.
 
-The register travels to the workers as one pickled broadcast, which is built only below ``most`` rows (100,000 names of 200 bytes each are 20 MB);
-``resolve`` falls back to ``resolve_by_join`` beyond it: there the deletes of both sides are rows, joined on the delete, so nothing is broadcast.
-No row is shuffled in the broadcast form and each row is resolved alone, so a street that a third of all rows name is no hot spot.
+The register travels to the workers as one pickled broadcast, which is built only below ``most`` rows (100,000 names of 200 bytes each are 20 MB).
+Beyond it ``resolve_by_join`` gives the same rows: every key under which a look-up may ask for names (``Register.asked``) is a row, as is every key under which
+the register has a name (``Register.answers``), and each address ranks what the join brings it. The distinct resorts and districts, by which an address is
+taken apart, are broadcast in either form; more than ``MOST_PLACES`` of them are an error. No row is shuffled in the broadcast form and each row is
+resolved alone, so a street that a third of all rows name is no hot spot.
 
 Defined results: a null or blank street gives null (there is nothing to map); null resort or district leaves the choice to the rest; an empty
 register gives -1; ties go to the lowest street_id; texts of any length are read whole.
@@ -51,6 +53,8 @@ _NUMBER = r"(?:huis(?:nr|nummer|no)\.?|nummer|num\.?|nr\.?|no\.?|n°|#)"
 _TAIL = re.compile(rf"^(.*?)[\s,]*(?:{_NUMBER}\s*)?\b(\d{{1,5}})(?:\s?-?\s?([a-z]))?$")
 _HEAD = re.compile(rf"^(?:{_NUMBER}\s*)?(\d{{1,5}})(?:\s?-?\s?([a-z]))?[\s,]+(?=[^\d\s])(.*)$")
 _PLACE_WORD = re.compile(r"^(?:ressort|ress?|resort|district|distr?|te|in)\b\.?\s*")
+_ONLY_NUMBER = re.compile(rf"^(?:{_NUMBER}\s*)?(\d{{1,5}})(?:\s?-?\s?([a-z]))?$")
+_GLUED = re.compile(r"([a-z]{3})(\d)")
 _SEGMENT = re.compile(r"\s*[,;()|]\s*|\s+/\s+|\s+te\s+")
 
 
@@ -64,8 +68,11 @@ def plain(text: str) -> str:
 _LETTERS = str.maketrans({"’": "'", "‘": "'", "–": "-", "—": "-", "ø": "o", "ł": "l", "đ": "d"})
 
 
+_NO_LETTERS = re.compile(r"[\W_]+")
+
+
 def letters(text: str) -> str:
-    return "".join(c for c in text if c.isalnum())
+    return _NO_LETTERS.sub("", text)
 
 
 #: Spellings that sound alike, applied in this order to a name of letters and digits only.
@@ -85,15 +92,19 @@ def sound_key(name: str) -> str:
 _CLASSES = {c: i for i, group in enumerate(("vwf", "sz", "ckq", "iyj", "dt", "bp", "gh", "mn", "oau", "ei")) for c in group}
 
 
+@lru_cache(1 << 17)
 def weighted_distance(a: str, b: str, most: float = 9.0) -> float:
     """Damerau-Levenshtein (neighbours may swap), cheaper for letters that sound alike (0.4), for doubled letters (0.3) and for swaps (0.8)."""
     if a == b:
         return 0.0
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
+    # equal ends cost nothing; two letters of either are kept, as a doubled or swapped letter leans on its neighbour
+    start, end, least = 0, 0, min(len(a), len(b))
+    while start < least and a[start] == b[start]:
         start += 1
-    start = max(0, start - 1)
-    a, b = a[start:], b[start:]
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    start, end = max(0, start - 2), max(0, end - 2)
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     before, last = None, [0.0]
     for j in range(1, len(b) + 1):
         last.append(last[-1] + (0.3 if j > 1 and b[j - 1] == b[j - 2] else 1.0))
@@ -176,9 +187,13 @@ class DeleteIndex:
         if most == 0:
             return {key: 0} if key in self.keys else {}
         others, get = set(), self.by.get
-        for d in deletes(key, most, self.prefix):
-            if hit := get(d):
-                others.update(hit)
+        if len(self.keys) <= 32:  # fewer keys than deletes: each is compared
+            mine = set(key)  # an edit changes two letters of the set at most
+            others = {k for k in self.keys if abs(len(k) - len(key)) <= most and len(mine.symmetric_difference(k)) <= 2 * most}
+        else:
+            for d in deletes(key, most, self.prefix):
+                if hit := get(d):
+                    others.update(hit)
         found = {}
         for other in others:
             bound = min(self.bound(other), most)
@@ -200,63 +215,38 @@ def ending_readings(name: str) -> list[tuple[str, str | None]]:
     return [*out, (name.rstrip("."), None)]
 
 
-class Register:
-    """The street register, ready for look-ups; picklable."""
+def _keep(seen: dict, key, value):
+    """value, kept in a table of bounded size; what is dropped is worked out again."""
+    if len(seen) > 400_000:
+        seen.clear()
+    seen[key] = value
+    return value
 
-    #: Costs of a resort or district that is given and isn't the street's, of a missing or of another ending.
-    WRONG_RESORT, WRONG_DISTRICT, UNKNOWN_PLACE, NO_ENDING, OTHER_ENDING = 1.6, 1.2, 0.2, 0.35, 0.9
-    #: A name is a miss beyond this cost of its spelling; SOUNDS_ALIKE is what a name costs that only sounds the same.
-    BOUND, SOUNDS_ALIKE = 3.2, 0.3
-    #: At these costs, places included, a look-up by the same key, or by one edit, needs no candidates further off: they would cost as much. The cheapest two edits cost 0.6.
-    SURE = (0.4, 0.59, 99.0)
 
-    def __init__(self, rows, distance: int = 2, prefix: int = 10):
-        """rows: (street_id, name, resort, district); rows without id or name are no streets."""
-        self.rows = sorted((int(i), str(n), r or "", d or "") for i, n, r, d in rows if i is not None and n and n.strip())
-        self.exact = defaultdict(list)
+class Places:
+    """The resorts and districts of a register, and how a typed street is taken apart by them; picklable."""
+
+    def __init__(self, pairs):
+        """pairs: (resort, district)"""
         self.places = {"resort": {}, "district": {}}
-        by_full, by_stem, names = defaultdict(set), defaultdict(set), defaultdict(list)
-        self.families = defaultdict(set)
-        for k, (_, name, resort, district) in enumerate(self.rows):
-            p = plain(name)
-            names[p].append(k)
-            for kind, place in (("resort", resort), ("district", district)):
-                if place:
-                    self.places[kind].setdefault(sound_key(plain(place)), plain(place))
-        self.names, self.parts = dict(names), {}
-        for p in self.names:
-            m = re.match(r"^(.*\D)\s+(\d+\s?[a-z]?)$", p)
-            base, number = (m.group(1), letters(m.group(2))) if m else (p, "")
-            end = next((e for e in sorted(ENDINGS, key=len, reverse=True) if base.endswith(e) and len(base) > len(e) + 2), None)
-            stem = base[: -len(end)].rstrip(" -") if end else base
-            self.parts[p] = (letters(base), letters(stem), end, number)
-            by_full[sound_key(base)].add(p)
-            by_stem[sound_key(stem)].add(p)
-            if number:
-                self.families[sound_key(base)].add(p)
-        self.by_full, self.by_stem = {k: sorted(v) for k, v in by_full.items()}, {k: sorted(v) for k, v in by_stem.items()}
-        self.families = dict(self.families)
-        self.index = DeleteIndex([*self.by_full, *self.by_stem], distance, prefix)
-        # the spelling itself is a second key: a slip inside a pair of letters that make one sound changes the sound key by more than the slip
-        self.spelt = defaultdict(set)
-        for p, (base, stem, _, _) in self.parts.items():
-            self.spelt[base].add(p)
-            self.spelt[stem].add(p)
-        self.spelt = {k: sorted(v) for k, v in self.spelt.items()}
-        self.spelt_index = DeleteIndex(self.spelt, distance, prefix)
-        self.place_index = {kind: DeleteIndex(keys, 2, 8) for kind, keys in self.places.items()}
-        self.place_spelt = {kind: {letters(p): p for p in keys.values()} for kind, keys in self.places.items()}
-        self.place_spelt_index = {kind: DeleteIndex(keys, 2, 8) for kind, keys in self.place_spelt.items()}
-        self.spelled = {(n, r, d): i for i, n, r, d in reversed(self.rows)}
+        for kind, given in zip(self.places, zip(*pairs)):
+            for place in sorted(x for x in set(given) if x):
+                self.places[kind].setdefault(sound_key(plain(place)), plain(place))
+        self.index = {kind: DeleteIndex(keys, 2, 8) for kind, keys in self.places.items()}
+        self.spelt = {kind: {letters(p): p for p in keys.values()} for kind, keys in self.places.items()}
+        self.spelt_index = {kind: DeleteIndex(keys, 2, 8) for kind, keys in self.spelt.items()}
         self._seen: dict = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_seen": {}}
 
-    # ---- places
-
     def place(self, segment: str) -> tuple[frozenset, frozenset] | None:
         """(resorts, districts) that a plain text may mean; None where it means neither."""
+        if segment not in self._seen:
+            _keep(self._seen, segment, self._place(segment))
+        return self._seen[segment]
+
+    def _place(self, segment: str) -> tuple[frozenset, frozenset] | None:
         bare = _PLACE_WORD.sub("", segment).strip(" .,-")
         says = re.match(r"^(ress|resort|dist)", segment)
         key = sound_key(bare)
@@ -271,7 +261,7 @@ class Register:
         if not any(out.values()):
             near = {kind: {} for kind in out}
             for kind in out:
-                hits = [(self.places[kind][k], n) for k, n in self.place_index[kind].near(key).items()] + [(self.place_spelt[kind][k], n) for k, n in self.place_spelt_index[kind].near(letters(bare)).items()]
+                hits = [(self.places[kind][k], n) for k, n in self.index[kind].near(key).items()] + [(self.spelt[kind][k], n) for k, n in self.spelt_index[kind].near(letters(bare)).items()]
                 for p, n in hits:
                     near[kind][p] = min(n, near[kind].get(p, 9))
             least = min((n for x in near.values() for n in x.values()), default=9)
@@ -292,24 +282,17 @@ class Register:
             for part in _SEGMENT.split(plain(text)):
                 if part and (hit := self.place(part)):
                     resorts, districts = resorts | hit[0], districts | hit[1]
-            self._keep(key, (resorts, districts, True))
+            _keep(self._seen, key, (resorts, districts, True))
         return self._seen[key]
 
-    def _keep(self, key, value):
-        if len(self._seen) > 400_000:  # bounded memory on a worker; what is dropped is worked out again
-            self._seen.clear()
-        self._seen[key] = value
-
-    # ---- names
-
     def parse(self, street: str) -> tuple[list[str], frozenset, frozenset, str, str]:
         """(street segments, resorts, districts, house number, its letter) of a typed street."""
         text = _PARCEL.sub(" ", _LEAD.sub("", plain(street).replace("a/d", "aan"))).strip()
-        text = re.sub(r"([a-z]{3})(\d)", r"\1 \2", _LEAD.sub("", text + " ").strip())
+        text = _GLUED.sub(r"\1 \2", _LEAD.sub("", text + " ").strip())
         resorts, districts, names, number, letter = frozenset(), frozenset(), [], "", ""
         parts = [x.strip(" .,-") if len(x) > 4 else x.strip(" ,-") for x in _SEGMENT.split(text) if x and x.strip(" .,-")]
         for i, part in enumerate(parts):
-            if m := re.match(rf"^(?:{_NUMBER}\s*)?(\d{{1,5}})(?:\s?-?\s?([a-z]))?$", part):
+            if m := _ONLY_NUMBER.match(part):
                 number, letter = m.group(1), m.group(2) or ""
                 continue
             if len(parts) > 1 and not re.search(r"\d", part) and (hit := self.place(part)) and (i or any(j for j in parts[1:] if not self.place(j))):
@@ -318,53 +301,103 @@ class Register:
             names.append(part)
         return names, resorts, districts, number, letter
 
+    def split_number(self, name: str) -> tuple[str, str, str]:
+        """(name, house number, letter); the number may stand before or after the name."""
+        if m := _TAIL.match(name):
+            if m.group(1).strip():
+                return _MARK.sub("", m.group(1)).strip(" ,-"), m.group(2), m.group(3) or ""
+        if m := _HEAD.match(name):
+            return m.group(3).strip(), m.group(1), m.group(2) or ""
+        return name, "", ""
+
+
+class Register:
+    """The street register, ready for look-ups; picklable."""
+
+    #: Costs of a resort or district that is given and isn't the street's, of a missing or of another ending.
+    WRONG_RESORT, WRONG_DISTRICT, UNKNOWN_PLACE, NO_ENDING, OTHER_ENDING = 1.6, 1.2, 0.2, 0.35, 0.9
+    #: A name is a miss beyond this cost of its spelling; SOUNDS_ALIKE is what a name costs that only sounds the same.
+    BOUND, SOUNDS_ALIKE = 3.2, 0.3
+    #: At these costs, places included, a look-up by the same key, or by one edit, needs no candidates further off: they would cost as much. The cheapest two edits cost 0.6.
+    SURE = (0.4, 0.59, 99.0)
+
+    def __init__(self, rows, distance: int = 2, prefix: int = 10, places: Places | None = None):
+        """rows: (street_id, name, resort, district); rows without id or name are no streets. places: of the whole register, where rows are a part of it."""
+        self.rows = sorted((int(i), str(n), r or "", d or "") for i, n, r, d in rows if i is not None and n and n.strip())
+        self.where = places or Places((r, d) for _, _, r, d in self.rows)
+        by_full, by_stem, names, spelt = defaultdict(set), defaultdict(set), defaultdict(list), defaultdict(set)
+        families, families_spelt = set(), set()
+        for k, (_, name, _, _) in enumerate(self.rows):
+            names[plain(name)].append(k)
+        self.names, self.parts = dict(names), {}
+        for p in self.names:
+            m = re.match(r"^(.*\D)\s+(\d+\s?[a-z]?)$", p)
+            base, number = (m.group(1), letters(m.group(2))) if m else (p, "")
+            end = next((e for e in sorted(ENDINGS, key=len, reverse=True) if base.endswith(e) and len(base) > len(e) + 2), None)
+            stem = base[: -len(end)].rstrip(" -") if end else base
+            self.parts[p] = full, short, _, _ = letters(base), letters(stem), end, number
+            by_full[sound_key(base)].add(p)
+            by_stem[sound_key(stem)].add(p)
+            # the spelling itself is a second key: a slip inside a pair of letters that make one sound changes the sound key by more than the slip
+            spelt[full].add(p)
+            spelt[short].add(p)
+            if number:
+                families.add(sound_key(base))
+                families_spelt |= {full, short}
+        self.by_full, self.by_stem, self.spelt = ({k: sorted(v) for k, v in x.items()} for x in (by_full, by_stem, spelt))
+        self.index, self.spelt_index = DeleteIndex([*self.by_full, *self.by_stem], distance, prefix), DeleteIndex(self.spelt, distance, prefix)
+        self.families, self.families_spelt = DeleteIndex(families, distance, prefix), DeleteIndex(families_spelt, distance, prefix)
+        self.spelled = {(n, r, d): i for i, n, r, d in reversed(self.rows)}
+        self.own = {i: (sound_key(plain(n)), plain(r), plain(d)) for i, n, r, d in self.rows}
+        self._seen: dict = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_seen": {}}
+
     def candidates(self, name: str, number: str, depth: int = 2) -> dict[str, float]:
         """Register names near a plain typed one (without house number), with the cost of the spelling. depth: edits between the keys; 0: the very same key."""
+        key = ("near", name, depth)
+        costs = self._seen.get(key)
+        if costs is None:
+            costs = _keep(self._seen, key, self._costs(name, depth))
+        # a name with a number of its own is meant only with that number, or, at a cost, with none
+        parts = self.parts
+        found = {p: c + (1 if own and not number else 0) for p, c in costs.items() if not ((own := parts[p][3]) and number and own != number)}
+        if depth > 1 and not found and (start := cut_short(name)):
+            found = {p: 0.8 if own else 1.0 for p, (full, _, _, own) in parts.items() if full.startswith(start) and (not own or own == number) and full != start}
+        return {p: c for p, c in found.items() if c <= self.BOUND}
+
+    def _costs(self, name: str, depth: int) -> dict[str, float]:
         found: dict[str, float] = {}
-        readings = [(letters(s), e) for s, e in ending_readings(name)]
-        for typed, end in readings:
+        for typed, end in ((letters(s), e) for s, e in ending_readings(name)):
             key = sound_key(typed)
             if len(key) < 3:
                 continue
             near = {p for k in (self.index.near(key, depth) if depth else (key,)) for p in (*self.by_stem.get(k, ()), *self.by_full.get(k, ()))}
             near |= {p for k in (self.spelt_index.near(typed, depth) if depth else (typed,)) for p in self.spelt.get(k, ())}
             for p in near:
-                full, stem, ending, own = self.parts[p]
-                if own and number and own != number:
-                    continue
+                full, stem, ending, _ = self.parts[p]
                 ends = 0 if end == ending else self.NO_ENDING if end is None or ending is None else self.OTHER_ENDING
-                cost = min(self._unlike(typed, stem) + ends, self._unlike(typed, full) if end is None else 99.0) + (1 if own and not number else 0)
+                cost = min(self._unlike(typed, stem) + ends, self._unlike(typed, full) if end is None else 99.0)
                 found[p] = min(cost, found.get(p, 99.0))
-        if depth > 1 and not found and re.fullmatch(r"[a-z][a-z' -]{2,}\.", name):  # cut short: "Leid. 7"
-            start = letters(name)
-            found = {p: 0.8 if own else 1.0 for p, (full, _, _, own) in self.parts.items() if full.startswith(start) and (not own or own == number) and full != start}
-        return {p: c for p, c in found.items() if c <= self.BOUND}
+        return found
 
     def _unlike(self, a: str, b: str) -> float:
         cost = weighted_distance(a, b, 4)
         return cost if cost <= self.SOUNDS_ALIKE else min(cost, self.SOUNDS_ALIKE + weighted_distance(sound_key(a), sound_key(b), 4))
 
-    def split_number(self, name: str) -> tuple[str, str, str]:
-        """(name, house number, letter); the number may stand before or after the name."""
-        if m := _TAIL.match(name):
-            if m.group(1).strip():
-                return re.sub(rf"[\s,]*{_NUMBER}?$", "", m.group(1)).strip(" ,-"), m.group(2), m.group(3) or ""
-        if m := _HEAD.match(name):
-            return m.group(3).strip(), m.group(1), m.group(2) or ""
-        return name, "", ""
-
     def named(self, street: str, depth: int = 2) -> tuple[dict[str, float], frozenset, frozenset, str, str]:
         """(register names near, resorts, districts, house number, letter) of a typed street; kept, since streets come again."""
         key = (street, depth)
         if key not in self._seen:
-            names, resorts, districts, number, letter = self.parse(street)
+            names, resorts, districts, number, letter = self.where.parse(street)
             best: dict[str, float] = {}
             for name in names:
-                bare, n, x = self.split_number(name)
-                bare = _LEAD.sub("", bare + " ").strip()
+                bare, n, x = self.where.split_number(name)
+                bare = unled(bare)
                 own = n + x
                 if n and self._family(bare):
-                    inner, n2, x2 = self.split_number(bare)
+                    inner, n2, x2 = self.where.split_number(bare)
                     if n2 and self._family(inner):  # "Leiding 7 no. 12": the first number is the street's
                         bare, own, n, x = inner, n2 + x2, n, x
                     else:
@@ -376,20 +409,59 @@ class Register:
                         number, letter = n, x
                 elif n and not number:
                     number, letter = n, x
-            self._keep(key, (best, resorts, districts, number.lstrip("0") or number, letter))
+            _keep(self._seen, key, (best, resorts, districts, number.lstrip("0") or number, letter))
         return self._seen[key]
 
     def _family(self, name: str) -> bool:
-        bare = re.sub(rf"[\s,]*{_NUMBER}?$", "", name).strip()
-        key = sound_key(re.sub(r"\s*\d+\s?[a-z]?$", "", bare))
-        if not self.families or len(key) < 3:
+        """Whether the register has streets of this name with a number of their own."""
+        if not self.families.keys:
             return False
-        if key in self.families or any(k in self.families for k in self.index.near(key)):
-            return True
-        spelt = letters(re.sub(r"\s*\d+\s?[a-z]?$", "", bare))
-        if bare.endswith(".") and any(k.startswith(key) for k in self.families):
-            return True
-        return any(self.parts[p][3] for k in self.spelt_index.near(spelt) for p in self.spelt[k])
+        known = self._seen.get(("family", name))
+        if known is None:
+            base, start = family_base(name)
+            key = sound_key(base)
+            known = len(key) >= 3 and (bool(self.families.near(key)) or (start and any(k.startswith(key) for k in self.families.keys)) or bool(self.families_spelt.near(letters(base))))
+            _keep(self._seen, ("family", name), known)
+        return known
+
+    def read(self, street: str | None, resort: str | None = None, district: str | None = None) -> tuple:
+        """resolve's four, then the sound of the street, the resort and the district meant (empty where none is given)."""
+        sid, cost, number, letter = self.resolve(street, resort, district)
+        if sid is None:
+            return sid, cost, number, letter, "", "", ""
+        _, inner_r, inner_d, _, _ = self.named(street, 0)  # the places in a street don't depend on how far the name is looked up
+        (r1, d1, _), (r2, d2, _) = self.where.place_of(resort), self.where.place_of(district)
+        sound, own_r, own_d = self.own.get(sid) or (sound_key(plain(street)), "", "")
+        # a shortened place may mean several: it agrees with the street's own if that is among them
+        pick = lambda given, own: "" if not given else own if own in given else min(given)
+        return sid, cost, number, letter, sound, pick(inner_r | r1 | r2, own_r), pick(inner_d | d1 | d2, own_d)
+
+    def asked(self, street: str) -> set[str]:
+        """Every key under which a look-up of a typed street may ask for names: deletes of sounds, of spellings ("="), beginnings ("<", "~"), the text itself ("!")."""
+        out = {"!" + plain(street)}
+        for name in self.where.parse(street)[0]:
+            bare = unled(self.where.split_number(name)[0])
+            for x in {bare, self.where.split_number(bare)[0]}:
+                base, start = family_base(x)
+                if start:
+                    out.add("~" + sound_key(base))
+                if start := cut_short(x):
+                    out.add("<" + start)
+                for typed in {letters(base), *(letters(stem) for stem, _ in ending_readings(x))}:
+                    key = sound_key(typed)
+                    out |= deletes(key, self.index.bound(key), self.index.prefix)
+                    out |= {"=" + d for d in deletes(typed, self.index.bound(typed), self.index.prefix)}
+        return out
+
+    def answers(self) -> set[str]:
+        """The keys under which a register of one street gives it."""
+        out = {"!" + p for p in self.names} | set(self.index.by) | {"=" + d for d in self.spelt_index.by}
+        for full, _, _, number in self.parts.values():
+            out |= {"<" + full[:i] for i in range(1, len(full) + 1)}
+            if number:
+                key = sound_key(full)
+                out |= {"~" + key[:i] for i in range(1, len(key) + 1)}
+        return out
 
     def resolve(self, street: str | None, resort: str | None = None, district: str | None = None) -> tuple[int | None, float, str, str]:
         """(street_id, cost, house number, letter); -1 where no street is meant, None where there is no text."""
@@ -398,8 +470,8 @@ class Register:
         exact = self.spelled.get((street, resort or "", district or "")) if resort and district else None
         if exact is not None:
             return exact, 0.0, "", ""
-        r1, d1, given_r = self.place_of(resort)
-        r2, d2, given_d = self.place_of(district)
+        r1, d1, given_r = self.where.place_of(resort)
+        r2, d2, given_d = self.where.place_of(district)
         for depth, sure in enumerate(self.SURE):
             best, resorts, districts, number, letter = self.named(street, depth)
             resorts, districts = resorts | r1 | r2, districts | d1 | d2
@@ -424,6 +496,26 @@ class Register:
         return (choice[1], choice[2], number, letter) if choice else (-1, 9.0, number, letter)
 
 
+def cut_short(name: str) -> str:
+    """The letters of a plain name that a full stop ends ("leid."), else an empty text."""
+    return letters(name) if re.fullmatch(r"[a-z][a-z' -]{2,}\.", name) else ""
+
+
+def unled(name: str) -> str:
+    return _LEAD.sub("", name + " ").strip()
+
+
+def family_base(name: str) -> tuple[str, bool]:
+    """(name without a number, whether it is cut short)."""
+    bare = _MARK.sub("", name).strip()
+    return _OWN_NUMBER.sub("", bare), bare.endswith(".")
+
+
+_MARK, _OWN_NUMBER = re.compile(rf"[\s,]*{_NUMBER}?$"), re.compile(r"\s*\d+\s?[a-z]?$")
+#: More distinct resorts, or districts, than this are an error: they are broadcast.
+MOST_PLACES = 50_000
+
+
 def register_of(streets: DataFrame, most: int = 100_000) -> Register | None:
     """The register on the driver, or None where it has more than ``most`` rows (resolve_by_join takes those)."""
     rows = streets.select("street_id", "name", "ressort", "district").limit(most + 1).collect()
@@ -435,70 +527,74 @@ def shared(df: DataFrame, register: Register):
     return df.sparkSession.sparkContext.broadcast(register)
 
 
-def with_street(df: DataFrame, streets: DataFrame, keep: list[str], street: str = "street", resort: str = "resort", district: str = "district", most: int = 100_000) -> DataFrame:
-    """keep + (street_id long, cost double, house_number, house_letter): each row's street by the register, without a shuffle."""
+#: What ``with_street`` adds; the last three only if asked for.
+FOUND = (("street_id", "long", pa.int64()), ("cost", "double", pa.float64()), ("house_number", "string", pa.string()), ("house_letter", "string", pa.string()), ("sound", "string", pa.string()), ("resort_read", "string", pa.string()), ("district_read", "string", pa.string()))
+
+
+def with_street(df: DataFrame, streets: DataFrame, keep: list[str], street: str = "street", resort: str = "resort", district: str = "district", most: int = 100_000, read: bool = False) -> DataFrame:
+    """keep + (street_id long, cost double, house_number, house_letter): each row's street by the register, without a shuffle. read: sound, resort_read and district_read too."""
     register = register_of(streets, most)
     if register is None:
-        return resolve_by_join(df, streets, keep, street, resort, district)
+        return resolve_by_join(df, streets, keep, street, resort, district, read)
     register = shared(df, register)
     rest = df.select(*keep, F.col(street).alias("__s"), F.col(resort).alias("__r"), F.col(district).alias("__d"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields if f.name in keep]
-
-    n = len(keep)
+    n, more = len(keep), FOUND if read else FOUND[:4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = register.value.resolve
+        find = register.value.read if read else register.value.resolve
         for batch in batches:  # the kept columns pass through as they are
             got = [find(*v) for v in zip(*(batch.column(n + i).to_pylist() for i in range(3)))]
-            new = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), pa.float64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *new], names=[*keep, "street_id", "cost", "house_number", "house_letter"])
-
-    return rest.mapInArrow(run, ", ".join([*fields, "street_id long", "cost double", "house_number string", "house_letter string"]))
+            new = [pa.array([g[i] for g in got], kind) for i, (_, _, kind) in enumerate(more)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *new], names=[*keep, *(name for name, _, _ in more)])
 
+    return rest.mapInArrow(run, ", ".join([*fields, *(f"{name} {kind}" for name, kind, _ in more)]))
 
-def resolve_by_join(df: DataFrame, streets: DataFrame, keep: list[str], street: str = "street", resort: str = "resort", district: str = "district", distance: int = 2, prefix: int = 10) -> DataFrame:
-    """``with_street`` for registers too large to broadcast: the deletes of both sides are joined, then each address ranks its own candidates."""
-    typed = df.select(F.col(street).alias("__s"), F.col(resort).alias("__r"), F.col(district).alias("__d")).where("trim(__s) <> ''").distinct()
-    shape = Register([])
 
-    def typed_deletes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def places_of(streets: DataFrame, most: int = MOST_PLACES) -> Places:
+    """The distinct places of a register of any size; an error where they are too many to broadcast."""
+    out = []
+    for i, c in enumerate(("ressort", "district")):
+        names = [r[0] for r in streets.where(F.col(c).isNotNull() & F.col("street_id").isNotNull() & (F.trim("name") != "")).select(c).distinct().limit(most + 1).collect()]
+        if len(names) > most:
+            raise ValueError(f"more than {most} distinct values of {c}")
+        out += [(x, "") if i == 0 else ("", x) for x in names]
+    return Places(out)
+
+
+def resolve_by_join(df: DataFrame, streets: DataFrame, keep: list[str], street: str = "street", resort: str = "resort", district: str = "district", read: bool = False) -> DataFrame:
+    """``with_street`` for registers too large to broadcast: the keys of both sides are joined, then each address ranks its own candidates. The same rows."""
+    places = df.sparkSession.sparkContext.broadcast(places_of(streets))
+    typed = df.select(F.col(street).alias("__s"), F.col(resort).alias("__r"), F.col(district).alias("__d")).where(F.trim(F.regexp_replace("__s", r"[\s\u00a0]+", " ")) != "").distinct()
+    more = FOUND if read else FOUND[:4]
+    row, one = ["street_id", "name", "ressort", "district"], "street_id long, name string, ressort string, district string"
+
+    def typed_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shape = Register([], places=places.value)
         for pdf in batches:
-            rows = []
-            for s, r, d in zip(pdf["__s"], pdf["__r"], pdf["__d"]):
-                keys, spelt = set(), set()
-                for name in [*shape.parse(s)[0], *_SEGMENT.split(plain(s))]:
-                    for bare in {name, shape.split_number(name)[0]}:
-                        bare = _LEAD.sub("", bare + " ").strip()
-                        stems = {x for x, _ in ending_readings(bare)} | {bare}
-                        keys |= {sound_key(x) for x in stems}
-                        spelt |= {letters(x) for x in stems}
-                near = {x for k in keys if len(k) > 2 for x in deletes(k, shape.index.bound(k), prefix)}
-                near |= {"=" + x for k in spelt if len(k) > 2 for x in deletes(k, shape.index.bound(k), prefix)}
-                rows += [(x, s, r, d) for x in near]
-            yield pd.DataFrame(rows, columns=["x", "__s", "__r", "__d"])
-
-    def register_deletes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame([(x, s, r, d) for s, r, d in zip(pdf["__s"], pdf["__r"], pdf["__d"]) for x in shape.asked(s)], columns=["x", "__s", "__r", "__d"])
+
+    def register_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for i, n, r, d in zip(pdf["street_id"], pdf["name"], pdf["ressort"], pdf["district"]):
-                one = Register([(i, n, r, d)])
-                rows += [(x, i, n, r, d) for x in (*one.index.by, *("=" + y for y in one.spelt_index.by))]
-            yield pd.DataFrame(rows, columns=["x", "street_id", "name", "ressort", "district"])
+            yield pd.DataFrame([(x, *v) for v in pdf.itertuples(index=False, name=None) for x in Register([v], places=places.value).answers()], columns=["x", *row])
 
-    a = typed.mapInPandas(typed_deletes, "x string, __s string, __r string, __d string")
-    b = streets.select("street_id", "name", "ressort", "district").where("name is not null").mapInPandas(register_deletes, "x string, street_id long, name string, ressort string, district string")
-    pairs = a.join(b, "x").select("__s", "__r", "__d", "street_id", "name", "ressort", "district").distinct()
+    a = typed.mapInPandas(typed_keys, "x string, __s string, __r string, __d string")
+    known = streets.where("street_id is not null and trim(name) <> ''").select(F.col("street_id").cast("long").alias("street_id"), "name", "ressort", "district")
+    pairs = a.join(known.mapInPandas(register_keys, f"x string, {one}"), "x").select("__s", "__r", "__d", *row).distinct()
+    # an address of no candidate at all is still taken apart
+    pairs = pairs.unionByName(typed.selectExpr("*", "cast(null as long) as street_id", "cast(null as string) as name", "cast(null as string) as ressort", "cast(null as string) as district"))
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         s, r, d = (None if pd.isna(x) else x for x in pdf.iloc[0][["__s", "__r", "__d"]])
-        got = Register(pdf[["street_id", "name", "ressort", "district"]].itertuples(index=False, name=None)).resolve(s, r, d)
-        return pd.DataFrame([(s, r, d, *got)], columns=["__s", "__r", "__d", "street_id", "cost", "house_number", "house_letter"])
+        rows = [(int(i), n, None if pd.isna(a) else a, None if pd.isna(b) else b) for i, n, a, b in pdf[row].itertuples(index=False, name=None) if not pd.isna(i)]
+        one = Register(rows, places=places.value)
+        return pd.DataFrame([(s, r, d, *(one.read if read else one.resolve)(s, r, d))], columns=["__s", "__r", "__d", *(name for name, _, _ in more)])
 
-    best = pairs.groupBy("__s", "__r", "__d").applyInPandas(rank, "__s string, __r string, __d string, street_id long, cost double, house_number string, house_letter string")
+    best = pairs.groupBy("__s", "__r", "__d").applyInPandas(rank, "__s string, __r string, __d string, " + ", ".join(f"{name} {kind}" for name, kind, _ in more))
     rows = df.select(*keep, F.col(street).alias("__s0"), F.col(resort).alias("__r0"), F.col(district).alias("__d0"))
     joined = rows.join(best, (F.col("__s0") == F.col("__s")) & F.col("__r0").eqNullSafe(F.col("__r")) & F.col("__d0").eqNullSafe(F.col("__d")), "left")
-    blank = F.coalesce(F.trim("__s0"), F.lit("")) == ""
-    return joined.select(*keep, F.when(~blank, F.coalesce("street_id", F.lit(-1))).alias("street_id"), F.coalesce("cost", F.lit(9.0)).alias("cost"), F.coalesce("house_number", F.lit("")).alias("house_number"), F.coalesce("house_letter", F.lit("")).alias("house_letter"))
+    none = {"cost": F.lit(0.0)} | {name: F.lit("") for name, _, _ in more[2:]}
+    return joined.select(*keep, "street_id", *(F.coalesce(name, none[name]).alias(name) for name, _, _ in more[1:]))
 
 
 def mapped_streets(df: DataFrame, streets: DataFrame, row_id: str = "record_id") -> DataFrame:

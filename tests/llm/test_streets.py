@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from gleba.llm import addresses as A, matching as M, streets as S
@@ -75,6 +76,53 @@ def test_table_forms_agree(spark):
     assert {r.street_id for r in S.mapped_streets(df, streets.limit(0)).collect()} == {-1}
 
 
+def spellings(rows, n, seed):
+    """Freely typed addresses: slips, endings cut or changed, numbers in any place, words before the name, places shortened, swapped or missing."""
+    rng = random.Random(seed)
+    for i in range(n):
+        _, name, resort, district = rng.choice(rows)
+        t = list(name)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice([[], [t[k]] * 2, [rng.choice("abcdeghikostvwz")], [rng.choice("aeiou"), t[k]]])
+            t = t or ["a"]
+        name = "".join(t)
+        if rng.random() < 0.3:
+            name = re.sub(r"(straat|weg|laan|pad|dreef)", lambda m: rng.choice([m.group()[:3] + ".", m.group()[:2], "", "str.", " " + m.group()]), name)
+        if rng.random() < 0.15:
+            name = name[: rng.randrange(3, 8)].rstrip() + "."
+        name = rng.choice(["", "", "", "Perceel aan de ", "hk ", "nabij "]) + name + rng.choice(["", "", f" {rng.randrange(1, 200)}", f" nr. {rng.randrange(1, 99)}b", f" 7 no. {rng.randrange(1, 30)}", f", {resort}", f" te {district[:4]}"])
+        yield rng.choice([name, name.upper(), name.lower()]), rng.choice([None, resort, resort[:4], "district " + district, "zz"]), rng.choice([None, district, district.lower(), resort])
+
+
+def test_both_forms_of_the_register_agree_on_generated_spellings(sf):
+    import duckdb
+
+    rows = [*ROWS, *duckdb.sql(f"SELECT street_id + 100, name, ressort, district FROM '{sf}/streets.parquet'").fetchall()]
+    whole, by = S.Register(rows), {}
+    for row in rows:
+        for x in S.Register([row], places=whole.where).answers():
+            by.setdefault(x, set()).add(row)
+    typed = [("Leid. 7", None, None), ("leid. 17", "Oost", None), ("Leid. 7 no. 3", None, None), ("12", None, None), ("x" * 5000, None, None), *rows[:50], *((s, r, d) for s, r, d in spellings(rows, 1000, 11))]
+    hits = 0
+    for v in (x[-3:] for x in typed):
+        want = whole.read(*v)
+        part = S.Register({row for x in whole.asked(v[0]) for row in by.get(x, ())}, places=whole.where)
+        assert part.read(*v) == want, v
+        hits += want[0] > 0
+    assert hits > 500 and whole.resolve("Leid. 7")[0] == 5
+
+
+def test_join_form_reads_what_the_broadcast_form_reads(spark, sf):
+    streets = spark.read.parquet(f"{sf}/streets.parquet").select("street_id", "name", "ressort", "district").union(spark.createDataFrame([(i + 10**6, *r) for i, *r in ROWS], "street_id long, name string, ressort string, district string"))
+    rows = [tuple(r) for r in streets.collect()]
+    df = frame(spark, [*spellings(rows, 60, 3), ("Leid. 7", None, None), (None, "Noord", None), (" ", "x", None), ("zie kaart", None, None)])
+    a, b = ({tuple(r) for r in S.with_street(df, streets, ["record_id"], most=m, read=True).collect()} for m in (100_000, 10))
+    assert a == b and len(a) == 64
+    with pytest.raises(ValueError, match="distinct"):
+        S.places_of(streets, 2)
+
+
 def test_same_addresses_against_brute_force(spark):
     streets = spark.createDataFrame(ROWS, "street_id long, name string, ressort string, district string")
     rng, rows = random.Random(5), []
@@ -152,3 +200,23 @@ def test_no_closer_street_is_missed_by_stopping_early():
         _, name, _, district = rng.choice(rows)
         typed = "".join({"b": "p", "d": "t", "a": "o"}.get(c, c) if rng.random() < 0.3 else c for c in name[:-3].lower()) + "weg"
         assert few.resolve(typed, None, district)[:2] == every.resolve(typed, None, district)[:2], (typed, district)
+
+
+def test_models_change_rows_of_planted_tables(spark, sf):
+    rates = {("price", "EUR"): 1.0, ("size", "m2"): 1.0}
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    plots = {r.method: r for r in M.planted(read("site_listings"), read("streets"), rates).collect()}
+    model, check, every = plots["label model"], plots["exact check"], plots["every candidate"]
+    assert model.right > check.right and model.right / model.pairs > every.right / every.pairs + 0.02
+    places = {r.method: r for r in A.planted(read("needs_check"), read("streets")).collect()}
+    weights, check, block = places["weights"], places["exact check"], places["whole block"]
+    assert weights.right >= check.right and weights.pairs <= block.pairs and weights.right / weights.pairs >= block.right / block.pairs
+
+
+def test_rounds_that_do_not_converge_are_an_error():
+    import numpy as np
+    from gleba.llm.latent import TwoClasses
+
+    patterns, counts = np.array([[0, 0], [0, 1], [1, 0], [1, 1]]), np.array([40.0, 10.0, 10.0, 40.0])
+    with pytest.raises(RuntimeError):
+        TwoClasses([2, 2]).fit(patterns, counts, np.array([0.9, 0.4, 0.6, 0.1]), rounds=1, tolerance=0.0)
