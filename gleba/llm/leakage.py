@@ -1,17 +1,19 @@
-"""Evaluation texts that leak into training texts: n-gram seeds find places, Smith-Waterman alignment judges them.
+"""Evaluation texts that leak into training texts: rare n-gram seeds find places, Smith-Waterman alignment judges them.
 
 Both sides are reduced to words: markup, quotation marks at line starts, case, accents, punctuation and spacing fall away. Every ``n`` successive words of
-an item are a seed. The seeds of a corpus text are looked up; the hits of one item lie on diagonals (place in the text less place in the item), and hits on
-near diagonals make a band. A passage of at least ``words`` item words with at most a tenth altered or left out keeps a least number of seeds whole
-(``seed_bound``), so a band with fewer needs no alignment, and seeds that many items share, common phrases, start none alone. In the band the words
-are aligned by Smith-Waterman; along the best path each item word is the same or not, and an item has leaked if some run of ``words`` or more of them has at
-most a tenth that isn't.
+an item are a gram. A passage of ``words`` or more item words with at most a share altered or left out keeps a least number of grams whole (``seed_bound``).
 
-The items are bounded by nature. They travel as broadcasts in chunks of ``chunk`` items (a few MB each) whatever their number; every corpus text is
-read alone and whole against each chunk, in one pass. No shuffle, no pairs.
+Items are a table, never gathered in one place. What travels to the corpus is a Bloom filter of their grams, of ``MOST_BITS`` bits at most whatever their number.
+Every corpus text is read alone and whole, in one pass; only *stretches* in which enough grams stand close together go on. There the seeds decide: a seed
+is a gram of an item, and common grams, which many items share, are left out as far as every possible passage still keeps a seed (``rare``). So phrases that
+all items share join nothing, and no passage is lost. Stretches and items that share a seed are aligned.
 
-Defined results: null and empty texts and items leak nothing; items shorter than ``words`` words can't leak; a text that holds an item twice has it
-once; repeated texts each have their rows; an empty table gives no rows.
+The alignment is Smith-Waterman's with a count in place of a score: from every item word on, the least number of words altered or left out along any path in
+a band of diagonals; words put in cost nothing. A passage that is good enough holds one of ``longest`` words or fewer that is, so only so many starts are open at
+a time, and every passage is judged, not only the best path's. Passages without left-out words are seen on their diagonal already.
+
+Defined results: null and empty texts and items leak nothing; items shorter than ``words`` words can't leak; the first and the last word of a passage are
+unaltered; a text that holds an item twice has it once; repeated texts each have their rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from gleba.session import checkpointed
+
 N, WORDS, SHARE = 6, 25, 0.1
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.S)
+#: Words that may be put into a passage, and the filter's size: bits a gram, at most so many (32 MB).
+PUT_IN, BITS_A_GRAM, MOST_BITS = 8, 256, 1 << 28
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐]\s*\r?\n\s*(?:>\s*)*(?=[^\W\d_])")
 _WORD = re.compile(r"[a-z0-9]+")
+_MARKS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x300, 0x1F000)) if unicodedata.combining(c)) + "]+")
 _UNSEEN = re.compile("[­​-‏⁠﻿]")
 
 
@@ -41,143 +50,275 @@ def words_of(text: str) -> list[str]:
         text = html.unescape(text)
     text = _UNSEEN.sub("", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     return _WORD.findall(text.lower())
 
 
+_KNOWN: dict[str, int] = {}
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    """64 bits a word, the same in every process."""
+    if len(_KNOWN) > 500_000:  # bounded memory on a worker
+        _KNOWN.clear()
+    get = _KNOWN.get
+    return np.fromiter((get(w) or _KNOWN.setdefault(w, xxhash.xxh3_64_intdigest(w) | 1) for w in words), np.uint64, len(words))
+
+
+def grams(h: np.ndarray, n: int = N) -> np.ndarray:
+    """A hash of each n successive words."""
+    k = max(0, len(h) - n + 1)
+    out = np.zeros(k, np.uint64)
+    for i in range(n):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[i : i + k]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    return out
+
+
+# ---------------------------------------------------------------- bounds
+
+
+def longest(words: int = WORDS, share: float = SHARE) -> int:
+    """Any passage that qualifies holds one of at most so many item words: of a longer one's halves one qualifies, less the altered words at its ends."""
+    return int(2 * words / (1 - share)) + 2
+
+
+def whole(length: int, n: int = N, share: float = SHARE) -> int:
+    """The least number of whole grams in a passage of so many item words: each word altered or left out spoils at most n."""
+    return length - n + 1 - n * int(share * length + 1e-9)
+
+
 def seed_bound(n: int = N, words: int = WORDS, share: float = SHARE) -> int:
-    """The least number of whole n-grams in a passage of words or more item words with at most a share altered: each spoils at most n of them."""
-    return max(1, min(length - n + 1 - n * int(share * length) for length in range(words, 12 * words)))
+    return max(1, min(whole(length, n, share) for length in range(words, longest(words, share) + 1)))
+
+
+def rare(counts: np.ndarray, n: int = N, words: int = WORDS, share: float = SHARE) -> np.ndarray:
+    """Which of an item's grams are its seeds. counts: how many items have each gram. The commonest are left out first, none that no other item has, and none
+    where a passage of the words around it could then lose all its seeds."""
+    keep = np.ones(len(counts), bool)
+    limits = [(length - n + 1, whole(length, n, share) - 1) for length in range(words, longest(words, share) + 1)]
+    if min(most for _, most in limits) <= 0:
+        return keep
+    for p in sorted(np.flatnonzero(counts > 1), key=lambda i: (-counts[i], i)):
+        keep[p] = False
+        for width, most in limits:
+            lo = max(0, p - width + 1)
+            left = np.cumsum(np.concatenate([[0], ~keep[lo : p + width]]))
+            if (left[min(width, len(left) - 1) :] - left[: len(left) - min(width, len(left) - 1)]).max() > most:
+                keep[p] = True
+                break
+    return keep
+
+
+# ---------------------------------------------------------------- one text
+
+
+class Bloom:
+    """A filter of hashes with two probes; never false of one that is in it."""
+
+    def __init__(self, bits: int, parts: dict[int, bytes] | None = None, part: int = 1 << 16):
+        self.mask, self.bytes = np.uint64(bits - 1), np.zeros(bits >> 3, np.uint8)
+        for i, b in (parts or {}).items():
+            self.bytes[i * part : i * part + len(b)] |= np.frombuffer(b, np.uint8)
+
+    def places(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return g & self.mask, (g >> np.uint64(32)) & self.mask
+
+    def add(self, g: np.ndarray) -> None:
+        for at in self.places(g):
+            np.bitwise_or.at(self.bytes, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
+
+    def has(self, g: np.ndarray) -> np.ndarray:
+        a, b = self.places(g)
+        hit = (self.bytes[(a >> np.uint64(3)).astype(np.int64)] >> (a & np.uint64(7)).astype(np.uint8)) & 1
+        at = np.flatnonzero(hit)
+        b = b[at]
+        out = np.zeros(len(g), bool)
+        out[at] = (self.bytes[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1
+        return out
+
+
+def stretches(h: np.ndarray, bloom: Bloom, n: int = N, words: int = WORDS, share: float = SHARE) -> list[tuple[int, int, np.ndarray]]:
+    """(start, end, grams hit) of the stretches of a text in which enough grams of items stand close enough for a passage; what a passage could reach around them is in."""
+    reach, bound = longest(words, share) + PUT_IN, seed_bound(n, words, share)
+    g = grams(h, n)
+    at = np.flatnonzero(bloom.has(g)) if len(g) else g
+    if len(at) < bound:
+        return []
+    near = np.flatnonzero(at[bound - 1 :] - at[: len(at) - bound + 1] < reach)
+    out: list[tuple[int, int, np.ndarray]] = []
+    for i in near:
+        a, b = max(0, int(at[i]) - reach), min(len(h), int(at[i + bound - 1]) + n + reach)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), None)
+        else:
+            out.append((a, b, None))
+    return [(a, b, g[at[(at >= a) & (at <= b - n)]]) for a, b, _ in out]
+
+
+def qualifies(same: np.ndarray, words: int = WORDS, share: float = SHARE) -> bool:
+    """Whether some run of ``words`` or more, its ends the same, has at most a share that isn't the same."""
+    m = len(same)
+    if m < words:
+        return False
+    over = np.concatenate([[0.0], np.cumsum(np.where(same, -share, 1 - share))])
+    # a run i .. j qualifies if over[j] <= over[i]; the best start is the largest over so far, at a word that is the same
+    largest = np.maximum.accumulate(np.where(same, over[:-1], -np.inf)[: m - words + 1])
+    return bool(((over[words:] <= largest + 1e-9) & same[words - 1 :]).any())
+
+
+def holds(text: np.ndarray, item: np.ndarray, n: int = N, words: int = WORDS, share: float = SHARE) -> bool:
+    """Whether a text (hashed words) holds a passage of an item."""
+    a, b = grams(text, n), grams(item, n)
+    if not len(a) or len(item) < words:
+        return False
+    order = np.argsort(b, kind="stable")
+    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    hit = np.flatnonzero(hi > lo)
+    if not len(hit):
+        return False
+    places = np.repeat(hit, hi[hit] - lo[hit])
+    diagonals = places - np.concatenate([order[lo[j] : hi[j]] for j in hit])
+    if len(hit) < seed_bound(n, words, share):
+        return False
+    for d in np.unique(diagonals):
+        first, last = max(0, -d), min(len(item), len(text) - d)
+        if qualifies(text[first + d : last + d] == item[first:last], words, share):
+            return True
+    slack = max(PUT_IN, int(len(item) * share) + 2)
+    ds, bands = np.unique(diagonals), []
+    for d in ds:
+        if bands and d - bands[-1][1] <= slack and d - bands[-1][0] <= 4 * slack:
+            bands[-1][1] = d
+        else:
+            bands.append([d, d])
+    return any(_aligned(text, item, int(lo) - slack, int(hi) + slack, words, share) for lo, hi in bands)
+
+
+def _aligned(text: np.ndarray, item: np.ndarray, low: int, high: int, words: int, share: float) -> bool:
+    """Local alignment on the diagonals low .. high, from every item word that is there on: the least number of words altered or left out."""
+    width, m, open_ = high - low + 1, len(item), longest(words, share)
+    padded = np.zeros(width + m, np.uint64)  # no word's hash is 0
+    a, b = max(0, low), min(len(text), low + width + m)
+    if b > a:
+        padded[a - low : b - low] = text[a:b]
+    ramp = np.arange(width) * 1e-6  # a word put in costs next to nothing
+    cost = np.full((open_, width), np.inf)  # row k: the start at item word i - 1 - k
+    lengths = np.arange(2, open_ + 1)
+    for i in range(m):
+        same = padded[i : i + width] == item[i]
+        ends = cost[:-1][:, same]  # rows of the starts with length k + 2 that end here
+        if ends.size and ((ends.min(axis=1) <= share * lengths + 1e-3) & (lengths >= words)).any():
+            return True
+        moved = cost + ~same
+        moved[:, :-1] = np.minimum(moved[:, :-1], cost[:, 1:] + 1)
+        moved = np.minimum.accumulate(moved - ramp, axis=1) + ramp
+        cost[1:] = moved[:-1]
+        cost[0] = np.where(same, 0.0, np.inf)
+    return False
 
 
 class Items:
-    """A chunk of items, ready for look-ups; picklable."""
+    """A few items in one process: the reference of ``leaks``."""
 
     def __init__(self, rows, n: int = N, words: int = WORDS, share: float = SHARE):
-        self.n, self.words, self.share, self.bound = n, words, share, seed_bound(n, words, share)
-        self.vocabulary: dict[str, int] = {}
-        self.items: dict = {}
-        self.seeds: dict[tuple, list] = defaultdict(list)
-        for item, text in rows:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text or "")]
-            if len(ids) >= words:
-                self.items[item] = ids
-                for i in range(len(ids) - n + 1):
-                    self.seeds[tuple(ids[i : i + n])].append((item, i))
-        self.seeds.default_factory = None
-
-    def hits(self, ids: list[int]) -> dict:
-        """item -> [(place in the text, place in the item)]. ids: the text's words, -1 for a word of no item."""
-        n, seeds, out, run = self.n, self.seeds, defaultdict(list), 0
-        for j, w in enumerate(ids):
-            run = run + 1 if w >= 0 else 0
-            if run >= n:
-                found = seeds.get(tuple(ids[j - n + 1 : j + 1]))
-                if found:
-                    for item, i in found:
-                        out[item].append((j - n + 1, i))
-        return out
+        self.n, self.words, self.share = n, words, share
+        self.items = [(item, h) for item, text in rows if len(h := hashes(words_of(text or ""))) >= words]
+        counts: dict = defaultdict(int)
+        for _, h in self.items:
+            for g in set(grams(h, n).tolist()):
+                counts[g] += 1
+        self.bloom = Bloom(1 << 20)
+        self.seeds: dict = defaultdict(set)
+        for k, (_, h) in enumerate(self.items):
+            g = grams(h, n)
+            self.bloom.add(g)
+            for x in g[rare(np.array([counts[x] for x in g.tolist()]), n, words, share)].tolist():
+                self.seeds[x].add(k)
 
     def leaked(self, text: str | None) -> list:
         """The items that leak into a text."""
-        if not text:
-            return []
-        get = self.vocabulary.get
-        ids = [get(w, -1) for w in words_of(text)]
-        return sorted(item for item, hits in self.hits(ids).items() if len(hits) >= self.bound and self._judge(ids, self.items[item], hits))
-
-    def _judge(self, ids: list[int], item: list[int], hits: list[tuple[int, int]]) -> bool:
-        slack = max(8, int(len(item) * self.share) + 2)
-        hits = sorted(hits, key=lambda h: (h[0] - h[1], h[0]))
-        band = [hits[0]]
-        groups = []
-        for h in hits[1:]:
-            if h[0] - h[1] - (band[-1][0] - band[-1][1]) > slack:
-                groups.append(band)
-                band = []
-            band.append(h)
-        groups.append(band)
-        for group in groups:
-            if len(group) >= self.bound:
-                low, high = group[0][0] - group[0][1] - slack, group[-1][0] - group[-1][1] + slack
-                if high - low > 6 * slack:  # a text that repeats the item again and again: each diagonal stretch on its own
-                    if any(self._align(ids, item, d - slack, d + slack) for d in sorted({(a - b) // slack * slack for a, b in group})):
-                        return True
-                elif self._align(ids, item, low, high):
-                    return True
-        return False
-
-    def _align(self, ids: list[int], item: list[int], low: int, high: int) -> bool:
-        """Smith-Waterman of the item against the text on the diagonals low .. high; whether a run of the path qualifies.
-
-        Cell (i, d): item word i on diagonal d, text place i + d. Same word +2, another -1, a word left out or put in -1.
-        """
-        width, m = high - low + 1, len(item)
-        score = np.zeros((m + 1, width), dtype=np.int32)
-        move = np.zeros((m + 1, width), dtype=np.int8)  # 1: same or altered, 2: item word left out, 3: text word put in
-        text = np.full(width + m, -2, dtype=np.int64)  # the text's words from place low on
-        a, b = max(0, low), min(len(ids), low + width + m)
-        if b > a:
-            text[a - low : b - low] = ids[a:b]
-        steps = np.arange(width)
-        for i in range(1, m + 1):
-            same = text[i - 1 : i - 1 + width] == item[i - 1]
-            diagonal = score[i - 1] + np.where(same, 2, -1)
-            left_out = np.append(score[i - 1][1:], 0) - 1
-            best = np.maximum(np.maximum(diagonal, left_out), 0)
-            # a text word put in moves one diagonal up at the cost of 1: a running maximum of best + d
-            put_in = np.maximum.accumulate(best + steps) - steps
-            move[i] = np.where(put_in > best, 3, np.where(best == 0, 0, np.where(diagonal >= left_out, 1, 2)))
-            score[i] = np.maximum(best, put_in)
-        i, d = np.unravel_index(int(score.argmax()), score.shape)
-        same = np.zeros(m, dtype=bool)
-        first, last = m, i
-        while i > 0 and d >= 0 and score[i, d] > 0:
-            if move[i, d] == 1:
-                same[i - 1] = text[i - 1 + d] == item[i - 1]
-                i -= 1
-                first = i
-            elif move[i, d] == 2:
-                i, d = i - 1, d + 1
-                first = i
-                if d >= width:
-                    break
-            elif move[i, d] == 3:
-                d -= 1
-            else:
-                break
-        return self.qualifies(same[first:last])
+        h, out = hashes(words_of(text or "")), set()
+        for a, b, hit in stretches(h, self.bloom, self.n, self.words, self.share):
+            for k in set().union(*(self.seeds.get(x, ()) for x in hit.tolist())):
+                if holds(h[a:b], self.items[k][1], self.n, self.words, self.share):
+                    out.add(self.items[k][0])
+        return sorted(out)
 
     def qualifies(self, same: np.ndarray) -> bool:
-        """Whether some run of ``words`` or more has at most a share that isn't the same."""
-        m = len(same)
-        if m < self.words:
-            return False
-        over = np.concatenate([[0.0], np.cumsum(np.where(same, -self.share, 1 - self.share))])
-        # a run i .. j qualifies if over[j] <= over[i]; the best start is the largest over so far
-        largest = np.maximum.accumulate(over[: m - self.words + 1])
-        return bool((over[self.words :] <= largest + 1e-9).any())
-
-
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", n: int = N, words: int = WORDS, share: float = SHARE, chunk: int = 5_000) -> DataFrame:
-    """(doc_id, item_id): the items of which each text holds a passage."""
-    spark = documents.sparkSession
-    kinds = [x.schema[c].dataType.simpleString() for x, c in ((documents, doc_id), (items, item_id))]
-    shape = f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}"
-    chunks, part = [], []
-    for r in items.where(F.col(item_id).isNotNull() & F.col("text").isNotNull()).select(item_id, "text").orderBy(item_id).toLocalIterator():
-        part.append((r[0], r[1]))
-        if len(part) == chunk:
-            chunks.append(spark.sparkContext.broadcast(Items(part, n, words, share)))
-            part = []
-    if part:
-        chunks.append(spark.sparkContext.broadcast(Items(part, n, words, share)))
-    rows = documents.where(F.length("text") >= 2 * words).select(F.col(doc_id).alias("i"), F.col("text").alias("t"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return qualifies(same, self.words, self.share)
+
+
+# ---------------------------------------------------------------- tables
+
+
+def _bloom_of(all_grams: DataFrame, bits: int | None, part: int = 1 << 16) -> Bloom:
+    """The filter of the grams in column g, put together from parts; MOST_BITS bounds what comes to the driver."""
+    if bits is None:
+        bits = 1 << int(np.clip(int(np.ceil(np.log2(max(1, all_grams.count()) * BITS_A_GRAM))), 10, np.log2(MOST_BITS)))
+    mask = F.lit(bits - 1)
+    at = all_grams.select(F.explode(F.array(F.col("g").bitwiseAND(mask), F.shiftrightunsigned("g", 32).bitwiseAND(mask))).alias("at")).distinct()
+    at = at.select(F.expr(f"at div {8 * part}").alias("i"), (F.col("at") % (8 * part)).alias("k"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(min(part, bits >> 3), np.uint8)
+        k = pdf["k"].to_numpy()
+        np.bitwise_or.at(out, k >> 3, np.left_shift(1, k & 7).astype(np.uint8))
+        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "b": [out.tobytes()]})
+
+    return Bloom(bits, {r.i: r.b for r in at.groupBy("i").applyInPandas(one, "i long, b binary").collect()}, part)
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", n: int = N, words: int = WORDS, share: float = SHARE, bits: int | None = None) -> DataFrame:
+    """(doc_id, item_id): the items of which each text holds a passage. bits: of the filter, a power of two; worked out from the number of grams if None."""
+    doc_kind, item_kind = (x.schema[c].dataType.simpleString() for x, c in ((documents, doc_id), (items, item_id)))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(k, i, h.view(np.int64), grams(h, n).view(np.int64)) for k, i, t in zip(pdf["k"], pdf["i"], pdf["t"]) if len(h := hashes(words_of(t))) >= words]
+            yield pd.DataFrame(out, columns=["k", "item", "words", "grams"])
+
+    table = items.where(F.col(item_id).isNotNull() & F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("k"), F.col(item_id).alias("i"), F.col("text").alias("t"))
+    table = checkpointed(table.mapInPandas(read, f"k long, item {item_kind}, words array<long>, grams array<long>"))
+    each = table.select("k", F.posexplode("grams").alias("pos", "g"))
+    bloom = documents.sparkSession.sparkContext.broadcast(_bloom_of(each.select("g").distinct(), bits))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids, starts, docs, texts, hit = [], [], [], [], []
+            for j in range(batch.num_rows):
+                h = hashes(words_of(batch.column(2)[j].as_py()))
+                for a, b, g in stretches(h, bloom.value, n, words, share):
+                    rids.append(batch.column(0)[j].as_py())
+                    docs.append(j)
+                    starts.append(a)
+                    texts.append(h[a:b].view(np.int64))
+                    hit.append(np.unique(g).view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(starts, pa.int32()), batch.column(1).take(pa.array(docs, pa.int32())), pa.array(texts, longs), pa.array(hit, longs)], names=["rid", "start", "doc", "text", "hits"])
+
+    rows = documents.where(F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id), F.col("text"))
+    found = checkpointed(rows.mapInArrow(scan, f"rid long, start int, doc {doc_kind}, text array<long>, hits array<long>"))
+
+    common = each.select("g", "k").distinct().groupBy("g").agg(F.count("*").alias("items")).where("items > 1")
+    listed = each.join(common, "g", "left").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "g", F.coalesce("items", F.lit(1)).alias("items")))).alias("x"))  # no longer than an item
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(k, x["g"]) for k, xs in zip(pdf["k"], pdf["x"]) for x, keep in zip(xs, rare(np.array([x["items"] for x in xs]), n, words, share)) if keep]
+            yield pd.DataFrame(out, columns=["k", "g"])
+
+    seeds = listed.mapInPandas(choose, "k long, g long").distinct()
+    pairs = found.select("rid", "start", F.explode("hits").alias("g")).join(seeds, "g").select("rid", "start", "k").distinct()
+    pairs = pairs.join(found.select("rid", "start", "doc", "text"), ["rid", "start"]).join(table.select("k", "item", "words"), "k").select("rid", "doc", "item", "text", "words")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, item) for i, t in zip(pdf["i"], pdf["t"]) for c in chunks for item in c.value.leaked(t)]
-            yield pd.DataFrame(out, columns=[doc_id, item_id])
+            ok = [holds(np.asarray(t, np.int64).view(np.uint64), np.asarray(w, np.int64).view(np.uint64), n, words, share) for t, w in zip(pdf["text"], pdf["words"])]
+            yield pdf.loc[ok, ["rid", "doc", "item"]]
 
-    return rows.mapInPandas(run, shape)
+    judged = pairs.mapInPandas(judge, f"rid long, doc {doc_kind}, item {item_kind}").distinct()
+    return judged.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id))

@@ -70,8 +70,8 @@ def test_tables(spark):
     items = [(i, " ".join(words(50))) for i in range(7)] + [(8, None), (9, "kort")]
     docs = [(1, items[0][1] + " x " + items[3][1]), (2, items[0][1]), (2, items[0][1]), (3, None), (4, ""), (5, "woord " * 100_000)]
     d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for chunk in (5000, 2):
-        assert sorted(tuple(r) for r in L.leaks(d, e, chunk=chunk).collect()) == [(1, 0), (1, 3), (2, 0), (2, 0)]
+    for bits in (None, 1 << 6):  # so small a filter lets everything through
+        assert sorted(tuple(r) for r in L.leaks(d, e, bits=bits).collect()) == [(1, 0), (1, 3), (2, 0), (2, 0)]
     assert L.leaks(d.limit(0), e).count() == 0 and L.leaks(d, e.limit(0)).count() == 0
 
 
@@ -82,3 +82,56 @@ def test_qualifies():
     assert q(same)  # three of thirty
     assert not q(same[:25]) or same[:25].sum() >= 22.5
     assert not q(np.ones(24, dtype=bool))
+
+
+def test_every_passage_is_judged():
+    """A good passage leaks whatever stands behind it, even a longer, worse one that aligns better."""
+    item = words(90)
+    spoilt = [RNG.choice(VOCAB) if i % 9 in (3, 6) else w for i, w in enumerate(item[10:90])]
+    chunk = L.Items([(1, " ".join(item))])
+    assert chunk.leaked(" ".join(spoilt)) == []
+    assert chunk.leaked(" ".join(item[:30] + words(3) + spoilt)) == [1] == chunk.leaked(" ".join(spoilt + item[:30]))
+    assert chunk.leaked(" ".join(item[:30] + spoilt[20:])) == [1] and chunk.leaked(" ".join(item[40:70])) == [1]
+
+
+def test_words_left_out_and_put_in():
+    item = words(60)
+    chunk = L.Items([(1, " ".join(item))])
+    assert chunk.leaked(" ".join(item[5:15] + item[16:36])) == [1]
+    assert chunk.leaked(" ".join(item[5:17] + ["zz"] + item[17:36])) == [1]
+    assert chunk.leaked(" ".join(item[5:15] + item[16:22] + item[23:27] + item[28:34] + item[35:40])) == []  # four of 35 left out
+    assert chunk.leaked(" ".join(item[5:28])) == [] and chunk.leaked(" ".join(["zz", *item[5:28], "zz"])) == []
+
+
+def test_short_words_and_long_tags():
+    item = [a for a in "abcdefghijklmnopqrstuvwxyz"][:25]
+    chunk = L.Items([(1, " ".join(item))])
+    assert len(" ".join(item)) == 49 and chunk.leaked(" ".join(item)) == [1] and chunk.leaked(".".join(item[:8] + item[9:])) == [1]
+    long = words(30)
+    tag = "<a href='" + "x y " * 200 + "'>"
+    assert L.Items([(2, " ".join(long))]).leaked((" " + tag + " ").join(long)) == [2]
+
+
+def test_common_phrases_are_no_seeds_and_no_passage_loses_all():
+    rng = random.Random(9)
+    for _ in range(30):
+        m = rng.randrange(20, 120)
+        counts = np.array([rng.choice([1, 1, 2, 50]) for _ in range(m)])
+        keep = L.rare(counts)
+        assert keep[counts == 1].all()
+        for length in range(L.WORDS, L.longest() + 1):
+            width = length - L.N + 1
+            for a in range(m - width + 1):
+                assert (~keep[a : a + width]).sum() < L.whole(length)
+    phrase = words(9)
+    items = [(i, " ".join(words(20) + phrase + words(20))) for i in range(40)]
+    chunk = L.Items(items)
+    assert all(not chunk.seeds.get(g) for g in L.grams(L.hashes(phrase)).tolist())
+    assert chunk.leaked(items[7][1]) == [7] and chunk.leaked(" ".join(phrase)) == []
+
+
+def test_bloom_has_what_was_added():
+    g = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
+    bloom = L.Bloom(1 << 16)
+    bloom.add(g[:2500])
+    assert bloom.has(g[:2500]).all() and bloom.has(g[2500:]).mean() < 0.05 and not len(bloom.has(g[:0]))
