@@ -22,10 +22,11 @@ THOUSAND, MILLION = r"\d ?k\b|duizend|mille|thousand", r"mln|miljoen|million|\bm
 PER_AREA = r"p(er)?\.? ?/? ?(m2|m²|vk\.? ?m|vierkante|square m|sqm)|/ ?(m2|m²|sqm|vk)|p/m"
 #: No plot is offered under or over these, in EUR and in m²; such an amount only fills its field.
 PRICE_RANGE, SIZE_RANGE = (1_000.0, 10_000_000.0), (10.0, 10_000_000.0)
-#: Numbers typed to get past a form: a run up from one, or one digit over and over. Beside a text that explains it, a short one may be meant.
+#: Numbers typed to get past a form: 0, 0.1, 1, a run up from one of three digits or more, or one digit three times or more. Beside a text that explains it, a
+#: short one may be meant. Other small numbers (5, 22) are in some unit, which the advert's other captures may tell.
 RUNS_UP = [float("123456789"[:n]) for n in range(1, 10)]
 REPEATS = [float(str(d) * n) for d in range(1, 10) for n in range(1, 10)]
-FILLERS = sorted({0.0, 0.1, *RUNS_UP, *REPEATS})
+FILLERS = sorted({0.0, 0.1, 1.0, *RUNS_UP[2:], *(r for r in REPEATS if r > 99)})
 LONG_FILLERS = sorted({*RUNS_UP[3:], *(r for r in REPEATS if r > 9999)})
 
 

@@ -5,12 +5,14 @@ with no currency, or one that no plot could have in the unit it names) ``decode`
 unit is the hidden state, the captures of the device in time are the sequence, and Viterbi finds the cheapest path. A state's cost at a capture is the
 distance of the logarithm of the converted value from the smooth level of the device's certain captures; switching units costs extra.
 
-Only captures with an open unit can take more than one state, so a device without one needs no decoding: its path is fixed. That is exact, and it
-keeps the shuffle down to the devices in doubt. A device of any number of captures is cut into blocks of ``chain`` captures (by a prefix sum over hours,
+Only captures with an open unit can take more than one state, so a device without one needs no decoding: its path is fixed. Nor does a device none of whose
+open numbers comes near the range of its certain values in any unit: every unit would cost more than none (``reach``). Both are exact, and they keep the
+shuffle down to the devices in doubt. A device of any number of captures is cut into blocks of ``chain`` captures (by a prefix sum over hours,
 so no task sees a whole hot device); each block is decoded on its own, with the level of its own certain captures, else that of the whole device.
 
 Defined results: null, blank and filler amounts are no amounts; a price per m² without a size of the same row has none either; an open unit without
-any level to hold it against stays open (null); extra columns pass through untouched unless they bear the name of an output column, which is replaced.
+any level to hold it against stays open (null); numbers typed to get past a form (``FILLERS``: 1, 111, 123 and the like) are no amounts, whatever the level, unless
+``stand_ins`` lets the level speak for them; extra columns pass through untouched unless they bear the name of an output column, which is replaced.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ def _factor(code: Column, quantity: str, rates: dict) -> Column:
     return reduce(lambda out, kv: F.when(code == kv[0][1], kv[1]).otherwise(out), [(k, v) for k, v in sorted(rates.items()) if k[0] == quantity], F.lit(None).cast("double"))
 
 
-def readings(df: DataFrame, rates: dict) -> DataFrame:
-    """Adds, row by row: price_eur and area_m2 (null: no amount, or an open unit), *_plain (the number column already holds that amount in EUR or m²), *_open and *_unit."""
+def readings(df: DataFrame, rates: dict, stand_ins: bool = False) -> DataFrame:
+    """Adds, row by row: price_eur and area_m2 (null: no amount, or an open unit), *_plain (the number column already holds that amount in EUR or m²), *_open and *_unit. stand_ins: short fillers are open too."""
     df = A.with_text_readings(df.drop(*OUTPUT), "price_text", "size_text").withColumn("__pc", A.currency_code(F.col("currency")))
     df = df.withColumns({"__s2": F.col("__s_amount") * _factor(F.col("__s_unit"), "size", rates), "__size": F.nanvl("size_m2", F.lit(None).cast("double")), "__price": F.nanvl("price", F.lit(None).cast("double"))})
     number, text = F.col("__size"), F.col("__s2")
@@ -52,7 +54,7 @@ def readings(df: DataFrame, rates: dict) -> DataFrame:
         {
             "area_m2": F.when(plain, number).when(A.real_size(text), text).when(text.isNull() & A.real_size(number), number),
             "area_plain": F.coalesce(plain, F.lit(False)),
-            "area_open": F.coalesce((number > 0) & (number < A.SIZE_RANGE[0]) & F.col("__s_amount").isNull() & ~number.isin(A.FILLERS), F.lit(False)),
+            "area_open": F.coalesce((number > 0) & (number < A.SIZE_RANGE[0]) & F.col("__s_amount").isNull() & (F.lit(stand_ins) | ~number.isin(A.FILLERS)), F.lit(False)),
             "area_unit": F.when(text.isNotNull() & ~F.coalesce(plain, F.lit(False)), F.col("__s_unit")).otherwise(F.lit("m2")),
             "__raw": F.when(told, F.col("__p_amount")).otherwise(F.col("__price")),
             "price_unit": F.when(told, F.coalesce("__p_currency", "__pc", F.lit("EUR"))).otherwise(F.col("__pc")),
@@ -65,7 +67,7 @@ def readings(df: DataFrame, rates: dict) -> DataFrame:
     df = df.withColumn("price_eur", F.when(A.real_price(whole) & ~F.col("__filler"), whole))
     eur = F.col("price_eur")
     plain = (F.col("__pc") == "EUR") & (F.abs(F.col("__price") - eur) <= 0.005 * F.greatest(F.lit(1.0), eur / 1000)) & ~F.col("__p_per")
-    open_ = ~F.col("__told") & ~F.col("__filler") & (F.col("__price") > 1) & (F.col("price_unit").isNull() | (F.col("__eur") < A.PRICE_RANGE[0])) & ~F.col("__p_per")
+    open_ = ~F.col("__told") & (F.lit(stand_ins) | ~F.col("__filler")) & ~F.col("__price").isin(A.LONG_FILLERS) & (F.col("__price") >= 1) & (F.col("price_unit").isNull() | (F.col("__eur") < A.PRICE_RANGE[0])) & ~F.col("__p_per")
     df = df.withColumns({"price_plain": F.coalesce(plain, F.lit(False)), "price_open": F.coalesce(open_, F.lit(False))})
     return df.drop("__p_amount", "__p_currency", "__p_per", "__s_amount", "__s_unit", "__pc", "__s2", "__size", "__price", "__raw", "__filler", "__told", "__eur")
 
@@ -114,7 +116,11 @@ def decode(df: DataFrame, rates: dict, device: str, time: str, row_id: str, chai
             F.struct(F.lit("size_m2").alias("field"), F.when(F.col("area_open"), area_states).when(F.col("area_m2").isNotNull(), sure_area).alias("states"), F.col("area_open").alias("open")),
         )).alias("x"),
     ).select("__d", "__t", "__r", "x.*").where("states is not null")
-    doubt = long.where("open").select("__d", "field").distinct()
+    reach = sigma * float(np.sqrt(2 * none))  # beyond it a unit costs more than none
+    known = F.array_max(F.filter("states", lambda v: ~F.isnan(v)))
+    levels = long.where("not open").groupBy("__d", "field").agg(F.min(known).alias("lo"), F.max(known).alias("hi"))
+    near = F.exists("states", lambda v: ~F.isnan(v) & v.between(F.col("lo") - reach, F.col("hi") + reach))
+    doubt = long.where("open").select("__d", "field", "states").join(levels, ["__d", "field"]).where(near).select("__d", "field").distinct()
     long = long.join(doubt, ["__d", "field"], "left_semi").withColumn("__h", F.expr("__t div 3600000000"))
     before = long.groupBy("__d", "field", "__h").agg(F.count("*").alias("n"))
     before = before.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("__d", "field").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -159,3 +165,26 @@ def common_amounts(df: DataFrame, rates: dict, row_id: str = "record_id", device
     if not doubt.isEmpty():
         certain = certain.unionByName(decode(readings(keep.join(doubt, "__device", "left_semi"), rates), rates, "__device", time, row_id))
     return certain.where("value is not null").select(row_id, "field", F.rint("value").cast("long").alias("common_amount"))
+
+
+def planted(feed: DataFrame, rates: dict, row_id: str = "record_id", time: str = "seen_at") -> DataFrame:
+    """(kind, planted, alone, decoded, right): open units planted into the feed's plain EUR prices, how many a row alone settles, and how many decoding gives back.
+
+    By a hash of its row id a price that stands in EUR is written in thousands, or in USD or SRD with its currency and its texts taken away. right: within 1 % of
+    what was there. Decoding needs another capture of the advert whose unit is certain; kind "alone in its advert" counts planted prices that have none.
+    """
+    read = readings(feed.select(row_id, time, item_number(F.col("url")).alias("__device"), "price", "currency", "price_text", "size_m2", "size_text"), rates)
+    base = checkpointed(read.where("__device is not null").select(row_id, time, "__device", F.when(F.col("price_plain"), F.col("price_eur")).alias("true_price")).where("true_price is not null"))
+    dice = F.pmod(F.xxhash64(row_id, F.lit("unit")), F.lit(100))
+    kind = F.when(dice < 15, "thousands").when(dice < 25, "USD").when(dice < 35, "SRD")
+    made = base.withColumn("kind", kind)
+    none = F.lit(None).cast("string")
+    price = F.when(F.col("kind") == "thousands", F.col("true_price") / 1000).when(F.col("kind") == "USD", F.col("true_price") / rates["price", "USD"]).when(F.col("kind") == "SRD", F.col("true_price") / rates["price", "SRD"]).otherwise(F.col("true_price"))
+    made = made.select(row_id, time, "__device", "kind", "true_price", price.alias("price"), F.when(F.coalesce("kind", F.lit("thousands")) == "thousands", "EUR").alias("currency"), none.alias("price_text"), F.lit(None).cast("double").alias("size_m2"), none.alias("size_text"))
+    read = readings(made, rates)
+    value = decode(read, rates, "__device", time, row_id).where("field = 'price'").select(row_id, "value")
+    certain = read.where("kind is null").select("__device").distinct().withColumn("certain", F.lit(True))
+    rows = made.where("kind is not null").join(read.select(row_id, "price_eur"), row_id).join(value, row_id, "left").join(certain, "__device", "left")
+    rows = rows.withColumn("kind", F.when(F.col("certain").isNull(), "alone in its advert").otherwise(F.col("kind")))
+    right = lambda c: F.abs(F.col(c) - F.col("true_price")) <= 0.01 * F.col("true_price")
+    return rows.groupBy("kind").agg(F.count("*").alias("planted"), F.count_if(right("price_eur")).alias("alone"), F.count("value").alias("decoded"), F.count_if(right("value")).alias("right"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleba.operators.changes import latest, price_value, snapshot_changes
-from gleba.operators.units import common_amounts, item_number, rate_map
+from gleba.operators.units import common_amounts, item_number, planted, rate_map
 from gleba.session import table
 
 
@@ -19,7 +19,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common_amounts(table(spark, sf_dir, "feed_items"), rate_map(table(spark, sf_dir, "unit_rates")))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
+def p4_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted(table(spark, sf_dir, "feed_items"), rate_map(table(spark, sf_dir, "unit_rates")))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_planted": p4_planted}
 
 SQL = {
     "p2_found": r"""

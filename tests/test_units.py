@@ -59,3 +59,19 @@ def test_empty_and_repeated(spark):
     assert U.common_amounts(rows(spark), RATES).count() == 0
     got = U.common_amounts(rows(spark, *[(None, None, "EUR 5 mille", None, None, 1)] * 2), RATES).collect()
     assert [r.common_amount for r in got] == [5000, 5000]
+
+
+def test_planted_units_are_decoded(spark, sf):
+    feed = spark.read.parquet(f"{sf}/feed_items.parquet")
+    by = {r.kind: r for r in U.planted(feed, RATES).collect()}
+    settled = [r for k, r in by.items() if k != "alone in its advert"]
+    assert sum(r.planted for r in settled) > 20 and all(r.alone == 0 or r.kind == "USD" for r in settled)
+    assert sum(r.right for r in settled) >= 0.7 * sum(r.planted for r in settled)
+
+
+def test_small_numbers_are_open_and_stand_ins_on_request(spark):
+    given = [(5000.0, "EUR", None, None, None, 1), (5.0, "EUR", None, None, None, 1), (111_000.0, "EUR", None, None, None, 2), (111.0, "EUR", None, None, None, 2), (22_000.0, "EUR", None, None, None, 3), (5.0, "EUR", None, None, None, 3)]
+    assert {tuple(r) for r in U.common_amounts(rows(spark, *given), RATES).collect()} == {(1, "price", 5000)}
+    df = U.readings(rows(spark, *given), RATES, stand_ins=True).withColumn("d", U.item_number(F.col("url")))
+    got = {(r.record_id, round(r.value)) for r in U.decode(df, RATES, "d", "seen_at", "record_id").where("value is not null").collect()}
+    assert got == {(1, 5000), (3, 111_000)}
