@@ -12,7 +12,7 @@ The alignment is Smith-Waterman's with a count in place of a score: from every i
 a band of diagonals; words put in cost nothing. A passage that is good enough holds one of ``longest`` words or fewer that is, so only so many starts are open at
 a time, and every passage is judged, not only the best path's. Passages without left-out words are seen on their diagonal already.
 
-Defined results: null and empty texts and items leak nothing; items shorter than ``words`` words can't leak; the first and the last word of a passage are
+Defined results: null and empty texts and items leak nothing; a run of more than 2 ** 18 letters counts as several words; items shorter than ``words`` words can't leak; the first and the last word of a passage are
 unaltered; a text that holds an item twice has it once; repeated texts each have their rows; an empty table gives no rows.
 """
 
@@ -21,48 +21,78 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from gleba.session import checkpointed
 
 N, WORDS, SHARE = 6, 25, 0.1
+#: A gram that more items than this have is no seed, where the item can do without it.
+COMMON = 16
 #: Words that may be put into a passage, and the filter's size: bits a gram, at most so many (32 MB).
 PUT_IN, BITS_A_GRAM, MOST_BITS = 8, 256, 1 << 28
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐]\s*\r?\n\s*(?:>\s*)*(?=[^\W\d_])")
-_WORD = re.compile(r"[a-z0-9]+")
-_MARKS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x300, 0x1F000)) if unicodedata.combining(c)) + "]+")
-_UNSEEN = re.compile("[­​-‏⁠﻿]")
+_UNSEEN = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text, in lower case without accents; markup and marks are no words."""
+def unmarked(text: str) -> str:
+    """A text without markup."""
     if "<" in text:
         text = _TAG.sub(" ", text)
-    if "&" in text:
-        text = html.unescape(text)
-    text = _UNSEEN.sub("", text)
-    if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
-    return _WORD.findall(text.lower())
+    return html.unescape(text) if "&" in text else text
 
 
-_KNOWN: dict[str, int] = {}
+#: For each character a random number if it is a letter or digit of a word, in either case, and 0 if it parts words; whether it is an accent or an unseen mark.
+_LETTERS, _MARKS = np.zeros(0x1F000, np.uint64), np.zeros(0x1F000, bool)
+for _c, _r in zip("abcdefghijklmnopqrstuvwxyz0123456789", np.random.default_rng(20_240_607).integers(1, 2**63, 36, dtype=np.uint64)):
+    _LETTERS[ord(_c)] = _LETTERS[ord(_c.upper())] = _r
+_MARKS[[c for c in range(len(_MARKS)) if unicodedata.combining(chr(c)) or chr(c) in _UNSEEN]] = True
 
 
-def hashes(words: list[str]) -> np.ndarray:
-    """64 bits a word, the same in every process."""
-    if len(_KNOWN) > 500_000:  # bounded memory on a worker
-        _KNOWN.clear()
-    get = _KNOWN.get
-    return np.fromiter((get(w) or _KNOWN.setdefault(w, xxhash.xxh3_64_intdigest(w) | 1) for w in words), np.uint64, len(words))
+def _values(text: str) -> np.ndarray:
+    if text.isascii():
+        return _LETTERS[np.frombuffer(text.encode("ascii"), np.uint8)]
+    codes = np.frombuffer(unicodedata.normalize("NFKD", text).encode("utf-32-le", "replace"), np.uint32)
+    codes = np.where(codes < len(_LETTERS), codes, 32)
+    return _LETTERS[codes[~_MARKS[codes]]]
+
+
+_BASE, _PIECE = 0x9E3779B97F4A7C15, 1 << 18
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+
+
+_UP, _DOWN = _powers(_BASE, _PIECE), _powers(pow(_BASE, -1, 1 << 64), _PIECE)
+
+
+def hashed(text: str | None) -> np.ndarray:
+    """64 bits a word (a run of letters and digits, in any case and with any accents), the same in every process, by sums over the whole text at once."""
+    out, left = [], np.zeros(0, np.uint64)
+    values = _values(unmarked(text or ""))
+    at = 0
+    while at < len(values):  # in pieces, so that memory and powers are bounded; a word that the end of a piece cuts is carried over
+        part = np.concatenate([left, values[at : at + _PIECE - len(left)]])
+        at += _PIECE - len(left)
+        is_word = part != 0
+        left = np.zeros(0, np.uint64)
+        if at < len(values) and is_word[-1]:
+            stop = int(np.flatnonzero(~is_word)[-1]) + 1 if not is_word.all() else 0
+            if stop:
+                left, part, is_word = part[stop:], part[:stop], is_word[:stop]
+        edge = np.diff(np.concatenate([[False], is_word, [False]]).astype(np.int8))
+        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * _UP[: len(part)], dtype=np.uint64)])
+        h = (sums[b] - sums[a]) * _DOWN[np.minimum(a, len(_DOWN) - 1)]
+        out.append(h ^ (h >> np.uint64(31)) | np.uint64(1))
+    return np.concatenate(out) if out else left
 
 
 def grams(h: np.ndarray, n: int = N) -> np.ndarray:
@@ -95,14 +125,14 @@ def seed_bound(n: int = N, words: int = WORDS, share: float = SHARE) -> int:
     return max(1, min(whole(length, n, share) for length in range(words, longest(words, share) + 1)))
 
 
-def rare(counts: np.ndarray, n: int = N, words: int = WORDS, share: float = SHARE) -> np.ndarray:
-    """Which of an item's grams are its seeds. counts: how many items have each gram. The commonest are left out first, none that no other item has, and none
+def rare(counts: np.ndarray, n: int = N, words: int = WORDS, share: float = SHARE, common: int = COMMON) -> np.ndarray:
+    """Which of an item's grams are its seeds. counts: how many items have each gram. The commonest are left out first, none that ``common`` items or fewer have, and none
     where a passage of the words around it could then lose all its seeds."""
     keep = np.ones(len(counts), bool)
     limits = [(length - n + 1, whole(length, n, share) - 1) for length in range(words, longest(words, share) + 1)]
     if min(most for _, most in limits) <= 0:
         return keep
-    for p in sorted(np.flatnonzero(counts > 1), key=lambda i: (-counts[i], i)):
+    for p in sorted(np.flatnonzero(counts > common), key=lambda i: (-counts[i], i)):
         keep[p] = False
         for width, most in limits:
             lo = max(0, p - width + 1)
@@ -113,6 +143,17 @@ def rare(counts: np.ndarray, n: int = N, words: int = WORDS, share: float = SHAR
     return keep
 
 
+def needed(keep: np.ndarray, g: np.ndarray, n: int = N, words: int = WORDS, share: float = SHARE) -> int:
+    """How many different seeds a passage of the item shares with any text at least: the bound, less what a stretch of the longest passage may hold of grams that
+    are no seeds or that the item has twice."""
+    again = np.ones(len(g), bool)
+    again[np.unique(g, return_index=True)[1]] = False
+    width = longest(words, share) - n + 1
+    lost = np.cumsum(np.concatenate([[0], ~keep | again]))
+    width = min(width, len(g))
+    return max(1, seed_bound(n, words, share) - int((lost[width:] - lost[: len(lost) - width]).max()))
+
+
 # ---------------------------------------------------------------- one text
 
 
@@ -188,7 +229,7 @@ def holds(text: np.ndarray, item: np.ndarray, n: int = N, words: int = WORDS, sh
         first, last = max(0, -d), min(len(item), len(text) - d)
         if qualifies(text[first + d : last + d] == item[first:last], words, share):
             return True
-    slack = max(PUT_IN, int(len(item) * share) + 2)
+    slack = PUT_IN
     ds, bands = np.unique(diagonals), []
     for d in ds:
         if bands and d - bands[-1][1] <= slack and d - bands[-1][0] <= 4 * slack:
@@ -205,19 +246,25 @@ def _aligned(text: np.ndarray, item: np.ndarray, low: int, high: int, words: int
     a, b = max(0, low), min(len(text), low + width + m)
     if b > a:
         padded[a - low : b - low] = text[a:b]
-    ramp = np.arange(width) * 1e-6  # a word put in costs next to nothing
-    cost = np.full((open_, width), np.inf)  # row k: the start at item word i - 1 - k
-    lengths = np.arange(2, open_ + 1)
+    # costs in thousandths of a word; a word put in costs one
+    ramp = np.arange(width, dtype=np.int16)
+    cost = np.full((open_, width), 20_000, np.int16)  # row k: the start at item word i - 1 - k
+    enough = (1000 * np.floor(share * np.arange(2, open_ + 1) + 1e-9) + 500).astype(np.int16)[words - 2 :, None]
+    every = padded[np.arange(m)[:, None] + np.arange(width)] == item[:, None]
+    moved, beside = np.empty_like(cost), np.empty((open_, width - 1), np.int16)
     for i in range(m):
-        same = padded[i : i + width] == item[i]
-        ends = cost[:-1][:, same]  # rows of the starts with length k + 2 that end here
-        if ends.size and ((ends.min(axis=1) <= share * lengths + 1e-3) & (lengths >= words)).any():
+        same = every[i]
+        # rows of the starts with words or more item words that end here
+        if same.any() and i >= words - 1 and (cost[words - 2 : -1][:, same] <= enough).any():
             return True
-        moved = cost + ~same
-        moved[:, :-1] = np.minimum(moved[:, :-1], cost[:, 1:] + 1)
-        moved = np.minimum.accumulate(moved - ramp, axis=1) + ramp
-        cost[1:] = moved[:-1]
-        cost[0] = np.where(same, 0.0, np.inf)
+        np.add(cost, np.where(same, 0, 1000).astype(np.int16), out=moved)
+        np.add(cost[:, 1:], 1000, out=beside)
+        np.minimum(moved[:, :-1], beside, out=moved[:, :-1])
+        moved -= ramp
+        np.minimum.accumulate(moved, axis=1, out=moved)
+        moved += ramp
+        np.minimum(moved[:-1], 20_000, out=cost[1:])
+        cost[0] = np.where(same, 0, 20_000)
     return False
 
 
@@ -226,25 +273,29 @@ class Items:
 
     def __init__(self, rows, n: int = N, words: int = WORDS, share: float = SHARE):
         self.n, self.words, self.share = n, words, share
-        self.items = [(item, h) for item, text in rows if len(h := hashes(words_of(text or ""))) >= words]
+        self.items = [(item, h) for item, text in rows if len(h := hashed(text)) >= words]
         counts: dict = defaultdict(int)
         for _, h in self.items:
             for g in set(grams(h, n).tolist()):
                 counts[g] += 1
         self.bloom = Bloom(1 << 20)
         self.seeds: dict = defaultdict(set)
+        self.need: list = []
         for k, (_, h) in enumerate(self.items):
             g = grams(h, n)
             self.bloom.add(g)
-            for x in g[rare(np.array([counts[x] for x in g.tolist()]), n, words, share)].tolist():
+            keep = rare(np.array([counts[x] for x in g.tolist()]), n, words, share)
+            self.need.append(needed(keep, g, n, words, share))
+            for x in g[keep].tolist():
                 self.seeds[x].add(k)
 
     def leaked(self, text: str | None) -> list:
         """The items that leak into a text."""
-        h, out = hashes(words_of(text or "")), set()
+        h, out = hashed(text), set()
         for a, b, hit in stretches(h, self.bloom, self.n, self.words, self.share):
-            for k in set().union(*(self.seeds.get(x, ()) for x in hit.tolist())):
-                if holds(h[a:b], self.items[k][1], self.n, self.words, self.share):
+            shared = Counter(k for x in set(hit.tolist()) for k in self.seeds.get(x, ()))
+            for k, n in shared.items():
+                if n >= self.need[k] and holds(h[a:b], self.items[k][1], self.n, self.words, self.share):
                     out.add(self.items[k][0])
         return sorted(out)
 
@@ -278,7 +329,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(k, i, h.view(np.int64), grams(h, n).view(np.int64)) for k, i, t in zip(pdf["k"], pdf["i"], pdf["t"]) if len(h := hashes(words_of(t))) >= words]
+            out = [(k, i, h.view(np.int64), grams(h, n).view(np.int64)) for k, i, t in zip(pdf["k"], pdf["i"], pdf["t"]) if len(h := hashed(t)) >= words]
             yield pd.DataFrame(out, columns=["k", "item", "words", "grams"])
 
     table = items.where(F.col(item_id).isNotNull() & F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("k"), F.col(item_id).alias("i"), F.col("text").alias("t"))
@@ -290,7 +341,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         for batch in batches:
             rids, starts, docs, texts, hit = [], [], [], [], []
             for j in range(batch.num_rows):
-                h = hashes(words_of(batch.column(2)[j].as_py()))
+                h = hashed(batch.column(2)[j].as_py())
                 for a, b, g in stretches(h, bloom.value, n, words, share):
                     rids.append(batch.column(0)[j].as_py())
                     docs.append(j)
@@ -308,11 +359,15 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(k, x["g"]) for k, xs in zip(pdf["k"], pdf["x"]) for x, keep in zip(xs, rare(np.array([x["items"] for x in xs]), n, words, share)) if keep]
-            yield pd.DataFrame(out, columns=["k", "g"])
-
-    seeds = listed.mapInPandas(choose, "k long, g long").distinct()
-    pairs = found.select("rid", "start", F.explode("hits").alias("g")).join(seeds, "g").select("rid", "start", "k").distinct()
+            out = []
+            for k, xs in zip(pdf["k"], pdf["x"]):
+                g, keep = np.array([x["g"] for x in xs], np.int64), rare(np.array([x["items"] for x in xs]), n, words, share)
+                need = needed(keep, g, n, words, share)
+                out += [(k, x, need) for x in set(g[keep].tolist())]
+            yield pd.DataFrame(out, columns=["k", "g", "need"])
+
+    seeds = listed.mapInPandas(choose, "k long, g long, need int")
+    pairs = found.select("rid", "start", F.explode("hits").alias("g")).join(seeds, "g").groupBy("rid", "start", "k").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").drop("n", "need")
     pairs = pairs.join(found.select("rid", "start", "doc", "text"), ["rid", "start"]).join(table.select("k", "item", "words"), "k").select("rid", "doc", "item", "text", "words")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
