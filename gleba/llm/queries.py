@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,8 +18,14 @@ from gleba.llm.truth import best_rows, planted as planted_truths, survivors
 from gleba.operators.units import rate_map
 from gleba.session import table
 
-#: The key of the pseudonyms; a deployment sets its own.
-KEY = os.environ.get("GLEBA_PSEUDONYM_KEY", "not a secret")
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key of the pseudonyms: GLEBA_PSEUDONYM_KEY or the setting gleba.pseudonym.key, else one drawn for this process, so that there is no key that anyone knows."""
+    return os.environ.get("GLEBA_PSEUDONYM_KEY") or spark.conf.get("gleba.pseudonym.key", None) or _DRAWN
+
+
+_DRAWN = secrets.token_hex(32)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +60,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "feed_items"), KEY).withColumn("phones", F.array_join("phones", ", "))
+    return pseudonymised(table(spark, sf_dir, "feed_items"), pseudonym_key(spark)).withColumn("phones", F.array_join("phones", ", "))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

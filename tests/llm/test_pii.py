@@ -63,3 +63,21 @@ def test_tables(spark):
     tag = out[4].description.removeprefix("Bel ")
     assert tag.startswith("[phone ") and out[1].description == f"Bel {tag}. Bel {tag}." and "9186367" not in tag and out[1].phones[0].count("[") == 2
     assert P.personal_finds(df.limit(0)).count() == 0
+
+
+def test_no_text_with_a_find_is_passed_over(spark):
+    texts = ["a@b.c", "Oom Johan Pinas bellen.", "Zus Asha Rita bellen.", "918-6367", "ID AB123456", "Man Asha bellen", "Bel A.B. Rita op +597 918-6367", "x", " ", "5"]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "record_id long, description string, phones array<string>")
+    got = {(r.record_id, r.kind, r.found) for r in P.personal_finds(df).collect()}
+    assert got == {(i, k, v) for i, t in enumerate(texts) for _, _, k, v in P.find_personal(t)} and {(0, "email", "a@b.c"), (1, "name", "Johan Pinas"), (2, "name", "Asha Rita")} <= got
+
+
+def test_no_key_is_known_beforehand(spark):
+    from gleba.llm import queries as Q
+
+    assert len(Q.pseudonym_key(spark)) >= 32
+    spark.conf.set("gleba.pseudonym.key", "ours")
+    try:
+        assert Q.pseudonym_key(spark) == "ours"
+    finally:
+        spark.conf.unset("gleba.pseudonym.key")
