@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from gleba.operators.changes import latest, price_value, snapshot_changes
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def test_against_brute_force(spark):
     rng = random.Random(1)
     rows = [(s, f"k{k}", rng.choice(["1", "2", None])) for s in ("2025-01-01", "2025-01-08", "2025-01-20") for k in range(300) if rng.random() < 0.8]
     df = spark.createDataFrame(rows, "snap string, key string, value string")
-    for fanout, depth in ((16, 3), (2, 2), (4, 1)):
+    for fanout, depth in ((16, 3), (2, 2), (4, 1), (16, None), (2, None)):
         assert {tuple(r) for r in snapshot_changes(df, fanout, depth).collect()} == brute(rows)
 
 
@@ -31,3 +33,5 @@ def test_edges(spark):
     assert {tuple(r) for r in snapshot_changes(one(df)).collect()} == {("b", "2", "added"), ("c", "1", "changed")}
     assert snapshot_changes(one(df.limit(0))).count() == 0
     assert snapshot_changes(one(df.where("d = 'a'"))).count() == 0
+    with pytest.raises(ValueError, match="snapshots"):
+        snapshot_changes(one(df), most=2)
