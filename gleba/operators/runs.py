@@ -59,9 +59,9 @@ def gone_runs(rows: DataFrame, dates: DataFrame) -> DataFrame:
     return out.select(F.col("next_date").alias("run_date"), "key", F.lit(False).alias("still_listed"))
 
 
-def insert_absent(store: DataFrame, batch: DataFrame, key: str = "key") -> DataFrame:
-    """store with the rows of batch whose key it lacks (the first of each)."""
-    new = first_wins(batch, key, F.monotonically_increasing_id()) if "arrival" not in batch.columns else first_wins(batch, key, F.col("arrival")).drop("arrival")
+def insert_absent(store: DataFrame, batch: DataFrame, key: str = "key", arrival: str = "arrival") -> DataFrame:
+    """store with the rows of batch whose key it lacks (the first of each by the column arrival, which isn't kept)."""
+    new = first_wins(batch, key, F.col(arrival)).drop(arrival)
     return store.unionByName(new.join(store.select(key), key, "left_anti"), allowMissingColumns=True)
 
 

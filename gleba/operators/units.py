@@ -69,7 +69,9 @@ def readings(df: DataFrame, rates: dict, stand_ins: bool = False) -> DataFrame:
     plain = (F.col("__pc") == "EUR") & (F.abs(F.col("__price") - eur) <= 0.005 * F.greatest(F.lit(1.0), eur / 1000)) & ~F.col("__p_per")
     open_ = ~F.col("__told") & (F.lit(stand_ins) | ~F.col("__filler")) & ~F.col("__price").isin(A.LONG_FILLERS) & (F.col("__price") >= 1) & (F.col("price_unit").isNull() | (F.col("__eur") < A.PRICE_RANGE[0])) & ~F.col("__p_per")
     df = df.withColumns({"price_plain": F.coalesce(plain, F.lit(False)), "price_open": F.coalesce(open_, F.lit(False))})
-    return df.drop("__p_amount", "__p_currency", "__p_per", "__s_amount", "__s_unit", "__pc", "__s2", "__size", "__price", "__raw", "__filler", "__told", "__eur")
+    df = df.drop("__p_amount", "__p_currency", "__p_per", "__s_amount", "__s_unit", "__pc", "__s2", "__size", "__price", "__raw", "__filler", "__told", "__eur")
+    # a generator ends it: a filter on these columns would else be pushed into every pattern, and its code grow beyond what can be compiled
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
 def _viterbi(levels: np.ndarray, states: list[list[float]], certain: list[bool], switch: float, sigma: float, none: float) -> list[int]:
@@ -98,7 +100,7 @@ def _viterbi(levels: np.ndarray, states: list[list[float]], certain: list[bool],
     return path[::-1]
 
 
-def decode(df: DataFrame, rates: dict, device: str, time: str, row_id: str, chain: int = 4096, switch: float = 2.0, sigma: float = 0.05, none: float = 8.0) -> DataFrame:
+def decode(df: DataFrame, rates: dict, device: str, time: str, row_id: str, chain: int = 4096, switch: float = 2.0, sigma: float = 0.03, none: float = 8.0) -> DataFrame:
     """(row_id, field, value) for the rows of ``readings`` whose unit is open, decoded by Viterbi. value null: no unit fits."""
     units = [(c, s) for q, c in sorted(rates) if q == "price" for s in OPEN_SCALES]
     price_states = F.array(*[F.when(A.real_price(F.col("price") * rates["price", c] * s) & (F.col("__c").isNull() | (F.col("__c") == c)), F.log(F.col("price") * rates["price", c] * s)).otherwise(F.lit(float("nan"))) for c, s in units])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gleba.functions import geo, text as T
 from gleba.operators import dedup, places, runs
+from gleba.operators.quantiles import quantiles
 from gleba.operators.units import item_number
 from gleba.session import table
 from gleba.sources import feeds, html as pages, sinks
@@ -35,8 +36,8 @@ def viewer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slider_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prices at 0, 10, ... 100 % of the adverts, for a slider that follows the spread."""
-    p = F.percentile("price", F.array(*[F.lit(i / 10) for i in range(11)]))
-    return _listings(spark, sf_dir).where("currency = 'EUR' and price is not null and not isnan(price)").agg(p.alias("p")).select(F.posexplode("p").alias("stop", "x")).select("stop", F.round("x", 2).alias("price"))
+    stops = quantiles(_listings(spark, sf_dir).where("currency = 'EUR'"), "price", [i / 10 for i in range(11)])
+    return stops.select("stop", F.round("value", 2).alias("price"))
 
 
 def date_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +203,7 @@ def store_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.approx_count_distinct("agent").cast("long").alias("a")).drop("a")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
 
 
 def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,10 @@ def eur_per_m2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _districts(spark, sf_dir) -> list[str]:
-    return sorted(r[0] for r in table(spark, sf_dir, "streets").select("district").distinct().limit(1000).collect() if r[0])
+    names = [r[0] for r in table(spark, sf_dir, "streets").select("district").distinct().limit(1001).collect() if r[0]]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 districts")
+    return sorted(names)
 
 
 def guess_district(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -18,6 +20,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -26,16 +29,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session in one process may do without: it gets a local one, deleted at its end."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="gleba-checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder that the cluster names in spark.checkpoint.dir (a local one only where none is set, as in tests)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """df written once to the shared folder (``shared_folder``)."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "gleba-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def drop_checkpoints(spark: SparkSession) -> None:
+    """Deletes what this application has written by ``checkpointed``; frames that are built on it can't be read any more."""
+    context = spark.sparkContext
+    folder = context._jsc.sc().getCheckpointDir()
+    if folder.isDefined():
+        path = context._jvm.org.apache.hadoop.fs.Path(folder.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        context.setCheckpointDir(shared_folder(spark))
+
+
 def bytes_estimate(df: DataFrame) -> int:
     """Spark's estimate of the size of df, from its plan."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

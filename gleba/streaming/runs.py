@@ -10,7 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleba.operators.units import item_number
 
-STATE = "first_seen timestamp, last_seen timestamp, price double, changes long"
+STATE = "first_seen timestamp, last_seen timestamp, price double, priced timestamp, changes long"
 OUT = "source_id string, first_seen timestamp, last_seen timestamp, price double, previous_price double, changes long"
 
 
@@ -30,21 +30,29 @@ def windowed_counts(stream: DataFrame, window: str = "7 days", late: str = "30 d
     return w.agg(F.count("*").alias("captures"), F.approx_count_distinct("source_id").alias("adverts")).select(F.col("w.start").alias("window_start"), "captures", "adverts")
 
 
-def price_states(stream: DataFrame) -> DataFrame:
-    """Per advert: first and last seen, its price, the price before the last change, and the number of changes, kept as state."""
+def price_states(stream: DataFrame, late: str = "30 days", idle: str = "365 days") -> DataFrame:
+    """Per advert: first and last seen, its price, the price before the last change, and the number of changes, kept as state.
+
+    Captures are taken in order of their time; one that is older than the newest price known counts as seen, but its price is no news. The state of an advert
+    that the watermark is ``idle`` past is dropped; if it comes back it is new.
+    """
+    keep = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, price, changes = state.get if state.exists else (None, None, None, 0)
-        previous = None
-        for pdf in batches:
-            for seen, p in zip(*[pdf.sort_values("seen_at")[c] for c in ("seen_at", "price")]):
-                first, last = seen if first is None else min(first, seen), seen if last is None else max(last, seen)
-                if p == p and p is not None:
-                    if price is not None and p != price:
-                        previous, changes = price, changes + 1
-                    price = float(p)
-        state.update((first, last, price, changes))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, last, price, priced, changes = state.get if state.exists else (None, None, None, None, 0)
+        previous, rows = None, pd.concat(list(batches)).sort_values("seen_at", kind="stable")
+        for seen, p in zip(rows["seen_at"], rows["price"]):
+            first, last = seen if first is None else min(first, seen), seen if last is None else max(last, seen)
+            if p == p and p is not None and (priced is None or seen >= priced):
+                if price is not None and p != price:
+                    previous, changes = price, changes + 1
+                price, priced = float(p), seen
+        state.update((first, last, price, priced, changes))
+        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + keep)
         yield pd.DataFrame([(key[0], first, last, price, previous, changes)], columns=["source_id", "first_seen", "last_seen", "price", "previous_price", "changes"])
 
-    rows = stream.where("source_id is not null").select("source_id", "seen_at", "price")
-    return rows.groupBy("source_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    rows = stream.where("source_id is not null and seen_at is not null").select("source_id", "seen_at", "price").withWatermark("seen_at", late)
+    return rows.groupBy("source_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
