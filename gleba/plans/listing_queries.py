@@ -246,12 +246,16 @@ def street_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.street_dimension(table(spark, sf_dir, "streets").select(feature.alias("feature"))).select("name", "ressort", "lat", "lon")
 
 
+def card_html():
+    """A listing as a card of a page."""
+    esc = functools.reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")], F.col("title"))
+    return F.concat(F.lit('<div class="object"><a href="'), F.col("url"), F.lit('"><img class="object_img" src="/i/'), F.col("listing_id"), F.lit('.jpg"></a><span class="title">'), esc, F.lit('</span><p class="locatie">'), F.concat_ws(" - ", F.coalesce("district", F.lit("?")), F.coalesce("resort", F.lit("?"))), F.lit('</p><b class="prijs">'), F.concat_ws(" ", "currency", F.bround("price", 0).cast("long").cast("string")), F.lit('</b><i class="perceel">'), F.coalesce(F.concat(F.bround(F.nanvl("size_m2", F.lit(None).cast("double")), 0).cast("long").cast("string"), F.lit(" m2")), F.lit("")), F.lit("</i></div>"))
+
+
 def _card_pages(spark, sf_dir):
     """Pages of twenty cards each, built from the listings."""
-    esc = functools.reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")], F.col("title"))
     df = _listings(spark, sf_dir).where("url is not null and price is not null")
-    card = F.concat(F.lit('<div class="object"><a href="'), F.col("url"), F.lit('"><img class="object_img" src="/i/'), F.col("listing_id"), F.lit('.jpg"></a><span class="title">'), esc, F.lit('</span><p class="locatie">'), F.concat_ws(" - ", F.coalesce("district", F.lit("?")), F.coalesce("resort", F.lit("?"))), F.lit('</p><b class="prijs">'), F.concat_ws(" ", "currency", F.bround("price", 0).cast("long").cast("string")), F.lit('</b><i class="perceel">'), F.coalesce(F.concat(F.bround(F.nanvl("size_m2", F.lit(None).cast("double")), 0).cast("long").cast("string"), F.lit(" m2")), F.lit("")), F.lit("</i></div>"))
-    body = df.withColumn("page_id", F.expr("listing_id div 20")).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("listing_id", card.alias("c")))), lambda s: s["c"]), "\n").alias("b"))
+    body = df.withColumn("page_id", F.expr("listing_id div 20")).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("listing_id", card_html().alias("c")))), lambda s: s["c"]), "\n").alias("b"))
     return body.select("page_id", F.concat(F.lit("<html><body><nav><a href='/'>home</a></nav>"), F.col("b"), F.lit("</body></html>")).alias("html"))
 
 

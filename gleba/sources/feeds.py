@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import logging
 import os
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleba.functions import text as T
 from gleba.functions.geo import midpoint
+from gleba.session import checkpointed
+
+log = logging.getLogger(__name__)
 
 FEED_SCHEMA = "url string, title string, street string, resort string, district string, price double, currency string, price_text string, size_m2 double, size_text string, phones array<string>, seller string, images array<string>, description string, location string, lat double, lon double, title_type string, posted string"
 REST_SCHEMA = "id long, link string, date string, modified string, title struct<rendered:string>, content struct<rendered:string>, location array<long>, neighborhoods array<long>, purpose array<long>, _embedded struct<`wp:featuredmedia`:array<struct<source_url:string>>>"
@@ -91,23 +98,33 @@ def split_location(location, mode: str, districts: list[str]):
 
 
 def union_of(sources: dict, only: list[str] | None = None) -> DataFrame:
-    """The union of what named sources give (each a function of no arguments); one that fails gives no rows."""
-    got, schema = [], None
+    """The union of what named sources give (each a function of no arguments); one that fails, while planned or while read, gives no rows.
+
+    Each source is read and written down on its own, so that its failure is its own. Errors that aren't of Spark, of what it runs or of files aren't caught.
+    """
+    got = []
     for name, read in sources.items():
         if only and name not in only:
             continue
         try:
-            df = read()
-            df.schema  # resolves the plan
-            got.append(df.withColumn("source", F.lit(name)))
-        except Exception as e:  # noqa: BLE001, PERF203 - a source that fails must not stop the others
-            print(f"source {name} failed: {e}")
+            got.append(checkpointed(read().withColumn("source", F.lit(name))))
+        except (PySparkException, Py4JError, OSError) as e:  # noqa: PERF203 - a source that fails must not stop the others
+            log.warning("source %s failed: %s", name, str(e)[:500])
     if not got:
         raise ValueError("no source gave rows")
-    schema = got[0]
-    for df in got[1:]:
-        schema = schema.unionByName(df, allowMissingColumns=True)
-    return schema
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), got)
+
+
+def json_pages(pages: DataFrame, schema: str, body: str = "body") -> DataFrame:
+    """Pages with their body read by a schema, as the column ``read``; null where the body is none or can't be read."""
+    return pages.withColumn("read", F.from_json(body, schema, {"mode": "PERMISSIVE"}))
+
+
+def resort_districts(features: DataFrame, order: str, column: str = "feature") -> DataFrame:
+    """(ressort in lower case, district) of area features; the last row of a resort by order counts."""
+    f = F.from_json(column, "struct<attributes:struct<RES_NM:string,DISTR_NM:string>>")["attributes"]
+    rows = features.select(F.lower(F.trim(f["RES_NM"])).alias("ressort"), F.trim(f["DISTR_NM"]).alias("district"), F.col(order).alias("o")).where(T.truthy(F.col("ressort")))
+    return rows.groupBy("ressort").agg(F.max_by("district", "o").alias("district"))
 
 
 def with_details(cards: DataFrame, details: DataFrame) -> DataFrame:
