@@ -68,7 +68,7 @@ def street_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def street_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first register street whose name holds the words given."""
     rows = _listings(spark, sf_dir).select("listing_id", F.trim("street").alias("asked"))
-    return places.containing(rows, table(spark, sf_dir, "streets"), "listing_id", "asked")
+    return places.containing(rows, table(spark, sf_dir, "streets"), "listing_id", "asked").select("listing_id", "street_id")
 
 
 def district_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,14 +89,24 @@ def verified_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(checked, "key").select("listing_id", "lat", "lon")
 
 
-def geocode_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _placed(spark: SparkSession, sf_dir: str, headline: bool) -> DataFrame:
     """The cascade over all listings: checked addresses (those of names that several resorts have), register streets, areas, none."""
     streets = table(spark, sf_dir, "streets")
     shared = streets.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     keyed = streets.join(shared, "name", "left_semi").select(T.address_key(F.col("name"), F.lit(""), F.col("ressort"), F.col("district")).alias("key"), "lat", "lon", "street_id")
     checked = runs.first_wins(keyed, "key", F.col("street_id")).select("key", "lat", "lon", F.lit("street").alias("confidence"))
     rows = _listings(spark, sf_dir).select("listing_id", "street", "title", "resort", "district", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
-    return places.cascade(rows, streets, checked, "listing_id")
+    return places.cascade(rows, streets, checked, "listing_id", headline)
+
+
+def geocode_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiers: headlines read, misspelt names, names that hold the one given."""
+    return _placed(spark, sf_dir, True)
+
+
+def geocode_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiers that SQL can say: checked addresses, the street of exactly that name, areas."""
+    return _placed(spark, sf_dir, False).drop("geocode_how")
 
 
 def placement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +315,7 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        listing_filter, viewer_filter, slider_stops, date_join, place_lookup, street_exact, street_fuzzy, street_containing, district_boxes, box_join, verified_apply, geocode_cascade, placement_counts, resort_areas, quality_score, buckets, fingerprints, dedup_source_id, dedup_greedy,
+        listing_filter, viewer_filter, slider_stops, date_join, place_lookup, street_exact, street_fuzzy, street_containing, district_boxes, box_join, verified_apply, geocode_cascade, geocode_exact, placement_counts, resort_areas, quality_score, buckets, fingerprints, dedup_source_id, dedup_greedy,
         merged_listings, image_union, run_merge, run_gone, run_counts, price_change, queue_first, tier_counts, store_insert, source_counts, source_list, match_rate, nearest_names, final_rank, json_round_trip, street_dimension, html_cards, html_blocks, rest_rows, detail_join, source_union,
     )
 }
@@ -322,12 +332,14 @@ _ITEM = r"regexp_extract(url, '(?i)/item/(\d+)', 1)"
 _SB, _PB = "CASE WHEN size_m2 <> 0 AND NOT isnan(size_m2) THEN CAST(round_even(size_m2 / 5, 0) AS BIGINT) END", f"CASE WHEN {_EUR} <> 0 AND NOT isnan({_EUR}) THEN CAST(round_even({_EUR} / 500, 0) AS BIGINT) END"
 
 
-def _run_sql(date: str) -> str:
-    return f"(SELECT k AS key, CASE WHEN isnan(price) THEN NULL ELSE price END AS price FROM (SELECT *, {_ITEM} AS k FROM feed_snapshots WHERE CAST(snapshot_date AS VARCHAR) = '{date}') WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY loaded_at DESC, CASE WHEN isnan(price) THEN NULL ELSE price END DESC NULLS LAST) = 1)"
-
-
-_OLD, _NEW = _run_sql("2025-11-02"), _run_sql("2025-11-09")
-_MERGED = f"SELECT n.key, round(n.price, 2) AS price, CASE WHEN o.key IS NULL THEN '2025-11-09' ELSE '2025-11-02' END AS first_seen, '2025-11-09' AS last_seen, o.key IS NULL AS is_new, CASE WHEN o.price <> 0 AND n.price <> 0 AND o.price <> n.price THEN round(o.price, 2) END AS previous_price FROM {_NEW} n LEFT JOIN {_OLD} o ON n.key = o.key"
+#: The last capture of each advert (k) in each delivery (d) with its price (p), the deliveries numbered (n), each with the one before (o).
+_RUNS = f"""
+WITH c AS (SELECT CAST(snapshot_date AS VARCHAR) AS d, {_ITEM} AS k, loaded_at, CASE WHEN isnan(price) THEN NULL ELSE price END AS p FROM feed_snapshots WHERE snapshot_date IS NOT NULL),
+l AS (SELECT d, k, p FROM c WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY d, k ORDER BY loaded_at DESC NULLS LAST, p DESC NULLS LAST) = 1),
+dd AS (SELECT d, row_number() OVER (ORDER BY d) AS n FROM (SELECT DISTINCT d FROM c)),
+x AS (SELECT l.*, n FROM l JOIN dd USING (d)),
+m AS (SELECT x.d, x.k, x.p, x.n, o.k IS NULL AS is_new, o.p AS op FROM x LEFT JOIN x o ON x.k = o.k AND o.n = x.n - 1),
+s AS (SELECT m.*, (SELECT max(e.d) FROM m e WHERE e.k = m.k AND e.n <= m.n AND e.is_new) AS first_seen FROM m)"""
 _FIRST = "arg_min({0}, record_id) FILTER (WHERE {1})"
 _NO_NEWS = " AND ".join(f"coalesce(lower(url), '') NOT LIKE '%{x}%'" for x in T.NO_LISTING)
 
@@ -339,15 +351,19 @@ l AS ({_FOLDED.format('normal', 'n')}), s AS ({_FOLDED.format('name', 'streets')
 h AS (SELECT listing_id, s.lat AS s_lat, s.lon AS s_lon FROM (SELECT *, CASE WHEN coalesce(l.resort, '') <> '' AND contains(lower(s.ressort), lower(l.resort)) THEN 0 WHEN coalesce(l.district, '') <> '' AND lower(s.district) = lower(l.district) THEN 1 WHEN coalesce(l.district, '') = '' THEN 2 END AS pref
   FROM l JOIN s ON l.fold = s.fold AND l.fold <> '') s WHERE pref IS NOT NULL QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY pref, street_id) = 1),
 b AS (SELECT district AS bd, min(lat) AS a1, max(lat) AS a2, min(lon) AS o1, max(lon) AS o2 FROM streets GROUP BY 1),
+m AS (SELECT listing_id, nullif({TQ._CLEAN.format("coalesce(resort, '')")}, '') AS cr, nullif({TQ._CLEAN.format("coalesce(district, '')")}, '') AS cd FROM site_listings),
 a AS (SELECT ressort AS ar, district AS ad, round_even(avg(lat), 6) AS a_lat, round_even(avg(lon), 6) AS a_lon FROM streets GROUP BY 1, 2),
+w AS (SELECT lower(district) AS wd, round_even(avg(lat), 6) AS w_lat, round_even(avg(lon), 6) AS w_lon FROM streets GROUP BY 1),
+r AS (SELECT cr AS rr, cd AS rd, a_lat, a_lon FROM (SELECT DISTINCT cr, cd FROM m) JOIN a ON contains(lower(ar), lower(cr)) AND (cd IS NULL OR lower(ad) = lower(cd)) QUALIFY row_number() OVER (PARTITION BY cr, cd ORDER BY lower(ar) <> lower(cr), ar, ad) = 1),
+z AS (SELECT listing_id, coalesce(a_lat, w_lat) AS z_lat, CASE WHEN a_lat IS NOT NULL THEN a_lon ELSE w_lon END AS z_lon FROM m LEFT JOIN r ON cr = rr AND cd IS NOT DISTINCT FROM rd LEFT JOIN w ON lower(cd) = wd),
 j AS (SELECT *, s_lat IS NOT NULL AND (bd IS NULL OR (s_lat BETWEEN a1 - 0.02::DOUBLE AND a2 + 0.02::DOUBLE AND s_lon BETWEEN o1 - 0.02::DOUBLE AND o2 + 0.02::DOUBLE)) AS on_street
-  FROM k LEFT JOIN v USING (key) LEFT JOIN h USING (listing_id) LEFT JOIN b ON district = bd LEFT JOIN a ON resort = ar AND district = ad)
-SELECT listing_id, CASE WHEN v_lat IS NOT NULL THEN 'checked' WHEN on_street THEN 'street' WHEN a_lat IS NOT NULL THEN 'area' ELSE 'none' END AS geocode_quality,
-  CASE WHEN v_lat IS NOT NULL THEN v_lat WHEN on_street THEN s_lat ELSE a_lat END AS lat, CASE WHEN v_lat IS NOT NULL THEN v_lon WHEN on_street THEN s_lon ELSE a_lon END AS lon FROM j"""
+  FROM k LEFT JOIN v USING (key) LEFT JOIN h USING (listing_id) LEFT JOIN b ON district = bd LEFT JOIN z USING (listing_id)),
+t AS (SELECT *, CASE WHEN v_lat IS NOT NULL THEN 'checked' WHEN on_street THEN 'street' WHEN z_lat IS NOT NULL THEN 'area' ELSE 'none' END AS q FROM j)
+SELECT listing_id, q AS geocode_quality, CASE q WHEN 'checked' THEN v_lat WHEN 'street' THEN s_lat END AS lat, CASE q WHEN 'checked' THEN v_lon WHEN 'street' THEN s_lon END AS lon,
+  CASE WHEN q = 'area' THEN z_lat END AS area_lat, CASE WHEN q = 'area' THEN z_lon END AS area_lon, CASE WHEN q = 'area' THEN 1500 END AS area_radius_m FROM t"""
 
 SQL = {
-    "geocode_cascade": _CASCADE,
-    "placement_counts": f"SELECT geocode_quality, count(*) AS n FROM ({_CASCADE}) GROUP BY 1",
+    "geocode_exact": _CASCADE,
     "listing_filter": f"SELECT doc_id, doc_type FROM documents WHERE {_NO_NEWS} AND (coalesce(agent, '') <> '' OR coalesce(posted, '') <> '')",
     "viewer_filter": "SELECT record_id, price, size_m2 FROM feed_items WHERE lower(concat_ws(' ', title, street, description)) LIKE '%kavel%' AND price BETWEEN 10000 AND 200000 AND size_m2 BETWEEN 200 AND 5000 AND len(images) > 0",
     "slider_stops": "SELECT CAST(i AS INTEGER) AS stop, round(p[i + 1], 2) AS price FROM (SELECT quantile_cont(price, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS p FROM site_listings WHERE currency = 'EUR' AND price IS NOT NULL AND NOT isnan(price)), range(11) t(i)",
@@ -368,9 +384,9 @@ SELECT listing_id, street_id, name FROM p WHERE pref IS NOT NULL QUALIFY row_num
     "fingerprints": f"WITH f AS (SELECT listing_id, nullif(street_key, '') AS k, CAST({_SB} AS VARCHAR) AS s, CAST({_PB} AS VARCHAR) AS p FROM site_listings JOIN ({TQ.SQL['street_key']}) USING (listing_id)) SELECT listing_id, unnest(list_filter(['a|' || k || '|' || s || '|' || p, 'b|' || k || '|' || s, 'd|' || k || '|' || p], lambda x: x IS NOT NULL)) AS fingerprint FROM f",
     "dedup_source_id": f"SELECT k AS source_id, {_FIRST.format('size_m2', 'size_m2 <> 0 AND NOT isnan(size_m2)')} AS size_m2, {_FIRST.format('price', 'price <> 0 AND NOT isnan(price)')} AS price, " + ", ".join(f"{_FIRST.format(c, c + chr(32) + '<> ' + chr(39) * 2)} AS {c}" for c in ("district", "resort", "street")) + f", count(*) AS rows FROM (SELECT *, {_ITEM} AS k FROM feed_items) WHERE k <> '' GROUP BY 1",
     "image_union": f"SELECT source_id, string_agg(x, ' ' ORDER BY n) AS images FROM (SELECT source_id, x, row_number() OVER (PARTITION BY source_id ORDER BY r, pos) AS n FROM (SELECT source_id, x, min(r) AS r, arg_min(pos, (r, pos)) AS pos FROM (SELECT {_ITEM} AS source_id, record_id AS r, unnest(images) AS x, generate_subscripts(images, 1) AS pos FROM feed_items) WHERE source_id <> '' AND x IS NOT NULL GROUP BY 1, 2)) WHERE n <= 10 GROUP BY 1",
-    "run_merge": _MERGED,
-    "run_gone": f"SELECT key, false AS still_listed FROM {_OLD} WHERE key NOT IN (SELECT key FROM {_NEW})",
-    "run_counts": f"SELECT count(*) AS active, count(*) FILTER (WHERE is_new) AS new_this_run, (SELECT count(*) FROM {_OLD} WHERE key NOT IN (SELECT key FROM {_NEW})) AS gone_since_last_run FROM ({_MERGED})",
+    "run_merge": f"{_RUNS} SELECT d AS run_date, k AS key, round(p, 2) AS price, first_seen, d AS last_seen, is_new, CASE WHEN op <> 0 AND p <> 0 AND op <> p THEN round(op, 2) END AS previous_price FROM s WHERE n > 1",
+    "run_gone": f"{_RUNS} SELECT dd.d AS run_date, x.k AS key, false AS still_listed FROM x JOIN dd ON dd.n = x.n + 1 WHERE NOT EXISTS (FROM x y WHERE y.k = x.k AND y.n = x.n + 1)",
+    "run_counts": f"{_RUNS} SELECT d AS run_date, (SELECT count(*) FROM x WHERE x.n = dd.n) AS active, (SELECT count(*) FROM m WHERE m.n = dd.n AND is_new) AS new_this_run, (SELECT count(*) FROM x WHERE x.n = dd.n - 1 AND NOT EXISTS (FROM x y WHERE y.k = x.k AND y.n = dd.n)) AS gone_since_last_run FROM dd WHERE n > 1",
     "price_change": f"SELECT source_id, record_id, price, previous AS previous_price FROM (SELECT source_id, record_id, price, lag(price) OVER (PARTITION BY source_id ORDER BY seen_at NULLS FIRST, record_id) AS previous FROM (SELECT *, {_ITEM} AS source_id FROM feed_items) WHERE price IS NOT NULL AND NOT isnan(price) AND source_id <> '') WHERE previous <> price",
     "queue_first": f"SELECT key, min(check_id) AS check_id, arg_min(tier, check_id) AS tier FROM ({_KEYED.replace('{0}', 'SELECT check_id, tier, CASE WHEN street <> ' + chr(39) * 2 + ' THEN street ELSE ' + chr(39) * 2 + ' END AS s, resort AS r, district AS d FROM needs_check')}) WHERE trim(key, '|') <> '' AND key NOT IN (SELECT key FROM ({_STREET_KEYS})) GROUP BY 1",
     "tier_counts": "SELECT CAST(t AS INTEGER) AS tier, count(check_id) AS n FROM range(1, 5) r(t) LEFT JOIN needs_check ON tier = t GROUP BY 1",
@@ -378,7 +394,7 @@ SELECT listing_id, street_id, name FROM p WHERE pref IS NOT NULL QUALIFY row_num
     "source_counts": "SELECT source, count(*) AS n FROM documents GROUP BY 1",
     "source_list": "SELECT string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM site_listings",
     "match_rate": f"SELECT source, count(*) AS tried, count(hit) AS found FROM ({_FOLDED.format('coalesce(street, ' + chr(39) * 2 + ')', 'site_listings')}) l LEFT JOIN (SELECT DISTINCT fold AS hit FROM ({_FOLDED.format('name', 'streets')})) s ON l.fold = s.hit GROUP BY 1",
-    "nearest_names": "WITH n AS (SELECT DISTINCT name, substring(name, 1, 4) AS l FROM streets) SELECT a.name, b.name AS other, CAST(row_number() OVER (PARTITION BY a.name ORDER BY levenshtein(a.name, b.name), b.name DESC) AS INTEGER) AS rank FROM n a JOIN n b USING (l) WHERE a.name <> b.name QUALIFY rank <= 5",
+    "nearest_names": "WITH n AS (SELECT DISTINCT name, substring(name, 1, 1) AS l FROM streets) SELECT a.name, b.name AS other, CAST(row_number() OVER (PARTITION BY a.name ORDER BY levenshtein(a.name, b.name), b.name DESC) AS INTEGER) AS rank FROM n a JOIN n b USING (l) WHERE a.name <> b.name QUALIFY rank <= 5",
     "final_rank": "SELECT listing_id, l.district, round(coalesce(round_even(2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin(radians(a - 5.8232::DOUBLE) / 2), 2) + cos(radians(5.8232::DOUBLE)) * cos(radians(a)) * pow(sin(radians(o - -55.1679::DOUBLE) / 2), 2))), 3), 999.0::DOUBLE), 1) AS km FROM site_listings l LEFT JOIN (SELECT ressort, district, round_even(avg(lat), 6) AS a, round_even(avg(lon), 6) AS o FROM streets GROUP BY 1, 2) s ON l.resort = s.ressort AND l.district = s.district",
     "json_round_trip": "SELECT url, title, street, CASE WHEN isnan(price) THEN NULL ELSE price END AS price, coalesce(CAST(len(images) AS INTEGER), 0) AS n_images FROM feed_items",
     "street_dimension": "SELECT trim(name) AS name, trim(ressort) AS ressort, round_even(lat, 6) AS lat, round_even(lon, 6) AS lon FROM streets WHERE name <> ''",

@@ -65,7 +65,9 @@ def test_places(spark):
     exact = places.exact(ask.withColumn("fold", T.street_fold(T.unaccented(F.coalesce("street", F.lit(""))))), streets, "id", "fold")
     assert {r.id: r.street_id for r in exact.collect()} == {1: 4, 2: 4}
     assert {r.id: r.street_id for r in places.fuzzy(ask.where("id = 4"), streets, "id", "street").collect()} == {4: 1}
-    assert places.candidates("Te koop Baas Adriaanstraat 7")[:2] == ["Baas Adriaanstraat 7", "Baas Adriaanstraat"]
+    texts = ["Te koop Baas Adriaanstraat 7", None, "", "12", "hk de Kerkweg, KERKWEG 3", "Leiding 7a"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", places.candidates(F.col("t")).alias("c")).collect()
+    assert [r.c for r in sorted(got)] == [["Baas Adriaanstraat 7", "Baas Adriaanstraat", "Adriaanstraat 7", "Adriaanstraat"], [], [], [], ["Kerkweg KERKWEG 3", "Kerkweg KERKWEG", "KERKWEG 3", "Kerkweg"], ["Leiding 7a"]]
     assert round(places.gestalt("tide", "diet"), 2) == 0.25 and round(places.gestalt("diet", "tide"), 2) == 0.5
 
 
@@ -153,13 +155,13 @@ def test_nearest_names_are_those_of_the_first_letter(spark, sf):
     assert sorted(tuple(r) for r in nearest_names(spark, sf).collect()) == sorted(want)
 
 
-def place_of(street, title, normal, rest, resort, district, register):
-    """The cascade for one advert without own or checked coordinates, over plain lists. register: (name, ressort, district, lat, lon) in order."""
+def place_of(asked, heads, normals, rest, normal, resort, district, register, folds):
+    """The cascade for one advert without own or checked coordinates, over plain lists. register: (name, ressort, district, lat, lon) in order; folds: of each name."""
     import difflib
 
     by_key = {}
     for r in register:
-        by_key.setdefault(places._fold(r[0]), []).append(r)
+        by_key.setdefault(folds[r[0]][0], []).append(r)
     low = lambda v: (v or "").lower()
 
     def pick(rows):
@@ -172,7 +174,7 @@ def place_of(street, title, normal, rest, resort, district, register):
         return rows[0]
 
     def find(name, fuzzy):
-        k = places._fold(name)
+        k = folds[name][0]
         if k in by_key:
             return pick(by_key[k])
         if not (k and fuzzy):
@@ -181,17 +183,21 @@ def place_of(street, title, normal, rest, resort, district, register):
         digits = lambda v: "".join(c for c in v if c.isdigit())
         for x in difflib.get_close_matches(k, [x for x in pool if x[:1] == k[:1]], n=5, cutoff=0.88):
             name_there = by_key[x][0][0]
-            if digits(name_there) == digits(name) and places.gestalt(places._stem(name_there), places._stem(name)) >= 0.87 and pick(by_key[x]):
+            if digits(name_there) == digits(name) and places.gestalt(folds[name_there][1], folds[name][1]) >= 0.87 and pick(by_key[x]):
                 return pick(by_key[x])
         return None
 
     resort, district = resort or (rest if rest and 3 < len(rest) < 30 else None), district or None
-    tried = [(c, fuzzy) for text in (street or title, normal) for fuzzy in (False, True) for c in places.candidates(text)]
-    hit = next((h for c, fuzzy in tried if (h := find(c, fuzzy))), None) or (find(normal, False) if places._fold(normal) else None)
+    tried = [(c, fuzzy) for names in (heads, normals) for fuzzy in (False, True) for c in names]
+    hit = next((h for c, fuzzy in tried if (h := find(c, fuzzy))), None) or (find(normal, False) if folds[normal][0] else None)
     mean = lambda rows: (sum(r[3] for r in rows) / len(rows), sum(r[4] for r in rows) / len(rows))
     box = [r for r in register if r[2] == district and district]
-    if hit and (not box or all(min(r[i] for r in box) - 0.02 <= hit[i] <= max(r[i] for r in box) + 0.02 for i in (3, 4))):
-        return ("street", *hit[3:])
+    inside = lambda h: not box or all(min(r[i] for r in box) - 0.02 <= h[i] <= max(r[i] for r in box) + 0.02 for i in (3, 4))
+    holding = [r for r in register if len(normal) >= 4 and normal.upper() in r[0].upper()]
+    holding = [r for r in holding if resort and resort.upper() in r[1].upper()] or holding
+    for h in (hit, holding[0] if holding else None):
+        if h and inside(h):
+            return ("street", *h[3:])
     areas = sorted({(low(r[1]) != low(resort), r[1], r[2]) for r in register if resort and r[1] and low(resort) in low(r[1]) and (not district or low(r[2]) == low(district))})
     rows = [r for r in register if areas and (r[1], r[2]) == areas[0][1:]] or [r for r in register if district and low(r[2]) == low(district)]
     return ("area", *mean(rows)) if rows else ("none", None, None)
@@ -211,13 +217,19 @@ def test_cascade_reads_headlines_misspelt_names_and_districts(spark, sf):
     checked = spark.createDataFrame([], "key string, lat double, lon double, confidence string")
     got = {r.listing_id: r for r in places.cascade(rows.withColumns({"lat": none, "lon": none}), streets, checked, "listing_id").collect()}
     head = T.clean(F.when(T.truthy(F.col("street")), F.col("street")).otherwise(F.col("title")))
-    asked = rows.withColumns({"normal": T.normalise_street(head), "rest": T.extract_street(head)["rest"], "resort": T.clean(F.col("resort")), "district": T.clean(F.col("district"))}).collect()
+    shown = F.when(T.truthy(F.col("street")), F.col("street")).otherwise(F.col("title"))
+    asked = rows.withColumns({"normal": T.normalise_street(head), "rest": T.extract_street(head)["rest"], "resort": T.clean(F.col("resort")), "district": T.clean(F.col("district"))})
+    asked = asked.withColumns({"heads": places.candidates(shown), "normals": places.candidates(F.col("normal"))}).collect()
     register = [(r.name, r.ressort, r.district, r.lat, r.lon) for r in streets.orderBy("street_id").collect()]
+    names = sorted({r[0] for r in register} | {n for r in asked for n in (*r.heads, *r.normals, r.normal)})
+    folds = {r.n: (r.f, r.s) for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", places.fold(F.col("n")).alias("f"), places.stem(F.col("n")).alias("s")).collect()}
     assert len(got) == len(asked)
     for r in asked:
-        want, found = place_of(r.street, r.title, r.normal, r.rest, r.resort, r.district, register), got[r.listing_id]
+        want, found = place_of(r, r.heads, r.normals, r.rest, r.normal, r.resort, r.district, register, folds), got[r.listing_id]
         assert found.geocode_quality == want[0], r
-        assert want[1] is None or max(abs(found.lat - want[1]), abs(found.lon - want[2])) < 2e-6, r
+        at = (found.lat, found.lon) if want[0] == "street" else (found.area_lat, found.area_lon)
+        assert (found.lat is None) == (want[0] != "street") and (found.area_radius_m == 1500) == (want[0] == "area")
+        assert want[1] is None or max(abs(at[0] - want[1]), abs(at[1] - want[2])) < 2e-6, r
     assert [got[i].geocode_quality for i in (-1, -2, -3, -4, -5, -6, -7)] == ["street"] * 4 + ["area"] * 3
 
 
@@ -249,8 +261,8 @@ def test_run_queries_take_every_delivery(spark, sf):
     assert {r.run_date: (r.active, r.new_this_run, r.gone_since_last_run) for r in Q.run_counts(spark, sf).collect()} == counts
     con = duckdb.connect()
     con.execute(f"CREATE VIEW feed_snapshots AS SELECT * FROM '{sf}/feed_snapshots.parquet'")
-    step = con.execute(f"SELECT key, first_seen, is_new FROM ({Q.SQL['run_merge']})").fetchall()
-    assert sorted(step) == sorted((r.key, r.first_seen, r.is_new) for r in got if r.run_date == "2025-11-09")
+    step = con.execute(f"SELECT run_date, key, first_seen, is_new FROM ({Q.SQL['run_merge']})").fetchall()
+    assert sorted(step) == sorted((r.run_date, r.key, r.first_seen, r.is_new) for r in got)
 
 
 def test_an_advert_that_comes_back_is_new(spark):
@@ -268,3 +280,14 @@ def test_greedy_leaves_no_advert_undecided(spark):
     assert dedup.greedy(chain).count() == 6
     with pytest.raises(RuntimeError):
         dedup.greedy(chain, 2)
+
+
+def test_checked_areas_and_looked_up_roads(spark):
+    streets = spark.createDataFrame([(1, "Kerkstraat", "Noord", "Alfa", 5.0, -55.0), (2, "Weytinghweg", "Zuid", "Beta", 5.5, -55.5)], "street_id long, name string, ressort string, district string, lat double, lon double")
+    rows = [(1, "Onbekendpad", "Noord", "Alfa"), (2, "Anderpad", "Noord", "Alfa"), (3, "Roodpad", "Noord", "Alfa"), (4, "Groenpad", "Noord", "Alfa"), (5, "Blauwpad", "Noord", "Alfa"), (6, "Kerk", "Noord", "Alfa"), (7, "Weyt", None, "Alfa")]
+    none = F.lit(None).cast("double")
+    df = spark.createDataFrame(rows, "id long, street string, resort string, district string").withColumns({"title": F.lit(None).cast("string"), "lat": none, "lon": none})
+    checked = spark.createDataFrame([("onbekendpad|noord|alfa", 5.1, -55.1, "area", 700), ("anderpad|noord|alfa", 5.1, -55.1, "unknown", None)], "key string, lat double, lon double, confidence string, radius_m int")
+    told = spark.createDataFrame([("roodpad|noord|alfa", 5.01, -55.01, "road", "Roodpad, Alfa"), ("groenpad|noord|alfa", 9.0, -50.0, "road", "Groenpad, Alfa"), ("blauwpad|noord|alfa", 5.0, -55.0, "shop", "Alfa")], "key string, lat double, lon double, kind string, shown string")
+    got = {r.id: (r.geocode_quality, r.geocode_how, r.lat, r.area_lat, r.area_radius_m) for r in places.cascade(df, streets, checked, "id", answers=told).collect()}
+    assert got == {1: ("area", "checked", None, 5.1, 700), 2: ("none", None, None, None, None), 3: ("street", "looked up", 5.01, None, None), 4: ("area", None, None, 5.0, 1500), 5: ("area", None, None, 5.0, 1500), 6: ("street", "containing", 5.0, None, None), 7: ("area", None, None, 5.0, 1500)}
