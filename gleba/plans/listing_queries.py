@@ -346,7 +346,7 @@ _NO_NEWS = " AND ".join(f"coalesce(lower(url), '') NOT LIKE '%{x}%'" for x in T.
 _CASCADE = f"""
 WITH k AS ({_KEYED.replace("{0}", "SELECT listing_id, CASE WHEN street IS NOT NULL AND street <> '' THEN street ELSE title END AS s, resort AS r, district AS d, street, title, resort, district FROM site_listings")}),
 v AS (SELECT key, arg_min(lat, street_id) AS v_lat, arg_min(lon, street_id) AS v_lon FROM ({_STREET_KEYS}) WHERE s IN (SELECT name FROM streets GROUP BY 1 HAVING count(*) > 1) GROUP BY 1),
-n AS (SELECT *, {TQ._NORM} AS normal FROM (SELECT listing_id, resort, district, {TQ._CLEAN.format('coalesce(street, title)')} AS t FROM site_listings)),
+n AS (SELECT *, {TQ._NORM} AS normal FROM (SELECT listing_id, {TQ._CLEAN.format("coalesce(resort, '')")} AS resort, {TQ._CLEAN.format("coalesce(district, '')")} AS district, {TQ._CLEAN.format('coalesce(street, title)')} AS t FROM site_listings)),
 l AS ({_FOLDED.format('normal', 'n')}), s AS ({_FOLDED.format('name', 'streets')}),
 h AS (SELECT listing_id, s.lat AS s_lat, s.lon AS s_lon FROM (SELECT *, CASE WHEN coalesce(l.resort, '') <> '' AND contains(lower(s.ressort), lower(l.resort)) THEN 0 WHEN coalesce(l.district, '') <> '' AND lower(s.district) = lower(l.district) THEN 1 WHEN coalesce(l.district, '') = '' THEN 2 END AS pref
   FROM l JOIN s ON l.fold = s.fold AND l.fold <> '') s WHERE pref IS NOT NULL QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY pref, street_id) = 1),
@@ -357,7 +357,7 @@ w AS (SELECT lower(district) AS wd, round_even(avg(lat), 6) AS w_lat, round_even
 r AS (SELECT cr AS rr, cd AS rd, a_lat, a_lon FROM (SELECT DISTINCT cr, cd FROM m) JOIN a ON contains(lower(ar), lower(cr)) AND (cd IS NULL OR lower(ad) = lower(cd)) QUALIFY row_number() OVER (PARTITION BY cr, cd ORDER BY lower(ar) <> lower(cr), ar, ad) = 1),
 z AS (SELECT listing_id, coalesce(a_lat, w_lat) AS z_lat, CASE WHEN a_lat IS NOT NULL THEN a_lon ELSE w_lon END AS z_lon FROM m LEFT JOIN r ON cr = rr AND cd IS NOT DISTINCT FROM rd LEFT JOIN w ON lower(cd) = wd),
 j AS (SELECT *, s_lat IS NOT NULL AND (bd IS NULL OR (s_lat BETWEEN a1 - 0.02::DOUBLE AND a2 + 0.02::DOUBLE AND s_lon BETWEEN o1 - 0.02::DOUBLE AND o2 + 0.02::DOUBLE)) AS on_street
-  FROM k LEFT JOIN v USING (key) LEFT JOIN h USING (listing_id) LEFT JOIN b ON district = bd LEFT JOIN z USING (listing_id)),
+  FROM k LEFT JOIN v USING (key) LEFT JOIN h USING (listing_id) LEFT JOIN m USING (listing_id) LEFT JOIN b ON cd = bd LEFT JOIN z USING (listing_id)),
 t AS (SELECT *, CASE WHEN v_lat IS NOT NULL THEN 'checked' WHEN on_street THEN 'street' WHEN z_lat IS NOT NULL THEN 'area' ELSE 'none' END AS q FROM j)
 SELECT listing_id, q AS geocode_quality, CASE q WHEN 'checked' THEN v_lat WHEN 'street' THEN s_lat END AS lat, CASE q WHEN 'checked' THEN v_lon WHEN 'street' THEN s_lon END AS lon,
   CASE WHEN q = 'area' THEN z_lat END AS area_lat, CASE WHEN q = 'area' THEN z_lon END AS area_lon, CASE WHEN q = 'area' THEN 1500 END AS area_radius_m FROM t"""
