@@ -3,12 +3,13 @@
 The greedy rule visits adverts by quality (then arrival). Each has up to four fingerprints in a fixed order; the first of them that a kept advert has
 already claimed is its hit. It is merged into the hit if that is of another source or if the fingerprint is its own first one, dropped if the hit has the
 same url, and else kept, claiming those of its fingerprints that are free. ``greedy`` decides this in rounds: an advert is decided as soon as what stands
-before it under its fingerprints is decided. Each round is two aggregations and a join; the number of rounds is the longest chain of adverts that wait for
+before it under its fingerprints is decided. Each round is a few aggregations and joins over what is still open; the number of rounds is the longest chain of adverts that wait for
 each other, not the size of a group. The result is the sequential one.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -63,35 +64,41 @@ def greedy(items: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(id, ord, fate, into) from items (id, ord unique and increasing, source, url, fps). fate: kept, merged or dropped; into: the id merged into.
 
     Goes on until every advert is decided: the first open one by ord waits for none, so each round decides one at least. With most_rounds it raises an error
-    if more are needed.
+    if more are needed. A round reads and writes what is still open and the owners of the fingerprints that this waits for; what is decided is written once.
     """
+    id_type = items.schema["id"].dataType
     base = checkpointed(items.select("id", "ord", "source", "url", "fps"))
-    fps = checkpointed(base.select("id", "ord", F.posexplode("fps").alias("k", "fp")))
-    decided = checkpointed(base.where(F.size("fps") == 0).select("id", "ord", F.lit("kept").alias("fate"), F.lit(None).cast(base.schema["id"].dataType).alias("into")))
+    fps = base.select("id", "ord", "source", "url", F.posexplode("fps").alias("k", "fp"))
+    # a fingerprint that nobody shares decides nothing, but for being somebody's first
+    shared = fps.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    waiting = checkpointed(fps.join(shared, "fp", "left_semi"))
+    decided = [base.join(waiting.select("id").distinct(), "id", "left_anti").select("id", "ord", F.lit("kept").alias("fate"), F.lit(None).cast(id_type).alias("into"))]
+    owner = None
     for done in itertools.count():
-        open_ = base.join(decided.select("id"), "id", "left_anti").where(F.size("fps") > 0)
-        if open_.isEmpty():
+        if waiting.isEmpty():
             break
         if done == most_rounds:
             raise RuntimeError(f"adverts are undecided after {most_rounds} rounds")
-        kept = fps.join(decided.where("fate = 'kept'").select("id"), "id", "left_semi")
-        owner = kept.groupBy("fp").agg(F.min(F.struct("ord", "id")).alias("o"))
-        waiting = fps.join(open_.select("id"), "id", "left_semi")
         first = waiting.groupBy("fp").agg(F.min("ord").alias("u"))
-        seen = waiting.join(owner, "fp", "left").join(first, "fp", "left")
+        seen = waiting.join(first, "fp")
+        seen = seen.join(owner, "fp", "left") if owner is not None else seen.withColumn("o", F.lit(None).cast(seen.select(F.struct("ord", "id", "source", "url")).schema[0].dataType))
         claimed = F.coalesce(F.col("o.ord") < F.col("ord"), F.lit(False))
-        before = F.coalesce(F.col("u") < F.col("ord"), F.lit(False))
+        before = F.col("u") < F.col("ord")
         state = F.when(claimed & (~before | (F.col("u") > F.col("o.ord"))), "claimed").when(~claimed & ~before, "free").otherwise("open")
-        rows = seen.select("id", "k", state.alias("s"), F.col("o.id").alias("owner"))
         # the first fingerprint that isn't known to be free decides, or makes the advert wait
-        rows = rows.where("s <> 'free'").groupBy("id").agg(F.min(F.struct("k", "s", "owner")).alias("m"))
-        ready = open_.join(rows, "id", "left").where("m is null or m.s = 'claimed'")
-        hit = base.select(F.col("id").alias("hid"), F.col("source").alias("hs"), F.col("url").alias("hu"))
-        ready = ready.join(hit, F.col("m.owner") == F.col("hid"), "left")
-        other, same_url = ~F.col("source").eqNullSafe(F.col("hs")), F.col("url").eqNullSafe(F.col("hu"))
+        told = F.min(F.when(state != "free", F.struct("k", state.alias("s"), "o"))).alias("m")
+        ready = seen.groupBy("id", "ord", "source", "url").agg(told).where("m is null or m.s = 'claimed'")
+        other, same_url = ~F.col("source").eqNullSafe(F.col("m.o.source")), F.col("url").eqNullSafe(F.col("m.o.url"))
         fate = F.when(F.col("m").isNull(), "kept").when(other, "merged").when(same_url, "dropped").when(F.col("m.k") == 0, "merged").otherwise("kept")
-        decided = checkpointed(decided.unionByName(ready.select("id", "ord", fate.alias("fate"), F.when(fate == "merged", F.col("hid")).alias("into"))))
-    return decided
+        now = checkpointed(ready.select("id", "ord", fate.alias("fate"), F.when(fate == "merged", F.col("m.o.id")).alias("into")))
+        decided.append(now)
+        left = checkpointed(waiting.join(now.select("id"), "id", "left_anti"))
+        new = waiting.join(now.where("fate = 'kept'").select("id"), "id", "left_semi").select("fp", F.struct("ord", "id", "source", "url").alias("o"))
+        owner = (new if owner is None else owner.unionByName(new)).join(left.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("o").alias("o"))
+        waiting, owner = left, checkpointed(owner)
+        if len(decided) == 32:  # a chain of many rounds must not become a plan of as many parts
+            decided = [checkpointed(functools.reduce(DataFrame.unionByName, decided))]
+    return functools.reduce(DataFrame.unionByName, decided)
 
 
 def with_order(df: DataFrame, arrival: str, score: Column) -> DataFrame:
@@ -104,14 +111,27 @@ def listing_key(df: DataFrame) -> DataFrame:
     return df.withColumn("key", F.substring(T.slug(T.unaccented(T.street_key(F.col("street"), F.col("title"), F.col("resort")))), 1, 60))
 
 
-def deduplicated(df: DataFrame, arrival: str) -> DataFrame:
-    """The kept adverts with what merged ones add: first present value of each field, ordered images and phones. df: one row a source_id."""
+def _grouped(df: DataFrame, arrival: str) -> DataFrame:
+    """The adverts that are kept or merged, with head (the kept one) and merged."""
     rows = with_order(listing_key(df), arrival, quality(df))
     has = "lat" in df.columns
     fps = fingerprints(F.col("key"), size_bucket(F.col("size_m2")), price_bucket(F.col("price"), F.col("currency")), F.col("lat") if has else None, F.col("lon") if has else None)
     rows = checkpointed(rows.withColumn("fps", fps).withColumn("id", F.col(arrival)))
     fate = greedy(rows)
-    group = rows.join(fate.where("fate <> 'dropped'").select("id", F.coalesce("into", "id").alias("head"), (F.col("fate") == "merged").alias("merged")), "id")
+    return rows.join(fate.where("fate <> 'dropped'").select("id", F.coalesce("into", "id").alias("head"), (F.col("fate") == "merged").alias("merged")), "id")
+
+
+def also_listed(df: DataFrame, arrival: str) -> DataFrame:
+    """(head, source, url, agent, price, currency): where else each kept advert is listed, each address once, the first of it; a table, so that no advert's list is held in one row."""
+    group = _grouped(df, arrival)
+    own = group.where("not merged").select("head", F.col("url").alias("own"))
+    else_ = group.where("merged").join(own, "head").where(~F.col("url").eqNullSafe(F.col("own")))
+    return else_.groupBy("head", "url").agg(F.min(F.struct("ord", "source", "agent", "price", "currency")).alias("x")).select("head", "x.source", "url", "x.agent", "x.price", "x.currency")
+
+
+def deduplicated(df: DataFrame, arrival: str) -> DataFrame:
+    """The kept adverts with what merged ones add: first present value of each field, ordered images and phones. df: one row a source_id. ``also_listed`` says where else they stand."""
+    group = _grouped(df, arrival)
     folded = fold_first(group, "head", F.col("ord"), FIELDS, [F.count_if("merged").alias("merged_in"), *[F.min_by(c, "ord").alias(c) for c in ("source", "url", "source_id") if c in df.columns]])
     for c, n in (("images", 10), ("phones", 6)):
         if c in df.columns:

@@ -151,6 +151,11 @@ def merged_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.deduplicated(_listings(spark, sf_dir), "listing_id")
 
 
+def also_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where else the kept listings are listed."""
+    return dedup.also_listed(_listings(spark, sf_dir), "listing_id").withColumnRenamed("head", "listing_id")
+
+
 def image_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct images of an advert in order of appearance, at most ten."""
     df = table(spark, sf_dir, "feed_items").withColumn("source_id", item_number(F.col("url"))).where("source_id is not null")
@@ -316,7 +321,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         listing_filter, viewer_filter, slider_stops, date_join, place_lookup, street_exact, street_fuzzy, street_containing, district_boxes, box_join, verified_apply, geocode_cascade, geocode_exact, placement_counts, resort_areas, quality_score, buckets, fingerprints, dedup_source_id, dedup_greedy,
-        merged_listings, image_union, run_merge, run_gone, run_counts, price_change, queue_first, tier_counts, store_insert, source_counts, source_list, match_rate, nearest_names, final_rank, json_round_trip, street_dimension, html_cards, html_blocks, rest_rows, detail_join, source_union,
+        merged_listings, also_listed, image_union, run_merge, run_gone, run_counts, price_change, queue_first, tier_counts, store_insert, source_counts, source_list, match_rate, nearest_names, final_rank, json_round_trip, street_dimension, html_cards, html_blocks, rest_rows, detail_join, source_union,
     )
 }
 
@@ -403,3 +408,28 @@ SELECT listing_id, street_id, name FROM p WHERE pref IS NOT NULL QUALIFY row_num
     "detail_join": "SELECT listing_id, CASE WHEN isnan(size_m2) OR round_even(size_m2, 0) <= 0 THEN NULL ELSE round_even(size_m2, 0) END AS size_m2, CASE WHEN size_m2 IS NULL OR isnan(size_m2) THEN '' ELSE 'https://img.example/' || listing_id END AS images FROM site_listings",
     "source_union": "SELECT 'sites' AS source, count(*) AS n, count(url) AS with_url FROM site_listings UNION ALL SELECT 'feed', count(*), count(url) FROM feed_items",
 }
+
+#: The greedy rule as it is said: adverts one after the other, with a map of the fingerprints claimed so far. Only those that share one need a step.
+_GREEDY = """WITH RECURSIVE f AS MATERIALIZED ({0}),
+n AS MATERIALIZED (SELECT listing_id, list(fingerprint ORDER BY left(fingerprint, 1)) AS fps FROM f GROUP BY 1),
+p AS MATERIALIZED (SELECT listing_id, bool_or(many) AS shared FROM (SELECT listing_id, count(*) OVER (PARTITION BY fingerprint) > 1 AS many FROM f) GROUP BY 1),
+a AS MATERIALIZED (SELECT l.listing_id AS id, l.source, l.url, coalesce(n.fps, []) AS fps, coalesce(p.shared, false) AS shared,
+  CASE WHEN size_m2 <> 0 AND NOT isnan(size_m2) THEN 3 ELSE 0 END + CASE WHEN price <> 0 AND NOT isnan(price) THEN 3 ELSE 0 END + CASE WHEN district <> '' THEN 1 ELSE 0 END AS score
+  FROM site_listings l LEFT JOIN n USING (listing_id) LEFT JOIN p USING (listing_id)),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS i FROM a WHERE shared),
+s AS (
+  SELECT 0::BIGINT AS i, MAP([]::VARCHAR[], []::STRUCT(id BIGINT, source VARCHAR, url VARCHAR)[]) AS m, NULL::BIGINT AS id, NULL::VARCHAR AS fate, NULL::BIGINT AS into_id
+  UNION ALL
+  SELECT i, CASE WHEN fate = 'kept' THEN map_concat(map_from_entries([{{'k': x, 'v': {{'id': id, 'source': source, 'url': url}}}} FOR x IN fps IF NOT map_contains(m, x)]), m) ELSE m END, id, fate, CASE WHEN fate = 'merged' THEN hit.id END
+  FROM (SELECT *, CASE WHEN hit IS NULL THEN 'kept' WHEN source IS DISTINCT FROM hit.source THEN 'merged' WHEN url IS NOT DISTINCT FROM hit.url THEN 'dropped' WHEN hit_at = fps[1] THEN 'merged' ELSE 'kept' END AS fate
+    FROM (SELECT *, CASE WHEN hit_at IS NOT NULL THEN m[hit_at] END AS hit FROM (SELECT o.*, s.m, list_filter(o.fps, lambda x: map_contains(s.m, x))[1] AS hit_at FROM s JOIN o ON o.i = s.i + 1))))
+SELECT id AS listing_id, fate, into_id AS merged_into FROM s WHERE i > 0 UNION ALL SELECT id, 'kept', NULL FROM a WHERE NOT shared"""
+SQL["dedup_greedy"] = _GREEDY.format(SQL["fingerprints"])
+_FIRST_BY = "arg_min({0}, (-score, id)) FILTER (WHERE {1}) AS {0}"
+_GROUPS = f"""(SELECT l.*, l.listing_id AS id, coalesce(g.merged_into, g.listing_id) AS head, g.fate = 'merged' AS merged,
+  CASE WHEN size_m2 <> 0 AND NOT isnan(size_m2) THEN 3 ELSE 0 END + CASE WHEN price <> 0 AND NOT isnan(price) THEN 3 ELSE 0 END + CASE WHEN district <> '' THEN 1 ELSE 0 END AS score
+  FROM ({SQL["dedup_greedy"]}) g JOIN site_listings l USING (listing_id) WHERE fate <> 'dropped')"""
+SQL["merged_listings"] = "SELECT head AS listing_id, count(*) FILTER (WHERE merged) AS merged_in, " + ", ".join(
+    [*(_FIRST_BY.format(c, f"{c} <> 0 AND NOT isnan({c})") for c in ("size_m2", "price")), *(_FIRST_BY.format(c, f"{c} <> ''") for c in ("currency", "district", "resort", "street", "title_type", "posted")), *(f"arg_min({c}, (-score, id)) AS {c}" for c in ("source", "url", "source_id"))]
+) + f" FROM {_GROUPS} GROUP BY 1"
+SQL["also_listed"] = f"WITH g AS {_GROUPS} SELECT a.head AS listing_id, a.source, a.url, a.agent, a.price, a.currency FROM g a JOIN g o ON a.head = o.head AND a.merged AND NOT o.merged AND a.url IS DISTINCT FROM o.url QUALIFY row_number() OVER (PARTITION BY a.head, a.url ORDER BY a.score DESC, a.id) = 1"
