@@ -113,3 +113,9 @@ c AS (
 SELECT k AS source_id, field, arg_min(record_id, (-epoch_us(seen_at), record_id)) AS record_id FROM c GROUP BY k, field
 """,
 }
+
+SQL["p1_survivors"] = f"""
+WITH b AS ({SQL["p1_found"]})
+SELECT source_id AS entity, max(description) FILTER (WHERE field = 'description') AS description, max(array_to_string(list_filter(phones, lambda p: p IS NOT NULL), ', ')) FILTER (WHERE field = 'phones') AS phones,
+  max(size_m2) FILTER (WHERE field = 'size_m2') AS size_m2, max(price) FILTER (WHERE field = 'price') AS price
+FROM b JOIN feed_items USING (record_id) GROUP BY 1"""
