@@ -83,9 +83,17 @@ QUERIES = {f.__name__: f for f in (pages_numbered, pages_linked, pages_offset, h
 _SITE = """
 SELECT 's' || (listing_id % 3) AS source, url, regexp_replace(trim(title), '\\s+', ' ', 'g') AS title, round_even(price, 0) AS price, CASE WHEN round_even(size_m2, 0) > 0 THEN round_even(size_m2, 0) END AS size_m2
 FROM (SELECT *, row_number() OVER (PARTITION BY url, listing_id % 3 ORDER BY listing_id) AS n FROM site_listings WHERE url IS NOT NULL AND price IS NOT NULL AND NOT isnan(price)) WHERE n = 1"""
-_EUR = "round_even(price, 0)"
+#: Cards as the detected blocks show them: the digits of a size behind the price run on into it, and only what may be a price counts. One card a page repeats nothing.
+_BLOCKS = """
+SELECT page_id, url, CASE WHEN v BETWEEN 1000 AND 999999 THEN v END AS price FROM (
+  SELECT page_id, listing_id, url, CAST(CAST(CAST(round_even(price, 0) AS BIGINT) AS VARCHAR) || coalesce(CAST(CAST(round_even(CASE WHEN NOT isnan(size_m2) THEN size_m2 END, 0) AS BIGINT) AS VARCHAR), '') AS DOUBLE) AS v,
+    row_number() OVER (PARTITION BY page_id, url ORDER BY listing_id) AS n, count(*) OVER (PARTITION BY page_id) AS cards, size_m2 IS NOT NULL AND NOT isnan(size_m2) OR regexp_matches(lower(concat_ws(' ', title, district, resort)), 'perceel|percelen|kavel|bouwgrond|grond|plot|land') AS land
+  FROM (SELECT *, {0} AS page_id FROM site_listings WHERE url IS NOT NULL AND price IS NOT NULL AND NOT isnan(price)))
+WHERE n = 1 AND cards > 1 AND land"""
 
 SQL = {
+    "html_blocks": _BLOCKS.format("listing_id // 20"),
+    "html_equal_blocks": f"SELECT url, price FROM ({_BLOCKS.format('(row_number() OVER (PARTITION BY listing_id % 3 ORDER BY listing_id) - 1) // 20 * 3 + listing_id % 3')})",
     "pages_numbered": _SITE,
     "pages_linked": _SITE,
     "pages_offset": "SELECT trim(name) AS name, trim(ressort) AS ressort, round_even(lat, 6) AS lat, round_even(lon, 6) AS lon FROM streets WHERE name <> ''",
