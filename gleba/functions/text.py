@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -263,6 +264,34 @@ def is_listing(url: Column, *present: Column) -> Column:
     return ~news & F.greatest(*[p.cast("int") for p in present], F.lit(0)).cast("boolean")
 
 
+#: Fixed value: names of kinds of property that are land.
+LAND_TYPE = r"(?i)perceel|percelen|kavel|grond|land|plot"
+
+
+def land_type(name: Column) -> Column:
+    """Whether a kind of property, by its name, is land."""
+    return F.coalesce(name.rlike(LAND_TYPE), F.lit(False))
+
+
+def currency_of_class(classes: Column) -> Column:
+    """The currency that the class of an element names; EUR where it names none."""
+    low = F.lower(F.coalesce(classes, F.lit("")))
+    return F.when(low.contains("usd"), "USD").when(low.contains("srd"), "SRD").otherwise("EUR")
+
+
+@F.pandas_udf(StringType())
+def absolute_url(bases: pd.Series, urls: pd.Series) -> pd.Series:
+    """Addresses against their pages'; null where there is none or it can't be one."""
+
+    def one(base, url):
+        try:
+            return urljoin(base or "", url.strip()) if url and url.strip() else None
+        except ValueError:
+            return None
+
+    return pd.Series([one(b, u) for b, u in zip(bases, urls)], dtype=object)
+
+
 def looks_like_street(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     return F.reduce(F.array(*[low.contains(x) for x in STREETY]), F.lit(False), lambda a, b: a | b)

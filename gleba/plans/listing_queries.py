@@ -307,6 +307,44 @@ def detail_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.with_details(cards, details).select("listing_id", "size_m2", F.array_join("images", " ").alias("images"))
 
 
+def street_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an address looks like a street."""
+    return table(spark, sf_dir, "needs_check").select("check_id", T.looks_like_street(F.col("street")).alias("streety"))
+
+
+def land_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adverts whose title names land."""
+    return table(spark, sf_dir, "feed_items").where(T.land_type(F.col("title"))).select("record_id")
+
+
+def within_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings whose resort lies within 20 km of the centre; unknown distances fail."""
+    area = places.resort_areas(table(spark, sf_dir, "streets"))
+    km = geo.haversine_km(F.lit(CENTRE[0]), F.lit(CENTRE[1]), F.col("area_lat"), F.col("area_lon"))
+    return _listings(spark, sf_dir).join(area, ["resort", "district"]).where(km <= 20.0).select("listing_id")
+
+
+def viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streets in a window of the map."""
+    return table(spark, sf_dir, "streets").where(F.col("lat").between(5.5, 5.8) & F.col("lon").between(-55.3, -55.0)).select("street_id", "lat", "lon")
+
+
+def quality_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many adverts have which quality, the commonest first."""
+    df = table(spark, sf_dir, "feed_items")
+    return df.groupBy(dedup.quality(df).alias("quality")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "quality")
+
+
+def area_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clamped radius of each plot as a circle, in metres."""
+    return _listings(spark, sf_dir).select("listing_id", geo.radius_m(F.nanvl("size_m2", F.lit(None).cast("double")) * 1000).alias("radius_m"))
+
+
+def absolute_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pictures against the page's, and the currency that an element's class names."""
+    return _listings(spark, sf_dir).select("listing_id", T.absolute_url(F.lit("https://x.example/a/b/"), F.concat(F.lit("../i/"), F.col("listing_id").cast("string"), F.lit(".jpg"))).alias("image"), T.currency_of_class(F.concat(F.lit("cur-"), F.lower("currency"))).alias("currency"))
+
+
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of both kinds of source under one schema, a source that fails left out."""
     sources = {
@@ -321,7 +359,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         listing_filter, viewer_filter, slider_stops, date_join, place_lookup, street_exact, street_fuzzy, street_containing, district_boxes, box_join, verified_apply, geocode_cascade, geocode_exact, placement_counts, resort_areas, quality_score, buckets, fingerprints, dedup_source_id, dedup_greedy,
-        merged_listings, also_listed, image_union, run_merge, run_gone, run_counts, price_change, queue_first, tier_counts, store_insert, source_counts, source_list, match_rate, nearest_names, final_rank, json_round_trip, street_dimension, html_cards, html_blocks, rest_rows, detail_join, source_union,
+        merged_listings, also_listed, image_union, run_merge, run_gone, run_counts, price_change, queue_first, tier_counts, store_insert, source_counts, source_list, match_rate, nearest_names, final_rank, json_round_trip, street_dimension, html_cards, html_blocks, rest_rows, detail_join, source_union, street_words, land_types, within_distance, viewport, quality_histogram, area_radius, absolute_urls,
     )
 }
 
@@ -406,6 +444,12 @@ SELECT listing_id, street_id, name FROM p WHERE pref IS NOT NULL QUALIFY row_num
     "html_cards": "SELECT url, regexp_replace(trim(title), '\\s+', ' ', 'g') AS title, round_even(price, 0) AS price, CASE WHEN round_even(size_m2, 0) > 0 THEN round_even(size_m2, 0) END AS size_m2 FROM site_listings WHERE url IS NOT NULL AND price IS NOT NULL AND NOT isnan(price)",
     "rest_rows": "SELECT listing_id, url, resort, district, title_type, CASE WHEN round_even(size_m2, 0) > 0 THEN round_even(size_m2, 0) END AS size_m2, first_seen AS posted, '+5978543210' AS phones FROM site_listings WHERE price IS NOT NULL AND NOT isnan(price)",
     "detail_join": "SELECT listing_id, CASE WHEN isnan(size_m2) OR round_even(size_m2, 0) <= 0 THEN NULL ELSE round_even(size_m2, 0) END AS size_m2, CASE WHEN size_m2 IS NULL OR isnan(size_m2) THEN '' ELSE 'https://img.example/' || listing_id END AS images FROM site_listings",
+    "street_words": "SELECT check_id, " + " OR ".join(f"contains(lower(coalesce(street, '')), '{w}')" for w in T.STREETY) + " AS streety FROM needs_check",
+    "land_types": "SELECT record_id FROM feed_items WHERE regexp_matches(title, '(?i)perceel|percelen|kavel|grond|land|plot')",
+    "within_distance": "SELECT listing_id FROM site_listings l JOIN (SELECT ressort, district, round_even(avg(lat), 6) AS a, round_even(avg(lon), 6) AS o FROM streets GROUP BY 1, 2) s ON l.resort = s.ressort AND l.district = s.district WHERE round_even(2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin(radians(a - 5.8232::DOUBLE) / 2), 2) + cos(radians(5.8232::DOUBLE)) * cos(radians(a)) * pow(sin(radians(o - -55.1679::DOUBLE) / 2), 2))), 3) <= 20",
+    "viewport": "SELECT street_id, lat, lon FROM streets WHERE lat BETWEEN 5.5 AND 5.8 AND lon BETWEEN -55.3 AND -55.0",
+    "area_radius": "SELECT listing_id, CAST(greatest(400, least(6000, CASE WHEN size_m2 <> 0 AND NOT isnan(size_m2) THEN floor(sqrt(abs(size_m2 * 1000) / pi())) ELSE 1500 END)) AS INTEGER) AS radius_m FROM site_listings",
+    "absolute_urls": "SELECT listing_id, 'https://x.example/a/i/' || listing_id || '.jpg' AS image, CASE WHEN currency IN ('USD', 'SRD') THEN currency ELSE 'EUR' END AS currency FROM site_listings",
     "source_union": "SELECT 'sites' AS source, count(*) AS n, count(url) AS with_url FROM site_listings UNION ALL SELECT 'feed', count(*), count(url) FROM feed_items",
 }
 
@@ -433,3 +477,4 @@ SQL["merged_listings"] = "SELECT head AS listing_id, count(*) FILTER (WHERE merg
     [*(_FIRST_BY.format(c, f"{c} <> 0 AND NOT isnan({c})") for c in ("size_m2", "price")), *(_FIRST_BY.format(c, f"{c} <> ''") for c in ("currency", "district", "resort", "street", "title_type", "posted")), *(f"arg_min({c}, (-score, id)) AS {c}" for c in ("source", "url", "source_id"))]
 ) + f" FROM {_GROUPS} GROUP BY 1"
 SQL["also_listed"] = f"WITH g AS {_GROUPS} SELECT a.head AS listing_id, a.source, a.url, a.agent, a.price, a.currency FROM g a JOIN g o ON a.head = o.head AND a.merged AND NOT o.merged AND a.url IS DISTINCT FROM o.url QUALIFY row_number() OVER (PARTITION BY a.head, a.url ORDER BY a.score DESC, a.id) = 1"
+SQL["quality_histogram"] = f"SELECT quality, count(*) AS n FROM ({SQL['quality_score']}) GROUP BY 1"

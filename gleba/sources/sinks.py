@@ -16,6 +16,14 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def snapshot_document(listings: DataFrame, archived: DataFrame, counts: DataFrame, order: str, archived_order: str, most_archived: int = 400) -> DataFrame:
+    """(value): one JSON document {counts, listings, archived}, for readers that want a single file; the first most_archived of the archived. All of it passes
+    through one task, so it is for a published list of bounded length; ``write_snapshot`` writes any number in parallel."""
+    listed = lambda df, by: df.agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("__o"), F.struct(*df.columns).alias("x")))).alias("a")).select(F.transform("a", lambda s: s["x"]).alias("a"))
+    parts = counts.select(F.struct(*counts.columns).alias("counts")).crossJoin(listed(listings, order).withColumnRenamed("a", "listings")).crossJoin(listed(archived.orderBy(archived_order).limit(most_archived), archived_order).withColumnRenamed("a", "archived"))  # one row each
+    return parts.select(F.to_json(F.struct("counts", "listings", "archived"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def write_snapshot(listings: DataFrame, archived: DataFrame, counts: DataFrame, path: str) -> None:
     """listings, archived and counts as JSON lines under a folder, in parallel; one document for all would need one task."""
     for name, df in (("listings", listings), ("archived", archived), ("counts", counts)):

@@ -291,3 +291,11 @@ def test_checked_areas_and_looked_up_roads(spark):
     told = spark.createDataFrame([("roodpad|noord|alfa", 5.01, -55.01, "road", "Roodpad, Alfa"), ("groenpad|noord|alfa", 9.0, -50.0, "road", "Groenpad, Alfa"), ("blauwpad|noord|alfa", 5.0, -55.0, "shop", "Alfa")], "key string, lat double, lon double, kind string, shown string")
     got = {r.id: (r.geocode_quality, r.geocode_how, r.lat, r.area_lat, r.area_radius_m) for r in places.cascade(df, streets, checked, "id", answers=told).collect()}
     assert got == {1: ("area", "checked", None, 5.1, 700), 2: ("none", None, None, None, None), 3: ("street", "looked up", 5.01, None, None), 4: ("area", None, None, 5.0, 1500), 5: ("area", None, None, 5.0, 1500), 6: ("street", "containing", 5.0, None, None), 7: ("area", None, None, 5.0, 1500)}
+
+
+def test_snapshot_as_one_document(spark):
+    import json
+
+    df = spark.createDataFrame([(i, f"é{i}", None if i else 1.0) for i in range(6)], "id long, name string, price double")
+    got = json.loads(sinks.snapshot_document(df.where("id < 2"), df.where("id >= 2"), spark.range(1).selectExpr("2L as active"), "id", "id", 3).first().value)
+    assert got == {"counts": {"active": 2}, "listings": [{"id": 0, "name": "é0", "price": 1.0}, {"id": 1, "name": "é1", "price": None}], "archived": [{"id": i, "name": f"é{i}", "price": None} for i in (2, 3, 4)]}
