@@ -19,9 +19,16 @@ def json_lines(df: DataFrame) -> DataFrame:
 def snapshot_document(listings: DataFrame, archived: DataFrame, counts: DataFrame, order: str, archived_order: str, most_archived: int = 400) -> DataFrame:
     """(value): one JSON document {counts, listings, archived}, for readers that want a single file; the first most_archived of the archived. All of it passes
     through one task, so it is for a published list of bounded length; ``write_snapshot`` writes any number in parallel."""
-    listed = lambda df, by: df.agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("__o"), F.struct(*df.columns).alias("x")))).alias("a")).select(F.transform("a", lambda s: s["x"]).alias("a"))
-    parts = counts.select(F.struct(*counts.columns).alias("counts")).crossJoin(listed(listings, order).withColumnRenamed("a", "listings")).crossJoin(listed(archived.orderBy(archived_order).limit(most_archived), archived_order).withColumnRenamed("a", "archived"))  # one row each
-    return parts.select(F.to_json(F.struct("counts", "listings", "archived"), {"ignoreNullFields": "false"}).alias("value"))
+    whole = {"ignoreNullFields": "false"}
+
+    def listed(df: DataFrame, by: str, name: str) -> DataFrame:
+        sorted_ = F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("__o"), F.struct(*df.columns).alias("x")))), lambda s: s["x"])
+        return df.agg(F.to_json(sorted_, whole).alias("j")).select(F.lit(name).alias("part"), "j")
+
+    parts = counts.select(F.lit("counts").alias("part"), F.to_json(F.struct(*counts.columns), whole).alias("j"))
+    parts = parts.unionByName(listed(listings, order, "listings")).unionByName(listed(archived.orderBy(archived_order).limit(most_archived), archived_order, "archived"))
+    piece = lambda name: F.concat(F.lit(f'"{name}":'), F.max(F.when(F.col("part") == name, F.col("j"))))
+    return parts.agg(F.concat(F.lit("{"), piece("counts"), F.lit(","), piece("listings"), F.lit(","), piece("archived"), F.lit("}")).alias("value"))
 
 
 def write_snapshot(listings: DataFrame, archived: DataFrame, counts: DataFrame, path: str) -> None:
