@@ -61,6 +61,8 @@ _SEGMENT = re.compile(r"\s*[,;()|]\s*|\s+/\s+|\s+te\s+")
 @lru_cache(1 << 16)
 def plain(text: str) -> str:
     """Lower case, without accents, one space for any white space."""
+    if text.isascii():
+        return " ".join(text.lower().split())
     text = unicodedata.normalize("NFKD", text.translate(_LETTERS)).lower()
     return " ".join("".join(c for c in text if not unicodedata.combining(c)).split())
 
@@ -105,23 +107,36 @@ def weighted_distance(a: str, b: str, most: float = 9.0) -> float:
         end += 1
     start, end = max(0, start - 2), max(0, end - 2)
     a, b = a[start : len(a) - end], b[start : len(b) - end]
+    # what putting in a letter of b costs, and its class; of each letter of a below
+    put, kinds = [0.3 if j and b[j] == b[j - 1] else 1.0 for j in range(len(b))], [_CLASSES.get(c, -2) for c in b]
     before, last = None, [0.0]
-    for j in range(1, len(b) + 1):
-        last.append(last[-1] + (0.3 if j > 1 and b[j - 1] == b[j - 2] else 1.0))
-    for i in range(1, len(a) + 1):
-        ca, drop = a[i - 1], 0.3 if i > 1 and a[i - 1] == a[i - 2] else 1.0
-        row = [last[0] + drop]
-        for j in range(1, len(b) + 1):
-            cb = b[j - 1]
+    for cost in put:
+        last.append(last[-1] + cost)
+    for i, ca in enumerate(a):
+        drop, kind, left = 0.3 if i and ca == a[i - 1] else 1.0, _CLASSES.get(ca, -1), last[0]
+        best = least = left + drop
+        row = [best]
+        for j, cb in enumerate(b):
+            above = last[j + 1]
             if ca == cb:
-                best = last[j - 1]
+                best = left
             else:
-                best = last[j - 1] + (0.4 if _CLASSES.get(ca, -1) == _CLASSES.get(cb, -2) else 1.0)
-                best = min(best, last[j] + drop, row[-1] + (0.3 if j > 1 and cb == b[j - 2] else 1.0))
-                if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
-                    best = min(best, before[j - 2] + 0.8)
+                best += put[j]
+                x = left + (0.4 if kind == kinds[j] else 1.0)
+                if x < best:
+                    best = x
+                x = above + drop
+                if x < best:
+                    best = x
+                if i and j and ca == b[j - 1] and a[i - 1] == cb:
+                    x = before[j - 1] + 0.8
+                    if x < best:
+                        best = x
+            if best < least:
+                least = best
             row.append(best)
-        if min(row) > most:
+            left = above
+        if least > most:
             return most + 1
         before, last = last, row
     return last[-1]
@@ -203,6 +218,14 @@ class DeleteIndex:
         return found
 
 
+_BY_LENGTH = sorted(ENDING_OF, key=len, reverse=True)
+
+
+@lru_cache(1 << 10)
+def _attached(forms: tuple[str, ...]) -> re.Pattern:
+    return re.compile(rf"^(.{{3,}}?)[\s-]*({'|'.join(map(re.escape, forms))})\.?$")
+
+
 def ending_readings(name: str) -> list[tuple[str, str | None]]:
     """(stem, ending) readings of a plain name: with the ending that it seems to have, and as if it had none."""
     out = []
@@ -210,8 +233,9 @@ def ending_readings(name: str) -> list[tuple[str, str | None]]:
     while m:
         stem, form = m.group(1).rstrip(" -."), m.group(2)
         out.append((stem, ENDING_OF[form]))
-        shorter = [f for f in ENDING_OF if len(f) < len(form) and name.rstrip(".").endswith(f)]
-        m = re.match(rf"^(.{{3,}}?)[\s-]*({'|'.join(map(re.escape, sorted(shorter, key=len, reverse=True)))})\.?$", name) if shorter else None
+        bare = name.rstrip(".")
+        shorter = tuple(f for f in _BY_LENGTH if len(f) < len(form) and bare.endswith(f))
+        m = _attached(shorter).match(name) if shorter else None
     return [*out, (name.rstrip("."), None)]
 
 
